@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, decontaminate, pii, token_store, url_filter
+from . import byte_bpe, decontaminate, order_minhash, pii, token_store, url_filter
 
 WORD_TOKENIZER, BYTE_RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -38,5 +38,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_url_filter, op4_byte_bpe, op8_decontamination, op9_pii)}
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op3_url_filter, op4_byte_bpe, op8_decontamination, op9_pii, op10_order_minhash)}
 ORACLES: dict[str, str] = {}
