@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, decontaminate, order_minhash, pii, token_store, url_filter
+from . import byte_bpe, decontaminate, order_minhash, pii, token_store, toxicity, url_filter
 
 WORD_TOKENIZER, BYTE_RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -21,6 +21,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (toxicity.remainder(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("hits").alias("n_hits"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(url_filter.pages_of(spark, sf_dir))
 
@@ -42,5 +48,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_url_filter, op4_byte_bpe, op8_decontamination, op9_pii, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_url_filter, op4_byte_bpe, op8_decontamination, op9_pii, op10_order_minhash)}
 ORACLES: dict[str, str] = {}
