@@ -6,16 +6,18 @@ identity. sentencepiece then merges, in each pre-token, the adjacent pair whose
 first, which is what rank-based byte-pair merging does. Decoding maps each id back to its token's bytes.
 
 Edge cases: a null text is an empty one; an empty text has no ids; repeated rows each get a row of their own; a null
-doc_id is kept; an id outside the vocabulary can't be decoded (KeyError).
+doc_id is kept; an id outside the vocabulary can't be decoded (KeyError or IndexError).
 """
 
 from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
@@ -28,6 +30,8 @@ from .common import arrow_rows, prepare, texts
 CACHE_ENTRIES = 400_000
 #: Longer pre-tokens are encoded each time they occur.
 CACHE_CHARS = 64
+#: Documents handed on at a time.
+ROWS = 250
 
 
 def byte_chars() -> list[str]:
@@ -94,13 +98,13 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
 
 
 class _Known(dict):
-    """Pre-token to ids; learns what is missing."""
+    """Pre-token to ids as 4-byte integers; learns what is missing."""
 
     def __init__(self, codec: ByteBpe):
         self.codec = codec
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.codec.piece(piece))
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", self.codec.piece(piece)).tobytes()
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -127,8 +131,12 @@ class ByteBpe:
             return [rank]
         return self.model.encode(raw.decode("latin-1").translate(self.shown))
 
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 4-byte integers."""
+        return b"".join(map(self.known.__getitem__, self.find(text)))
+
     def encode(self, text: str) -> list[int]:
-        return [i for ids in map(self.known.__getitem__, self.find(text)) for i in ids]
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -150,8 +158,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
     def encode(batches):
         bpe = codec(vocabulary, pattern)
         for ids, bodies in arrow_rows(batches, "doc_id", "text"):
-            for k in range(0, len(ids), 250):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 250], pa.int64()), pa.array([bpe.encode(x) for x in bodies[k : k + 250]], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for k in range(0, len(ids), ROWS):
+                packed = [bpe.packed(x) for x in bodies[k : k + ROWS]]
+                ends = np.cumsum([0] + [len(x) // 4 for x in packed], dtype=np.int32)
+                flat = np.frombuffer(b"".join(packed), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + ROWS], pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "ids"])
 
     return texts(docs).mapInArrow(encode, "doc_id long, ids array<int>")
 
@@ -162,10 +173,19 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     def decode(batches):
         bytes_of = {rank: token for token, rank in read_ranks(vocabulary).items()}
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
-            out = pa.array([b"".join(map(bytes_of.__getitem__, x or ())) for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "ids")] + [out], names=["doc_id", "ids", "decoded"])
+        table = pa.array([bytes_of.get(i) for i in range(max(bytes_of, default=-1) + 1)], pa.large_binary())
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                ids = batch.column(batch.schema.get_field_index("ids"))
+                pieces = table.take(ids.flatten())
+                if pieces.null_count:
+                    raise KeyError("an id that stands for no token")
+                ends = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+                starts = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset :][ends] if len(pieces) else ends
+                raw = pieces.buffers()[2] or pa.py_buffer(b"")
+                out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(np.ascontiguousarray(starts)), raw]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), ids, out], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, decoded binary")
 
