@@ -1,14 +1,12 @@
-"""Buckets of equal sketch keys, candidate pairs in them, and components: what near-duplicate operators share.
+"""Buckets of equal sketch keys, families of items that share buckets, exact links in families, and components.
 
-Items are (id, keys, sig): a unique long id, packed uint64 sketch keys, and a short signature of uint8 whose share of
-equal places estimates similarity. Keys travel as arrays, a few rows a batch, not as a row a key.
+Items are (id, keys): a unique long id and packed uint64 sketch keys. Keys travel as arrays, a few rows a batch, not as
+a row a key. Items that share a bucket, directly or through others, are a family; an item's content is sent once, to
+its family, whatever the number of its buckets. There all pairs are compared exactly, as sets held in bit rows, and
+only links that join two components are given on: n - 1 at most for n items, never all pairs.
 
-Candidates come in two rounds, so that a family of n texts yields about n pairs, not n squared:
-
-1. In each bucket the most typical members, those nearest to the bucket's commonest signature, lead; every member is
-   paired with its nearest leader. The original of many edited copies is the most typical one.
-2. When these pairs are verified and united, buckets whose members still lie in several components yield every pair
-   across components that the signature doesn't rule out. That is the exact way for all that round 1 left open.
+A family beyond `BLOCK_BYTES` of content is split into blocks by hash, and each pair of blocks is a group of its own, so
+a task holds two blocks however large the family is, and still every pair meets.
 """
 
 from __future__ import annotations
@@ -22,17 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-LEADERS = 16
-#: Rows of the pair comparisons that are held at once.
-BLOCK = 2048
-
-
-def partitions_for(items: DataFrame) -> int:
-    return int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+BLOCK_BYTES = 48_000_000
+#: Sets compared with each other at a time.
+ROWS = 512
 
 
-def bucket_members(items: DataFrame, parts: int) -> DataFrame:
-    """(key, id, n): the members of every bucket of two or more. A task holds 16 bytes a key of its partition."""
+def bucket_edges(items: DataFrame) -> DataFrame:
+    """(u, v): each member of a bucket of two or more with the least id of it. A task holds 16 bytes a key of its partition."""
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def scatter(batches):
         for batch in batches:
@@ -56,100 +51,85 @@ def bucket_members(items: DataFrame, parts: int) -> DataFrame:
         if not keys:
             return
         key, id_ = np.concatenate(keys), np.concatenate(ids)
-        order = np.argsort(key)
+        order = np.lexsort((id_, key))
         key, id_ = key[order], id_[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        size = np.diff(np.append(np.flatnonzero(new), len(key)))
-        many = np.repeat(size, size)
-        key, id_, many = key[many > 1].view(np.int64), id_[many > 1], many[many > 1]
-        for k in range(0, len(key), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in (key, id_, many.astype(np.int64))], names=["key", "id", "n"])
+        least = id_[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+        pair = np.unique(np.stack([id_, least])[:, id_ != least], axis=1)
+        for k in range(0, pair.shape[1], 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in pair], names=["u", "v"])
 
     spread = items.select("id", "keys").mapInArrow(scatter, "part int, keys binary, ids binary")
-    return spread.repartitionById(parts, F.col("part")).mapInArrow(gather, "key long, id long, n long")
-
-
-def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(axis=-1)
-
-
-def _lead(ids: np.ndarray, sig: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Round 1 in one bucket: each member and its nearest leader, if near enough."""
-    n = len(ids)
-    if n <= LEADERS:
-        leaders = np.arange(n)
-    else:
-        common = np.array([np.bincount(c, minlength=256).argmax() for c in sig.T], np.uint8)
-        leaders = np.lexsort((ids, -_alike(sig, common)))[:LEADERS]
-    rank = np.full(n, n)
-    rank[leaders] = np.arange(len(leaders))
-    left, right = [], []
-    for k in range(0, n, BLOCK):
-        near = (sig[k : k + BLOCK, None, :] == sig[None, leaders, :]).mean(axis=-1)
-        near[rank[k : k + BLOCK, None] <= np.arange(len(leaders))[None]] = -1  # a leader follows only those before it
-        best = near.argmax(axis=1)
-        ok = near[np.arange(len(best)), best] >= least
-        left.append(ids[k : k + BLOCK][ok])
-        right.append(ids[leaders][best[ok]])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _across(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Round 2 in one bucket: pairs across components. Members outside the largest component meet all members."""
-    names, inverse, size = np.unique(comp, return_inverse=True, return_counts=True)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(names) > 1:
-        out = np.flatnonzero(inverse != size.argmax())
-        for k in range(len(out)):
-            u = out[k]
-            other = comp != comp[u]
-            other[out[:k]] = False  # met already
-            near = np.flatnonzero(other)
-            near = near[_alike(sig[near], sig[u]) >= least]
-            left.append(np.full(len(near), ids[u]))
-            right.append(ids[near])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _groups(batches) -> Iterator[list[np.ndarray]]:
-    """Columns (key, id, sig[, comp]) of runs of whole keys; input is sorted by key."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sigs = batch.column(2).to_pylist()
-        new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)] + ([batch.column(3).to_numpy()] if batch.num_columns > 3 else [])
-        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-        cut = int(np.searchsorted(held[0] == held[0][-1], True))
-        if cut:
-            yield [x[:cut] for x in held]
-            held = [x[cut:] for x in held]
-    if held is not None and len(held[0]):
-        yield held
-
-
-def _pairs(members: DataFrame, least: float, across: bool, parts: int) -> DataFrame:
-    columns = ["key", "id", "sig"] + ["comp"] * across
+    return spread.repartitionById(parts, F.col("part")).mapInArrow(gather, "u long, v long")
 
-    def run(batches):
-        for key, ids, sig, *comp in _groups(batches):
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-            size = np.diff(cuts)
-            two = cuts[:-1][size == 2]
-            if across:
-                a = b = np.zeros(0, np.int64)  # a bucket of two was settled in round 1
-            else:
-                two = two[_alike(sig[two], sig[two + 1]) >= least]
-                a, b = ids[two], ids[two + 1]
-            found = [(a, b)]
-            for s, e in zip(cuts[:-1][size > 2].tolist(), cuts[1:][size > 2].tolist(), strict=True):
-                found.append(_across(ids[s:e], sig[s:e], comp[0][s:e], least) if across else _lead(ids[s:e], sig[s:e], least))
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            if pair.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
-
-    return members.select(*columns).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+class Union:
+    """Union-find over 0 .. n - 1."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.parent[max(i, j)] = min(i, j)
+
+    def roots(self, some: np.ndarray) -> np.ndarray:
+        return np.array([self.find(i) for i in some.tolist()])
+
+
+def bit_rows(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of uint64 words for each sorted set; members that only one set has are left out: they are in no intersection."""
+    sizes = np.array([len(x) for x in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = count > 1
+    column = (np.cumsum(kept) - 1)[place]
+    shared, owner = kept[place], np.repeat(np.arange(len(sets)), sizes)
+    column, owner = column[shared], owner[shared]
+    words = int(kept.sum()) // 64 + 1
+    rows = np.zeros((len(sets), words), np.uint64)
+    begins = np.searchsorted(owner, np.arange(0, len(sets) + ROWS, ROWS))
+    for k, (a, b) in enumerate(zip(begins, begins[1:], strict=False)):
+        part = rows[k * ROWS : (k + 1) * ROWS]
+        flat = np.zeros((len(part), words * 64), np.uint8)
+        flat[owner[a:b] - k * ROWS, column[a:b]] = 1
+        part[:] = np.packbits(flat, axis=1, bitorder="little").view(np.uint64)
+    return rows
+
+
+def exact_links(sets: list[np.ndarray], least: float, confirm: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
+    """Links of Jaccard similarity `least` or more that join all components of such links, by exact intersections.
+
+    Sets with most members in common with the others come first, so the original of many copies joins them in the
+    first rows of blocks; blocks that lie in one component are passed over.
+    """
+    n = len(sets)
+    if n < 2:
+        return
+    bits = bit_rows(sets)
+    common = np.array([np.bitwise_count(r).sum() for r in bits], np.int64)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    order = np.lexsort((np.arange(n), sizes, -common))
+    bits, sizes = bits[order], sizes[order]
+    union = Union(n)
+    for a in range(0, n, ROWS):
+        for b in range(a, n, ROWS):
+            rows, columns = np.arange(a, min(a + ROWS, n)), np.arange(b, min(b + ROWS, n))
+            ra, rb = union.roots(rows), union.roots(columns)
+            if len(np.unique(np.concatenate([ra, rb]))) == 1:
+                continue
+            both = np.zeros((len(rows), len(columns)), np.int64)
+            for w in range(bits.shape[1]):
+                both += np.bitwise_count(bits[rows, w][:, None] & bits[columns, w][None, :])
+            near = (both >= least * (sizes[rows][:, None] + sizes[columns][None, :] - both) - 1e-9) & (ra[:, None] != rb[None, :]) & (rows[:, None] < columns[None, :])
+            for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+                p, q = union.find(a + i), union.find(b + j)
+                if p != q and (confirm is None or confirm(int(order[a + i]), int(order[b + j]))):
+                    union.join(p, q)
+                    yield int(order[a + i]), int(order[b + j])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -159,7 +139,7 @@ def components(links: DataFrame) -> DataFrame:
     round is a join and two aggregations with partial sums, written to the shared folder; a node with very many
     neighbours is one row after aggregation, and its edges are a join side that Spark can split.
     """
-    edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -175,22 +155,39 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-def link(items: DataFrame, least: float, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) and components (id, comp) of written items.
+Compare = Callable[[list[bytes]], Iterator[tuple[int, int]]]
+
+
+def link(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Compare) -> DataFrame:
+    """Components (id, comp) of the links that `compare` finds among items that share buckets.
 
-    `verify` takes pairs (a, b) and returns those that hold; `least` is the signature share below which a pair isn't
-    looked at, well under the similarity asked for.
+    `fetch` takes ids (id) and returns their contents (id, data); `compare` takes contents and yields index pairs.
     """
-    parts = partitions_for(items)
-    members = durable(bucket_members(items, parts).join(items.select("id", "sig"), "id").select("key", "id", "n", "sig"), "members")
-    links = durable(verify(durable(_pairs(members, least, False, parts), "pairs")), "links")
-    comps = components(links)
-    larger = members.where("n > 2").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    split = larger.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    more = durable(_pairs(larger.join(split, "key"), least, True, parts).join(links, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        found = durable(verify(more), "links")
-        if not found.isEmpty():
-            links = durable(links.union(found), "links")
-            comps = components(links)
-    return links, comps
+    families = components(bucket_edges(items))
+    held = durable(fetch(families.select("id")).join(families, "id").select(F.col("comp").alias("family"), "id", "data"), "contents")
+    sizes = held.groupBy("family").agg(F.sum(F.length("data") + 64).alias("bytes"))
+    placed = held.join(sizes.select("family", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks")), "family")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("block")) | (F.col("blocks") == 1))
+    placed = placed.withColumn("block", block).select("family", "id", "data", "block", F.explode(others).alias("other"))
+    placed = placed.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "data")
+
+    def run(batches):
+        at, ids, contents = None, [], []
+
+        def flush():
+            found = list(compare(contents)) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for family, i, j, id_, data in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if (family, i, j) != at:
+                    yield flush()
+                    at, ids, contents = (family, i, j), [], []
+                ids.append(id_)
+                contents.append(data)
+        yield flush()
+
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = placed.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "id").mapInArrow(run, "a long, b long")
+    return components(links.toDF("u", "v"))

@@ -23,12 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, durable, prepare, texts
-from .lsh import link
+from .lsh import exact_links, link
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 16, 2
-#: Signature places that must agree before a pair is looked at: 32 places estimate 0.8 with a deviation of 0.07.
-LEAST_ALIKE = 0.5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = np.array([xxhash.xxh64_intdigest(b"sketch", seed=k) | 1 for k in range(SKETCHES)], np.uint64)
 
@@ -77,24 +75,19 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(words: np.ndarray) -> tuple[bytes, bytes]:
-    """Bucket keys (ordered tuples, hashed) and a signature byte for each picked k-mer, by rank of hash."""
+def sketch(words: np.ndarray) -> bytes:
+    """Bucket keys: the ordered tuples, hashed."""
     kmers = labelled(shingles(words))
-    keys, sig = np.zeros(SKETCHES, np.uint64), np.zeros((SKETCHES, PICKED), np.uint8)
+    keys = np.zeros(SKETCHES, np.uint64)
     for k in range(SKETCHES):
         h = mix(kmers * SEEDS[k])
-        first = int(h.argmin())
+        first = second = int(h.argmin())
         if len(h) > 1:
-            low = h[first]
             h[first] = np.uint64(0xFFFFFFFFFFFFFFFF)
             second = int(h.argmin())
-            h[first] = low
-        else:
-            second = first
         a, b = (first, second) if first <= second else (second, first)
-        sig[k] = (int(kmers[first]) >> 24 & 255, int(kmers[second]) >> 24 & 255)
         keys[k] = mix(mix(kmers[a : a + 1] + np.uint64(k)) * _MIX + kmers[b])[0]
-    return keys.tobytes(), sig.tobytes()
+    return keys.tobytes()
 
 
 def banded_distance(a: list[int], b: list[int], band: int) -> int | None:
@@ -127,21 +120,22 @@ def banded_distance(a: list[int], b: list[int], band: int) -> int | None:
     return None
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two word sequences are near-duplicates: shingle Jaccard and banded alignment both at 0.8 or more."""
-    x, y = np.unique(shingles(a)), np.unique(shingles(b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    if both < SIMILARITY * (len(x) + len(y) - both) - 1e-9:
-        return False
-    most = max(len(a), len(b))
-    return banded_distance(a.tolist(), b.tolist(), int((1 - SIMILARITY) * most + 1e-9)) is not None
+def compare(contents: list[bytes]):
+    """Index pairs of near-duplicates among packed word sequences: shingle Jaccard and banded alignment both at 0.8 or more."""
+    words = [np.frombuffer(x, np.uint64) for x in contents]
+
+    def aligned(i: int, j: int) -> bool:
+        band = int((1 - SIMILARITY) * max(len(words[i]), len(words[j])) + 1e-9)
+        return banded_distance(words[i].tolist(), words[j].tolist(), band) is not None
+
+    yield from exact_links([np.unique(shingles(w)) for w in words], SIMILARITY, aligned)
 
 
 # ---------------------------------------------------------------- DataFrames
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, h1 and h2 (a 128-bit digest of the text), keys, sig: a row a document; copies in a batch share the work."""
+    """doc_id, h1 and h2 (a 128-bit digest of the text), keys: a row a document; copies in a batch share the work."""
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -149,37 +143,39 @@ def sketches(docs: DataFrame) -> DataFrame:
         for ids, bodies in arrow_rows(batches, "doc_id", "text"):
             for k in range(0, len(ids), 1000):
                 digest = [xxhash.xxh3_128_intdigest(x) for x in bodies[k : k + 1000]]
-                done: dict[int, tuple[bytes, bytes]] = {}
+                done: dict[int, bytes] = {}
                 for d, text in zip(digest, bodies[k : k + 1000], strict=True):
                     if d not in done:
                         done[d] = sketch(word_hashes(text, known))
                 halves = np.array([(d >> 64, d & 0xFFFFFFFFFFFFFFFF) for d in digest], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 1000], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([done[d][0] for d in digest], pa.binary()), pa.array([done[d][1] for d in digest], pa.binary())], names=["doc_id", "h1", "h2", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 1000], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([done[d] for d in digest], pa.binary())], names=["doc_id", "h1", "h2", "keys"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, h1 long, h2 long, keys binary, sig binary")
+    return texts(docs).mapInArrow(run, "doc_id long, h1 long, h2 long, keys binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), class_size, n_links (links of its text to other texts): a row a document."""
+    """doc_id, class_id (the least doc_id of its class), class_size: a row a document."""
     body = texts(docs)
     rows = durable(sketches(docs), "sketches")
-    groups = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"), F.any_value("sig").alias("sig"))
-    items = durable(groups.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "copies", "keys", "sig"), "items")
+    groups = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
+    items = durable(groups.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "copies", "keys"), "items")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        named = items.select("id", "h1", "h2", "first").join(wanted, "id", "left_semi").where("first is not null")
+    def fetch(wanted: DataFrame) -> DataFrame:
+        named = items.select("id", "h1", "h2", "first").join(wanted, "id", "left_semi")
         # A doc_id may stand for several texts: the digest picks the right one.
-        text = durable(_with_digest(body.join(named.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")).join(named.select("h1", "h2", "id"), ["h1", "h2"]).select("id", "words").dropDuplicates(["id"]), "words")
-        both = pairs.join(text.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(text.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-        return both.mapInArrow(_check, "a long, b long")
+        return _with_digest(_of(body, named)).join(named.select("h1", "h2", "id"), ["h1", "h2"]).select("id", "data").dropDuplicates(["id"])
 
-    links, comps = link(items.select("id", "keys", "sig"), LEAST_ALIKE, verify)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = items.select("id", "h1", "h2", "first", "copies").join(comps, "id", "left").join(degree, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    comps = link(items.select("id", "keys"), fetch, compare)
+    named = items.select("id", "h1", "h2", "first", "copies").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sized = named.groupBy("comp").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_text = named.join(sized, "comp").select("h1", "h2", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.select("doc_id", "h1", "h2").join(of_text, ["h1", "h2"]).select("doc_id", "class_id", "class_size", "n_links")
+    of_text = named.join(sized, "comp").select("h1", "h2", "class_id", "class_size")
+    return rows.select("doc_id", "h1", "h2").join(of_text, ["h1", "h2"]).select("doc_id", "class_id", "class_size")
+
+
+def _of(body: DataFrame, named: DataFrame) -> DataFrame:
+    """The documents whose doc_id a wanted text has first; those without a doc_id too."""
+    wanted = named.where("first is not null").select(F.col("first").alias("doc_id")).distinct()
+    return body.join(wanted, "doc_id", "left_semi").union(body.where("doc_id is null"))
 
 
 def _with_digest(body: DataFrame) -> DataFrame:
@@ -192,15 +188,9 @@ def _with_digest(body: DataFrame) -> DataFrame:
                 part = bodies[k : k + 1000]
                 digest = [xxhash.xxh3_128_intdigest(x) for x in part]
                 halves = np.array([(d >> 64, d & 0xFFFFFFFFFFFFFFFF) for d in digest], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([word_hashes(x, known).tobytes() for x in part], pa.binary())], names=["h1", "h2", "words"])
-
-    return body.select("text").mapInArrow(run, "h1 long, h2 long, words binary")
-
+                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([word_hashes(x, known).tobytes() for x in part], pa.binary())], names=["h1", "h2", "data"])
 
-def _check(batches):
-    for a, b, wa, wb in arrow_rows(batches, "a", "b", "wa", "wb"):
-        ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(wa, wb, strict=True)]
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()).filter(pa.array(ok)), "b": pa.array(b, pa.int64()).filter(pa.array(ok))})
+    return body.select("text").mapInArrow(run, "h1 long, h2 long, data binary")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
