@@ -16,6 +16,7 @@ Repeated doc_ids each keep their own frame, ordered by their ids' bytes. An empt
 from __future__ import annotations
 
 import io
+import os
 import re
 import struct
 import uuid
@@ -62,6 +63,7 @@ class CachedEncoder:
     """
 
     def __init__(self, path: str, limit: int = CACHE_ENTRIES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would wait for each other
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
