@@ -1,6 +1,66 @@
-"""The corpus pipeline: toxicity, line dedup, near-dedup, decontamination, encoding."""
+"""From raw documents to token ids: toxicity, line dedup, near-dedup, decontamination, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Stages but the last return the
+columns of `documents`; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusgraph.llm import byte_bpe, decontaminate, line_dedup, order_minhash, toxicity
+from corpusgraph.llm.common import durable
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels of documents that are here."""
+    return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each component stays; a document that loses its last line goes."""
+    return _measured(line_dedup.dedup(docs, drop_empty=True))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays."""
+    return order_minhash.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out; a document of which nothing else is left goes."""
+    return _measured(decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, and the digests of ids and of the bytes they decode to."""
+    encoded = byte_bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode_documents(encoded, RANKS), "ids")
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("byte_bpe", byte_bpe_stage),
+]
+
+#: Automata, sketches, an FM-index and merges aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, each written to the shared folder before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

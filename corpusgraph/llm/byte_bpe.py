@@ -190,10 +190,11 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256."""
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256; other columns on request."""
     return decoded.select(
         "doc_id",
+        *more,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

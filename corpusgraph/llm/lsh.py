@@ -1,7 +1,7 @@
 """Buckets of equal sketch keys, families of items that share buckets, exact links in families, and components.
 
-Items are (id, keys): a unique long id and packed uint64 sketch keys. Keys travel as arrays, a few rows a batch, not as
-a row a key. Items that share a bucket, directly or through others, are a family; an item's content is sent once, to
+Items are (id, keys): a unique long id and packed sketch keys of 48 bits. Keys travel as arrays, a few rows a batch, not
+as a row a key. Items that share a bucket, directly or through others, are a family; an item's content is sent once, to
 its family, whatever the number of its buckets. There all pairs are compared exactly, as sets held in bit rows, and
 only links that join two components are given on: n - 1 at most for n items, never all pairs.
 
@@ -25,41 +25,61 @@ BLOCK_BYTES = 48_000_000
 ROWS = 512
 
 
+KEY_BYTES = 6
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Keys as 6 bytes each, the low ones."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel()
+
+
 def bucket_edges(items: DataFrame) -> DataFrame:
     """(u, v): each member of a bucket of two or more with the least id of it. A task holds 16 bytes a key of its partition."""
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def scatter(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             packed = batch.column(1).to_pylist()
-            keys = np.frombuffer(b"".join(packed), np.uint64)
-            ids = np.repeat(ids, [len(x) // 8 for x in packed])
+            keys, base = unpack(b"".join(packed)), int(ids.min())
+            places = np.repeat(ids - base, [len(x) // KEY_BYTES for x in packed])
+            places = places.astype("<u4" if int(ids.max()) - base < 1 << 32 else "<u8")
             part = (keys % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            keys, ids, part = keys[order], ids[order], part[order]
-            cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(part)]
-            spans = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-            if spans:
-                yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "keys", "ids"])
+            keys, places, part = keys[order], places[order], part[order]
+            begins = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            spans = list(zip(begins, [*begins[1:], len(part)], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array([base] * len(spans), pa.int64()), pa.array([pack(keys[a:b]) for a, b in spans], pa.binary()), pa.array([places[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "base", "keys", "places"])
 
     def gather(batches):
         keys, ids = [], []
         for batch in batches:
-            keys += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            ids += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            for base, k, p in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                keys.append(unpack(k))
+                ids.append(base + np.frombuffer(p, f"<u{len(p) // len(keys[-1])}").astype(np.int64))
         if not keys:
             return
         key, id_ = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((id_, key))
+        del keys, ids
+        order = np.argsort(key)
         key, id_ = key[order], id_[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        least = id_[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-        pair = np.unique(np.stack([id_, least])[:, id_ != least], axis=1)
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(begins, len(key)))
+        least = np.repeat(np.minimum.reduceat(id_, begins), sizes)
+        some = id_ != least
+        pair = np.unique(np.stack([id_[some], least[some]]), axis=1)
         for k in range(0, pair.shape[1], 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in pair], names=["u", "v"])
 
-    spread = items.select("id", "keys").mapInArrow(scatter, "part int, keys binary, ids binary")
+    spread = items.select("id", "keys").mapInArrow(scatter, "part int, base long, keys binary, places binary")
     return spread.repartitionById(parts, F.col("part")).mapInArrow(gather, "u long, v long")
 
 
@@ -103,33 +123,42 @@ def bit_rows(sets: list[np.ndarray]) -> np.ndarray:
 def exact_links(sets: list[np.ndarray], least: float, confirm: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
     """Links of Jaccard similarity `least` or more that join all components of such links, by exact intersections.
 
-    Sets with most members in common with the others come first, so the original of many copies joins them in the
-    first rows of blocks; blocks that lie in one component are passed over.
+    Sets with most members in common with the others come first: `ROWS` of them meet all sets, so the original of many
+    copies joins them at once. Then every set outside the largest component meets all sets. A pair of different
+    components has a set outside the largest one, so no pair that could join components is left out.
     """
     n = len(sets)
     if n < 2:
         return
-    bits = bit_rows(sets)
+    bits, sizes = bit_rows(sets), np.array([len(x) for x in sets], np.int64)
     common = np.array([np.bitwise_count(r).sum() for r in bits], np.int64)
-    sizes = np.array([len(x) for x in sets], np.int64)
     order = np.lexsort((np.arange(n), sizes, -common))
-    bits, sizes = bits[order], sizes[order]
     union = Union(n)
-    for a in range(0, n, ROWS):
-        for b in range(a, n, ROWS):
-            rows, columns = np.arange(a, min(a + ROWS, n)), np.arange(b, min(b + ROWS, n))
-            ra, rb = union.roots(rows), union.roots(columns)
-            if len(np.unique(np.concatenate([ra, rb]))) == 1:
-                continue
-            both = np.zeros((len(rows), len(columns)), np.int64)
-            for w in range(bits.shape[1]):
-                both += np.bitwise_count(bits[rows, w][:, None] & bits[columns, w][None, :])
-            near = (both >= least * (sizes[rows][:, None] + sizes[columns][None, :] - both) - 1e-9) & (ra[:, None] != rb[None, :]) & (rows[:, None] < columns[None, :])
-            for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                p, q = union.find(a + i), union.find(b + j)
-                if p != q and (confirm is None or confirm(int(order[a + i]), int(order[b + j]))):
-                    union.join(p, q)
-                    yield int(order[a + i]), int(order[b + j])
+
+    def meet(rows: np.ndarray, columns: np.ndarray) -> Iterator[tuple[int, int]]:
+        ra, rb = union.roots(rows), union.roots(columns)
+        if (ra == ra[0]).all() and (rb == ra[0]).all():
+            return
+        both = np.zeros((len(rows), len(columns)), np.int64)
+        left, right = bits[rows].T.copy(), bits[columns].T.copy()
+        for x, y in zip(left, right, strict=True):
+            both += np.bitwise_count(x[:, None] & y[None, :])
+        near = (both >= least * (sizes[rows][:, None] + sizes[columns][None, :] - both) - 1e-9) & (ra[:, None] != rb[None, :])
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+            p, q = int(rows[i]), int(columns[j])
+            if union.find(p) != union.find(q) and (confirm is None or confirm(p, q)):
+                union.join(union.find(p), union.find(q))
+                yield p, q
+
+    for b in range(0, n, ROWS):
+        yield from meet(order[:ROWS], order[b : b + ROWS])
+    if n > ROWS:
+        roots = union.roots(order)
+        names, count = np.unique(roots, return_counts=True)
+        rest = order[ROWS:][roots[ROWS:] != names[count.argmax()]]
+        for a in range(0, len(rest), ROWS):
+            for b in range(0, n, ROWS):
+                yield from meet(rest[a : a + ROWS], order[b : b + ROWS])
 
 
 def components(links: DataFrame) -> DataFrame:

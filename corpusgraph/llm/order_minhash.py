@@ -10,8 +10,8 @@ Words are what white space separates. Exact copies are one text with one sketch:
 of the whole text, whatever their number.
 
 Edge cases: a null text is an empty one; empty texts are copies of each other; a text of fewer than five words has
-one shingle, the whole of it; a null doc_id is kept in its class, never as representative unless it is alone there;
-repeated rows are copies; an empty table gives no rows.
+one shingle, the whole of it; a null doc_id is in its class, but represents it only if no doc_id is there; repeated
+rows are copies; an empty table gives no rows. The table must read alike each time, as files do.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, durable, prepare, texts
-from .lsh import exact_links, link
+from .common import arrow_rows, durable, prepare
+from .lsh import exact_links, link, pack
+from .passes import by_partition, numbered, of_partition
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 16, 2
@@ -87,7 +88,7 @@ def sketch(words: np.ndarray) -> bytes:
             second = int(h.argmin())
         a, b = (first, second) if first <= second else (second, first)
         keys[k] = mix(mix(kmers[a : a + 1] + np.uint64(k)) * _MIX + kmers[b])[0]
-    return keys.tobytes()
+    return pack(keys)
 
 
 def banded_distance(a: list[int], b: list[int], band: int) -> int | None:
@@ -134,72 +135,75 @@ def compare(contents: list[bytes]):
 # ---------------------------------------------------------------- DataFrames
 
 
+ROWS = "row long, doc_id long, h1 long, h2 long, keys binary"
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, h1 and h2 (a 128-bit digest of the text), keys: a row a document; copies in a batch share the work."""
+    """row, doc_id, h1 and h2 (a 128-bit digest of the text), keys: a row a document; copies in a batch share the work."""
     prepare(docs.sparkSession)
 
     def run(batches):
         known = WordHash()
-        for ids, bodies in arrow_rows(batches, "doc_id", "text"):
-            for k in range(0, len(ids), 1000):
-                digest = [xxhash.xxh3_128_intdigest(x) for x in bodies[k : k + 1000]]
+        for rows, ids, bodies in arrow_rows(batches, "__row", "doc_id", "text"):
+            for k in range(0, len(rows), 1000):
+                digest = [xxhash.xxh3_128_intdigest(x or "") for x in bodies[k : k + 1000]]
                 done: dict[int, bytes] = {}
                 for d, text in zip(digest, bodies[k : k + 1000], strict=True):
                     if d not in done:
-                        done[d] = sketch(word_hashes(text, known))
+                        done[d] = sketch(word_hashes(text or "", known))
                 halves = np.array([(d >> 64, d & 0xFFFFFFFFFFFFFFFF) for d in digest], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 1000], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([done[d] for d in digest], pa.binary())], names=["doc_id", "h1", "h2", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[k : k + 1000], pa.int64()), pa.array(ids[k : k + 1000], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([done[d] for d in digest], pa.binary())], names=["row", "doc_id", "h1", "h2", "keys"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, h1 long, h2 long, keys binary")
+    return numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROWS)
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), class_size: a row a document."""
-    body = texts(docs)
-    rows = durable(sketches(docs), "sketches")
-    groups = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
-    items = durable(groups.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "copies", "keys"), "items")
-
-    def fetch(wanted: DataFrame) -> DataFrame:
-        named = items.select("id", "h1", "h2", "first").join(wanted, "id", "left_semi")
-        # A doc_id may stand for several texts: the digest picks the right one.
-        return _with_digest(_of(body, named)).join(named.select("h1", "h2", "id"), ["h1", "h2"]).select("id", "data").dropDuplicates(["id"])
-
-    comps = link(items.select("id", "keys"), fetch, compare)
-    named = items.select("id", "h1", "h2", "first", "copies").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    sized = named.groupBy("comp").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_text = named.join(sized, "comp").select("h1", "h2", "class_id", "class_size")
-    return rows.select("doc_id", "h1", "h2").join(of_text, ["h1", "h2"]).select("doc_id", "class_id", "class_size")
+def fetch_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, data): the packed word hashes of the texts at (id, row), from another pass over the table."""
+    folder = by_partition(wanted, "row", "wanted")
 
+    def run(batches):
+        known, ids_of = WordHash(), None
+        for rows, bodies in arrow_rows(batches, "__row", "text"):
+            if ids_of is None:
+                ids_of = {r: i for i, r in zip(*of_partition(folder, rows[0], ["id", "row"]), strict=True)}
+            some = [(ids_of[r], x or "") for r, x in zip(rows, bodies, strict=True) if r in ids_of]
+            for k in range(0, len(some), 500):
+                part = some[k : k + 500]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([word_hashes(x, known).tobytes() for _, x in part], pa.binary())], names=["id", "data"])
 
-def _of(body: DataFrame, named: DataFrame) -> DataFrame:
-    """The documents whose doc_id a wanted text has first; those without a doc_id too."""
-    wanted = named.where("first is not null").select(F.col("first").alias("doc_id")).distinct()
-    return body.join(wanted, "doc_id", "left_semi").union(body.where("doc_id is null"))
+    return numbered(docs, "text").mapInArrow(run, "id long, data binary")
 
 
-def _with_digest(body: DataFrame) -> DataFrame:
-    """h1, h2 and the packed word hashes of each text."""
+def members(docs: DataFrame) -> DataFrame:
+    """row, doc_id, class_id, class_size, first: the row number of the class's document of least doc_id. A row a document."""
+    rows = durable(sketches(docs), "sketches")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    groups = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
+    items = durable(groups.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "copies", "keys"), "items")
+    comps = link(items.select("id", "keys"), lambda ids: fetch_words(docs, items.select("id", F.col("first.row").alias("row")).join(ids, "id", "left_semi")), compare)
+    named = durable(items.select("id", "h1", "h2", "first", "copies").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "named")
+    sized = named.groupBy("comp").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
+    of_text = named.select("h1", "h2", "comp").join(sized, "comp").select("h1", "h2", F.col("first.doc_id").alias("class_id"), "class_size", F.col("first.row").alias("first"))
+    return rows.select("row", "doc_id", "h1", "h2").join(of_text, ["h1", "h2"]).select("row", "doc_id", "class_id", "class_size", "first")
 
-    def run(batches):
-        known = WordHash()
-        for (bodies,) in arrow_rows(batches, "text"):
-            for k in range(0, len(bodies), 1000):
-                part = bodies[k : k + 1000]
-                digest = [xxhash.xxh3_128_intdigest(x) for x in part]
-                halves = np.array([(d >> 64, d & 0xFFFFFFFFFFFFFFFF) for d in digest], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([word_hashes(x, known).tobytes() for x in part], pa.binary())], names=["h1", "h2", "data"])
 
-    return body.select("text").mapInArrow(run, "h1 long, h2 long, data binary")
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class), class_size: a row a document."""
+    return members(docs).select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The same columns: of each class the rows of the least doc_id stay, and of its repeated rows one.
+    """The same columns: of each class the document of least doc_id stays (of its repeated rows the first)."""
+    folder = by_partition(members(docs).where("row <> first").select("row"), "row", "removals")
 
-    Documents without a doc_id can't be told apart by it: they stay unless their class has a named document, and one stays.
-    """
-    kept = classes(docs).where("doc_id is not distinct from class_id").select("doc_id").distinct()
-    if "doc_id" not in docs.columns:
-        raise ValueError("no column doc_id")
-    named = docs.dropDuplicates(["doc_id"])
-    return named.join(kept, named["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    def run(batches):
+        gone: set[int] | None = None
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            if gone is None and rows:
+                gone = set(of_partition(folder, rows[0], ["row"])[0])
+            if rows:
+                kept = pa.RecordBatch.from_arrays(batch.columns[1:], schema=pa.schema(list(batch.schema)[1:]))
+                yield kept.filter(pa.array([r not in gone for r in rows], pa.bool_()))
+
+    return numbered(docs, *(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(run, docs.schema)

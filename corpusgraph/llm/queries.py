@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, chunk_dedup, decontaminate, multi_index, order_minhash, pii, token_store, toxicity, url_filter
+from . import byte_bpe, chunk_dedup, decontaminate, line_dedup, multi_index, order_minhash, pii, token_store, toxicity, url_filter
 
 WORD_TOKENIZER, BYTE_RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -36,6 +36,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode_documents(encoded, BYTE_RANKS))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -56,5 +60,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_url_filter, op4_byte_bpe, op6_multi_index, op7_chunk_dedup, op8_decontamination, op9_pii, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_url_filter, op4_byte_bpe, op5_line_dedup, op6_multi_index, op7_chunk_dedup, op8_decontamination, op9_pii, op10_order_minhash)}
 ORACLES: dict[str, str] = {}
