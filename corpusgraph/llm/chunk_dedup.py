@@ -113,7 +113,7 @@ def spread(x: np.ndarray, by: np.ndarray, parts: int, kind: int):
 
 
 PACKED = "kind int, part int, data binary"
-SPANS = "row long, doc_id long, start long, end long, first_doc_ids array<long>"
+SPANS = "row long, doc_id long, start long, end long, earlier_doc_ids array<long>"
 
 
 def by_row(x: np.ndarray) -> np.ndarray:
@@ -135,7 +135,7 @@ def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def spans_of(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """row, doc_id, start, end (UTF-8 bytes), first_doc_ids: each run of repeated chunks of at least `least` bytes."""
+    """row, doc_id, start, end (UTF-8 bytes), earlier_doc_ids: each run of repeated chunks of at least `least` bytes."""
     spark = rows.sparkSession
     prepare(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -171,7 +171,7 @@ def spans_of(rows: DataFrame, least: int = LEAST) -> DataFrame:
             a, b = begins[some], lasts[some]
             doc = x["doc"][a]
             firsts = [[None if f == NONE else f for f in np.unique(x["first"][p : q + 1]).tolist()] for p, q in zip(a.tolist(), b.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x["row"][a]), pa.array(doc, mask=doc == NONE), pa.array(x["pos"][a].astype(np.int64)), pa.array(end[b]), pa.array(firsts, pa.list_(pa.int64()))], names=["row", "doc_id", "start", "end", "first_doc_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(x["row"][a]), pa.array(doc, mask=doc == NONE), pa.array(x["pos"][a].astype(np.int64)), pa.array(end[b]), pa.array(firsts, pa.list_(pa.int64()))], names=["row", "doc_id", "start", "end", "earlier_doc_ids"])
 
     cut_up = durable(rows.mapInArrow(chunk, PACKED), "chunks")
     across = cut_up.where("kind = 0").repartitionById(parts, F.col("part")).mapInArrow(find, PACKED)
@@ -180,16 +180,16 @@ def spans_of(rows: DataFrame, least: int = LEAST) -> DataFrame:
 
 def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """A row for each document with repeated passages: doc_id, n_spans, n_bytes, spans (`start:end` in UTF-8 bytes,
-    comma-joined), first_doc_ids (documents that hold them first)."""
+    comma-joined), earlier_doc_ids (documents that hold an earlier copy)."""
     found = spans(docs, least)
     ordered = F.array_sort(F.collect_list(F.struct("start", "end")))
-    grouped = found.groupBy("row", "doc_id").agg(ordered.alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("first_doc_ids")))).alias("first_doc_ids"))
+    grouped = found.groupBy("row", "doc_id").agg(ordered.alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("earlier_doc_ids")))).alias("earlier_doc_ids"))
     return grouped.select(
         "doc_id",
         F.size("s").cast("long").alias("n_spans"),
         F.aggregate("s", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"]).alias("n_bytes"),
         F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"),
-        "first_doc_ids",
+        "earlier_doc_ids",
     )
 
 

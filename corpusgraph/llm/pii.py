@@ -117,10 +117,14 @@ def redact(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     for k in KINDS:
         values = F.array_distinct(F.transform(k.name, lambda s: s["value"]))
-        text = F.aggregate(values, text, lambda t, v, n=k.name: F.replace(t, v, F.lit(f"<{n}>")))
+        text = _replaced(text, values, f"<{k.name}>")
     return find_spans(docs, "text").select("doc_id", text.alias("text"))
 
 
+def _replaced(text: Column, values: Column, by: str) -> Column:
+    return F.aggregate(values, text, lambda t, v: F.replace(t, v, F.lit(by)))
+
+
 def _joined(*kinds: str) -> Column:
     spans = F.concat(*(F.col(k) for k in kinds))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

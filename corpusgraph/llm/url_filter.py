@@ -96,7 +96,7 @@ def score(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def threshold(scores: DataFrame) -> float:
-    """The bin edge that best separates held-out accepted from rejected URLs; 0 if either is missing.
+    """The score that best separates held-out accepted from rejected URLs, to a bin; 0 if either is missing.
 
     At most a row for each bin in which a score falls comes to the driver; scores are bounded by the log of the
     smallest smoothed probability.
@@ -105,12 +105,12 @@ def threshold(scores: DataFrame) -> float:
     accepted, rejected = sum(r["a"] for r in rows), sum(r["b"] for r in rows)
     if not accepted or not rejected:
         return 0.0
-    best, below_a, below_b = (-1.0, 0.0, 0.0), 0, 0
-    for r in rows:
-        edge = r["bin"] / BINS
+    best, below_a, below_b, low = (-1.0, 0.0, 0.0), 0, 0, float("-inf")
+    for a, b, high in [*((r["a"], r["b"], r["bin"] / BINS) for r in rows), (0, 0, float("inf"))]:
+        edge = min(max(0.0, low), high)  # anything from the last score below to the first above does; nearest to 0
         best = max(best, ((accepted - below_a) / accepted + below_b / rejected, -abs(edge), edge))
-        below_a, below_b = below_a + r["a"], below_b + r["b"]
-    return max(best, (1.0, -abs((rows[-1]["bin"] + 1) / BINS), (rows[-1]["bin"] + 1) / BINS))[2]
+        below_a, below_b, low = below_a + a, below_b + b, high + 1 / BINS
+    return best[2]
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
