@@ -117,7 +117,7 @@ def common_prefix(a: Column, b: Column) -> Column:
 def recency(at: Column, as_of: Column, days: float = 90) -> Column:
     """1 for now, falling to 0 after `days`; null for a missing time."""
     age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 86_400_000_000
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - age / days))
+    return F.when(age.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - age / days)))
 
 
 def similarity(squared: Column) -> Column:

@@ -114,7 +114,7 @@ def resolve_imports(found: DataFrame, files: DataFrame) -> DataFrame:
 
 def memory_files(spark: SparkSession, root: str) -> DataFrame:
     """(file_path, name, type, description, content) of markdown files with a front matter; others are left out."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(root).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), "value").where("file_name <> 'MEMORY.md'")
-    parts = raw.where(F.col("value").rlike(r"(?s)^---\n.*?\n---")).select("file_path", F.regexp_extract("value", r"(?s)^---\n(.*?)\n---", 1).alias("head"), F.trim(F.regexp_extract("value", r"(?s)^---\n.*?\n---\n?(.*)$", 1)).alias("content"))
+    raw = spark.read.option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), "value").where("file_name <> 'MEMORY.md'")
+    parts = raw.where(F.col("value").rlike(r"(?s)^---\n.*?\n---")).select("file_path", F.regexp_extract("value", r"(?s)^---\n(.*?)\n---", 1).alias("head"), F.trim(F.regexp_extract("value", r"(?s)^---\n.*?\n---\n?(.*?)\s*$", 1)).alias("content"))
     field = lambda f: F.nullif(F.regexp_replace(F.regexp_extract("head", rf"(?m)^{f}:[ ]*(.*?)[ ]*$", 1), "^[\"']|[\"']$", ""), F.lit(""))
     return parts.select("file_path", *(field(f).alias(f) for f in ("name", "type", "description")), "content").where("name is not null and type is not null")
