@@ -1,10 +1,12 @@
 """Fuzzy line dedup: MinHash over character shingles, high-recall banding, exact Jaccard, distributed union-find.
 
 A line is what line breaks separate, without white space at its ends; blank lines take no part. Its shingles are all
-runs of `SHINGLE` characters (the whole line if shorter). One-permutation MinHash gives `BANDS * ROWS` minima, empty
-bins filled from their neighbours; `BANDS` keys of `ROWS` minima each find a pair of similarity 0.8 with a chance of
-1 - (1 - 0.8^3)^12, over 0.9998. Lines that share a key are a family; in a family all pairs are compared exactly, and
-links of Jaccard similarity 0.8 or more are united. Of each component the first line stays, by doc_id, row and place.
+runs of `SHINGLE` characters (the whole line if shorter). A band is a tuple of minima, and a key. Lines of at least
+`LONG` shingles have 14 bands of 4 minima from one permutation, in bins. Shorter lines, in which chance similarity is
+higher and bins would stay empty, have 20 bands of 5 minima of as many hash functions; lines in between have both, so
+two lines of similarity 0.8 always share a scheme. A pair of similarity 0.8 shares a key with a chance of over 0.999.
+Lines that share a key are a family; in a family all pairs are compared exactly, and links of Jaccard similarity 0.8
+or more are united. Of each component the first line stays, by doc_id, row and place.
 
 Lines repeated in a batch are one item with a list of places, so a line in a third of all documents is an item a batch.
 Texts aren't shuffled: passes over the table read it again, and what a pass needs of another lies in the shared folder by
@@ -29,10 +31,14 @@ from .order_minhash import mix
 from .passes import by_partition, numbered, of_partition
 
 SHINGLE, SIMILARITY = 8, 0.8
-BANDS, ROWS = 12, 3
-BINS = BANDS * ROWS
+LONG, OVERLAP = 96, 1.25
+LONG_BANDS, LONG_ROWS = 14, 4
+SHORT_BANDS, SHORT_ROWS = 20, 5
+BINS = LONG_BANDS * LONG_ROWS
 #: Characters of lines that are hashed at a time.
 CHUNK_CHARS = 200_000
+#: Bytes of a family's lines that are a block: each character has a hash of eight bytes.
+BLOCK_BYTES = 2_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _EMPTY = np.uint32(0xFFFFFFFF)
 LAST = (1 << 63) - 1  # stands for a null doc_id
@@ -54,12 +60,22 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """The keys of each line, a row a line."""
-    hashes, counts = shingle_hashes(lines)
-    line = np.repeat(np.arange(len(lines)), counts)
+FACTORS = np.array([xxhash.xxh64_intdigest(b"minimum", seed=k) | 1 for k in range(SHORT_BANDS * SHORT_ROWS)], np.uint64)
+
+
+def joined(minima: np.ndarray, salt: int) -> np.ndarray:
+    """Keys of bands: minima (line, band, place) mixed to one number a band."""
+    keys = (np.arange(minima.shape[1], dtype=np.uint64) + np.uint64(salt))[None, :] * _B
+    for r in range(minima.shape[2]):
+        keys = mix(keys * _A + minima[:, :, r])
+    return keys
+
+
+def long_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One permutation: the least hash of each bin; an empty bin takes that of the next full one. Bands take bins far apart."""
+    line = np.repeat(np.arange(len(counts)), counts)
     bins = ((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
-    least = np.full(len(lines) * BINS, _EMPTY, np.uint32)
+    least = np.full(len(counts) * BINS, _EMPTY, np.uint32)
     np.minimum.at(least, line * BINS + bins.astype(np.int64), hashes.astype(np.uint32))
     least = least.reshape(-1, BINS)
     filled = least.astype(np.uint64)
@@ -69,21 +85,41 @@ def band_keys(lines: list[str]) -> np.ndarray:
             break
         near = np.roll(least, -step, axis=1)
         filled = np.where(empty & (near != _EMPTY), near + np.uint64(step << 32), filled)
-    rows = filled.reshape(len(lines), BANDS, ROWS)
-    keys = np.arange(BANDS, dtype=np.uint64)[None, :] * _B
-    for r in range(ROWS):
-        keys = mix(keys * _A + rows[:, :, r])
-    return keys
+    return joined(filled.reshape(-1, LONG_ROWS, LONG_BANDS).transpose(0, 2, 1), 1000)
+
+
+def short_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash function for each minimum."""
+    begins = np.cumsum(counts) - counts
+    minima = np.stack([np.minimum.reduceat(hashes * f, begins) for f in FACTORS], axis=1)
+    return joined(minima.reshape(-1, SHORT_BANDS, SHORT_ROWS), 0)
+
+
+def band_keys(lines: list[str]) -> list[bytes]:
+    """The packed keys of each line."""
+    hashes, counts = shingle_hashes(lines)
+    ends, out = np.cumsum(counts), [b""] * len(lines)
+    for some, keys in ((np.flatnonzero(counts < LONG * OVERLAP), short_keys), (np.flatnonzero(counts >= LONG), long_keys)):
+        if len(some):
+            mine = np.concatenate([hashes[ends[k] - counts[k] : ends[k]] for k in some.tolist()])
+            for k, row in zip(some.tolist(), keys(mine, counts[some]), strict=True):
+                out[k] += pack(row)
+    return out
 
 
 def compare(contents: list[bytes]):
-    """Index pairs of similar lines: exact Jaccard of their sets of shingles."""
-    lines = [x.decode() for x in contents]
-    sets = []
-    for k in range(0, len(lines), 500):
-        hashes, counts = shingle_hashes(lines[k : k + 500])
-        sets += [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
-    yield from exact_links(sets, SIMILARITY)
+    """Index pairs of similar lines: equal ones, then exact Jaccard of the distinct ones' sets of shingles."""
+    first: dict[bytes, int] = {}
+    for k, x in enumerate(contents):
+        if (f := first.setdefault(x, k)) != k:
+            yield f, k
+    at = list(first.values())
+    if len(at) > 1:
+        lines, sets = [x.decode() for x in first], []
+        for k in range(0, len(lines), 500):
+            hashes, counts = shingle_hashes(lines[k : k + 500])
+            sets += [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+        yield from ((at[i], at[j]) for i, j in exact_links(sets, SIMILARITY))
 
 
 # ---------------------------------------------------------------- passes over the table
@@ -121,7 +157,7 @@ def items(docs: DataFrame) -> DataFrame:
                         pa.array([p[0][2] for p in places], pa.int32()),
                         pa.array([len(p) for p in places], pa.int32()),
                         pa.array([np.array(p, PLACE).tobytes() if len(p) > 1 else None for p in places], pa.binary()),
-                        pa.array([pack(k) for k in keys], pa.binary()),
+                        pa.array(keys, pa.binary()),
                     ],
                     names=["doc", "row", "line", "n", "places", "keys"],
                 )
@@ -158,7 +194,7 @@ def removals(docs: DataFrame) -> DataFrame:
     """(row, line): every line but the first of each component, by row number of the table and line number."""
     prepare(docs.sparkSession)
     found = durable(items(docs).withColumn("id", F.monotonically_increasing_id()), "items")
-    comps = durable(link(found.select("id", "keys"), lambda ids: fetch_lines(docs, found.select("id", "row", "line").join(ids, "id", "left_semi")), compare), "components")
+    comps = durable(link(found.select("id", "keys"), lambda ids: fetch_lines(docs, found.select("id", "row", "line").join(ids, "id", "left_semi")), compare, BLOCK_BYTES), "components")
     members = found.select("id", "doc", "row", "line", "n", "places").join(comps, "id")
     first = members.groupBy("comp").agg(F.min(F.struct("doc", "row", "line", "id")).alias("first"))
     losers = members.join(first, "comp").where(F.col("id") != F.col("first.id")).select("row", "line", "places", F.lit(True).alias("all"))

@@ -15,12 +15,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
 
-BLOCK_BYTES = 48_000_000
+BLOCK_BYTES = 24_000_000
 #: Sets compared with each other at a time.
 ROWS = 512
 
@@ -40,7 +41,11 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def bucket_edges(items: DataFrame) -> DataFrame:
-    """(u, v): each member of a bucket of two or more with the least id of it. A task holds 16 bytes a key of its partition."""
+    """(u, v): links that make families of what shares buckets. A task holds 18 bytes a key of its partition.
+
+    In a bucket, items with the same keys altogether are a class, led by its least id; leaders are linked to the least of
+    the bucket, and the rest of a class to its leader, which is the same in each of their buckets, only in their first.
+    """
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def scatter(batches):
@@ -49,40 +54,75 @@ def bucket_edges(items: DataFrame) -> DataFrame:
                 continue
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             packed = batch.column(1).to_pylist()
-            keys, base = unpack(b"".join(packed)), int(ids.min())
-            places = np.repeat(ids - base, [len(x) // KEY_BYTES for x in packed])
+            counts = np.array([len(x) // KEY_BYTES for x in packed])
+            first = np.zeros(int(counts.sum()), np.uint64)
+            first[(np.cumsum(counts) - counts)[counts > 0]] = 1
+            keys, base = unpack(b"".join(packed)) & ~np.uint64(1) | first, int(ids.min())
+            marks = np.repeat(np.array([xxhash.xxh32_intdigest(x) & 0xFFFF for x in packed], "<u2"), counts)
+            places = np.repeat(ids - base, counts)
             places = places.astype("<u4" if int(ids.max()) - base < 1 << 32 else "<u8")
             part = (keys % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            keys, places, part = keys[order], places[order], part[order]
+            keys, marks, places, part = keys[order], marks[order], places[order], part[order]
             begins = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
             spans = list(zip(begins, [*begins[1:], len(part)], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array([base] * len(spans), pa.int64()), pa.array([pack(keys[a:b]) for a, b in spans], pa.binary()), pa.array([places[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "base", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array([base] * len(spans), pa.int64()), pa.array([pack(keys[a:b]) for a, b in spans], pa.binary()), pa.array([marks[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([places[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "base", "keys", "marks", "places"])
 
     def gather(batches):
-        keys, ids = [], []
+        keys, marks, ids = [], [], []
         for batch in batches:
-            for base, k, p in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+            for base, k, m, p in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
                 keys.append(unpack(k))
+                marks.append(np.frombuffer(m, "<u2"))
                 ids.append(base + np.frombuffer(p, f"<u{len(p) // len(keys[-1])}").astype(np.int64))
         if not keys:
             return
-        key, id_ = np.concatenate(keys), np.concatenate(ids)
-        del keys, ids
+        key, mark, id_ = np.concatenate(keys), np.concatenate(marks), np.concatenate(ids)
+        del keys, marks, ids
         order = np.argsort(key)
-        key, id_ = key[order], id_[order]
-        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(begins, len(key)))
-        least = np.repeat(np.minimum.reduceat(id_, begins), sizes)
-        some = id_ != least
-        pair = np.unique(np.stack([id_[some], least[some]]), axis=1)
-        for k in range(0, pair.shape[1], 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in pair], names=["u", "v"])
-
-    spread = items.select("id", "keys").mapInArrow(scatter, "part int, base long, keys binary, places binary")
+        key, mark, id_ = key[order], mark[order], id_[order]
+        many = np.zeros(len(key), bool)
+        many[1:] = key[1:] == key[:-1]
+        many[:-1] |= many[1:]
+        key, mark, id_ = key[many], mark[many], id_[many]
+        if not len(key):
+            return
+        order = np.lexsort((mark, key))
+        key, mark, id_ = key[order], mark[order], id_[order]
+        bucket = np.concatenate([[True], key[1:] != key[:-1]])
+        class_ = np.flatnonzero(bucket | np.concatenate([[True], mark[1:] != mark[:-1]]))
+        leader = np.minimum.reduceat(id_, class_)
+        owners = np.flatnonzero(bucket[class_])
+        least = np.repeat(np.minimum.reduceat(leader, owners), np.diff(np.append(owners, len(class_))))
+        mine = np.repeat(leader, np.diff(np.append(class_, len(key))))
+        rest = ((key & np.uint64(1)) == 1) & (id_ != mine)
+        u, v = np.concatenate([leader[leader != least], id_[rest]]), np.concatenate([least[leader != least], mine[rest]])
+        nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+        label = settle(len(nodes), place[: len(u)], place[len(u) :])
+        u, v = nodes[label != np.arange(len(nodes))], nodes[label[label != np.arange(len(nodes))]]
+        for k in range(0, len(u), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in (u, v)], names=["u", "v"])
+
+    spread = items.select("id", "keys").mapInArrow(scatter, "part int, base long, keys binary, marks binary, places binary")
     return spread.repartitionById(parts, F.col("part")).mapInArrow(gather, "u long, v long")
 
 
+def settle(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node of its component, of edges a - b."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 class Union:
     """Union-find over 0 .. n - 1."""
 
@@ -120,8 +160,49 @@ def bit_rows(sets: list[np.ndarray]) -> np.ndarray:
     return rows
 
 
+def prefix_groups(sets: list[np.ndarray], least: float) -> list[np.ndarray]:
+    """Places of sets that may be linked, directly or through others, by prefix filtering: with all members ordered by how
+    rare they are, two sets of Jaccard similarity `least` share one of their first n - ceil(least n) + 1 members."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    member = rank[place]
+    order = np.lexsort((member, owner))
+    within = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = within < np.repeat(sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1, sizes)
+    member, owner = member[order][kept], owner[kept]
+    order = np.argsort(member, kind="stable")
+    member, owner = member[order], owner[order]
+    begins = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]]))
+    each = np.diff(np.append(begins, len(member)))
+    label = np.arange(len(sets))
+    while True:
+        low = np.repeat(np.minimum.reduceat(label[owner], begins), each)
+        new = label.copy()
+        np.minimum.at(new, owner, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    order = np.argsort(label, kind="stable")
+    cuts = np.flatnonzero(np.diff(label[order])) + 1
+    return [x for x in np.split(order, cuts) if len(x) > 1]
+
+
 def exact_links(sets: list[np.ndarray], least: float, confirm: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
-    """Links of Jaccard similarity `least` or more that join all components of such links, by exact intersections.
+    """Links of Jaccard similarity `least` or more that join all components of such links, by exact intersections."""
+    if len(sets) > 8:
+        for at in prefix_groups(sets, least):
+            again = (lambda i, j, at=at: confirm(int(at[i]), int(at[j]))) if confirm else None
+            yield from ((int(at[i]), int(at[j])) for i, j in group_links([sets[k] for k in at.tolist()], least, again))
+    else:
+        yield from group_links(sets, least, confirm)
+
+
+def group_links(sets: list[np.ndarray], least: float, confirm: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
+    """The links of one group, held as bit rows.
 
     Sets with most members in common with the others come first: `ROWS` of them meet all sets, so the original of many
     copies joins them at once. Then every set outside the largest component meets all sets. A pair of different
@@ -130,6 +211,11 @@ def exact_links(sets: list[np.ndarray], least: float, confirm: Callable[[int, in
     n = len(sets)
     if n < 2:
         return
+    if n == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        if both >= least * (len(sets[0]) + len(sets[1]) - both) - 1e-9 and (confirm is None or confirm(0, 1)):
+            yield 0, 1
+        return
     bits, sizes = bit_rows(sets), np.array([len(x) for x in sets], np.int64)
     common = np.array([np.bitwise_count(r).sum() for r in bits], np.int64)
     order = np.lexsort((np.arange(n), sizes, -common))
@@ -166,28 +252,24 @@ def components(links: DataFrame) -> DataFrame:
 
     Large star: a node's larger neighbours take its least neighbour as parent. Small star: its smaller ones do. Each
     round is a join and two aggregations with partial sums, written to the shared folder; a node with very many
-    neighbours is one row after aggregation, and its edges are a join side that Spark can split.
+    neighbours is one row after aggregation, and its edges are a join side that Spark can split. It ends when every node
+    has one parent, which has none.
     """
     edges = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
+    while not edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() or not edges.groupBy("u").count().where("count > 1").isEmpty():
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         parent = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(parent, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(parent.select("u", "m")).distinct()
         edges = durable(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), "edges")
-        found = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == state:
-            break
-        state = found
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
 Compare = Callable[[list[bytes]], Iterator[tuple[int, int]]]
 
 
-def link(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Compare) -> DataFrame:
+def link(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Compare, block_bytes: int | None = None) -> DataFrame:
     """Components (id, comp) of the links that `compare` finds among items that share buckets.
 
     `fetch` takes ids (id) and returns their contents (id, data); `compare` takes contents and yields index pairs.
@@ -195,28 +277,35 @@ def link(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Com
     families = components(bucket_edges(items))
     held = durable(fetch(families.select("id")).join(families, "id").select(F.col("comp").alias("family"), "id", "data"), "contents")
     sizes = held.groupBy("family").agg(F.sum(F.length("data") + 64).alias("bytes"))
-    placed = held.join(sizes.select("family", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks")), "family")
+    placed = held.join(sizes.select("family", F.ceil(F.col("bytes") / (block_bytes or BLOCK_BYTES)).cast("int").alias("blocks")), "family")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("block")) | (F.col("blocks") == 1))
-    placed = placed.withColumn("block", block).select("family", "id", "data", "block", F.explode(others).alias("other"))
-    placed = placed.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "data")
+    placed = placed.withColumn("block", block).select("family", "id", "data", "block", (F.col("blocks") == 1).alias("whole"), F.explode(others).alias("other"))
+    placed = placed.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "data", "whole")
 
     def run(batches):
         at, ids, contents = None, [], []
 
         def flush():
             found = list(compare(contents)) if len(ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], names=["a", "b"])
+            whole = bool(at and at[3])
+            if whole and found:
+                a, b = np.array(found).T
+                label = settle(len(ids), a, b)
+                found = [(k, int(label[k])) for k in np.unique(np.concatenate([a, b])).tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64()), pa.array([whole] * len(found), pa.bool_())], names=["u", "v", "whole"])
 
         for batch in batches:
-            for family, i, j, id_, data in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if (family, i, j) != at:
+            for family, i, j, id_, data, whole in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if (family, i, j, whole) != at:
                     yield flush()
-                    at, ids, contents = (family, i, j), [], []
+                    at, ids, contents = (family, i, j, whole), [], []
                 ids.append(id_)
                 contents.append(data)
         yield flush()
 
+    # Rows come by family and id, so a whole family's label is its least linked id; blocks of a larger one give links.
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = placed.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "id").mapInArrow(run, "a long, b long")
-    return components(links.toDF("u", "v"))
+    found = durable(placed.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "id").mapInArrow(run, "u long, v long, whole boolean"), "found")
+    done, links = found.where("whole").select(F.col("u").alias("id"), F.col("v").alias("comp")), found.where("not whole").select("u", "v")
+    return done if links.isEmpty() else done.union(components(links))
