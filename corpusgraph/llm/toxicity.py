@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,11 @@ THRESHOLD = 0.7
 TRAIN_ROWS, CANDIDATES, TERMS = 20_000, 50_000, 2_000
 #: A term must have at least this share of toxic rows among those that hold it, and be in this share of toxic rows.
 PRECISION, SUPPORT, LEAST_ROWS = 0.8, 0.01, 3
+#: Precision from which a feature is taken for itself; beginnings a row that a feature must be found with.
+PURE, DIVERSE = 0.97, 0.3
+BEGINNING = 40
+#: Distinct tokens that a worker remembers as matched or not.
+SEEN = 200_000
 #: Chance features that a lexicon may hold.
 CHANCE = 0.3
 #: Hits of a stem in a text that count as often; hits beyond which more make no difference; weight of pooled estimates.
@@ -146,7 +152,7 @@ class Model:
     def tokens_hit(self, tokens: set[str]) -> set[str]:
         """Those of the tokens that match a term; each distinct token meets the trie once."""
         if new := tokens - self.seen:
-            if len(self.seen) > 800_000:
+            if len(self.seen) > SEEN:
                 self.seen, self.hits, new = set(), {}, tokens
             self.seen |= new
             for t in new:
@@ -240,6 +246,10 @@ def closed(counts: dict[str, int]) -> set[str]:
     return {f for f, n in counts.items() if not f.endswith("*") or best[f] < n}
 
 
+def hash_of(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
+
+
 def surprise(c: int, d: int, share: float) -> float:
     """Chernoff exponent of finding c of c + d rows toxic when `share` of all rows are: log of 1 / chance, at least."""
     n, p = c + d, c / (c + d)
@@ -248,14 +258,30 @@ def surprise(c: int, d: int, share: float) -> float:
     return n * (p * math.log(p / share) + (math.log((1 - p) / (1 - share)) * (1 - p) if d else 0.0))
 
 
-def choose(toxic: dict[str, int], clean: dict[str, int], least: int, share: float) -> list[str]:
-    """Precise, closed features that chance doesn't explain, most frequent first; what lies below a chosen stem is left out."""
-    picked: set[str] = set()
+def precise(toxic: dict[str, int], clean: dict[str, int], least: int, share: float) -> frozenset[str]:
+    """Closed features that are precise and that chance doesn't explain."""
     enough = math.log(max(1, len(toxic)) / CHANCE)
-    for f in sorted(closed(toxic), key=lambda f: (-toxic[f], f)):
-        letters, c, d = f.rstrip("*"), toxic[f], clean.get(f, 0)
-        if c >= least and c >= PRECISION * (c + d) and surprise(c, d, share) >= enough and not any(letters[:k] + "*" in picked for k in STEM_LENGTHS):
+    return frozenset(f for f in closed(toxic) if (c := toxic[f]) >= least and c >= PRECISION * (c + clean.get(f, 0)) and surprise(c, clean.get(f, 0), share) >= enough)
+
+
+def cover(rows: list[tuple[set[str], int]], clean: dict[str, int], share: float, features: int) -> list[str]:
+    """A lexicon from toxic rows (features held, a mark of the text's beginning), most frequent features first, clean rows
+    held against them. Words that merely come along with copies of one toxic text are told by few beginnings: a feature's
+    beginnings must be many and beyond chance by themselves. Those of `PURE` precision are taken, others only if they are
+    in at least `LEAST_ROWS` rows that no feature before them explains."""
+    holds: dict[str, set[int]] = {}
+    for k, (held, _) in enumerate(rows):
+        for f in held:
+            holds.setdefault(f, set()).add(k)
+    enough, open_, picked = math.log(max(1, features) / CHANCE), set(range(len(rows))), set()
+    for f in sorted(holds, key=lambda f: (5 * clean.get(f, 0) - len(holds[f]), f)):
+        letters, mine = f.rstrip("*"), holds[f]
+        beginnings = len({rows[k][1] for k in mine})
+        if beginnings < DIVERSE * len(mine) or surprise(beginnings, 0, share) < enough or any(letters[:k] + "*" in picked for k in STEM_LENGTHS):
+            continue
+        if len(mine) >= PURE * (len(mine) + clean.get(f, 0)) or len(mine & open_) >= LEAST_ROWS:
             picked.add(letters + "*" * f.endswith("*"))
+            open_ -= mine
             if len(picked) == TERMS:
                 break
     return sorted(picked)
@@ -264,8 +290,8 @@ def choose(toxic: dict[str, int], clean: dict[str, int], least: int, share: floa
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learn from labelled rows outside the held-out fold (crc32 of doc_id modulo 3 is 1)."""
     prepare(docs.sparkSession)
-    rows = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(remainder(F.col("doc_id")) != 1)
-    sample = F.broadcast(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows))  # bounded by train_rows
+    marked = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(remainder(F.col("doc_id")) != 1)
+    sample = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows))  # bounded by train_rows
     train = durable(texts(docs).join(sample, "doc_id").select("text", "toxic"), "train")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
@@ -274,7 +300,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     least = max(LEAST_ROWS, math.ceil(SUPPORT * sizes[1]))
     toxic = {r["feature"]: r["n"] for r in _counts(toxic_rows, None).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()}
     clean = {r["feature"]: r["n"] for r in _counts(clean_rows, frozenset(toxic)).collect()}
-    draft = Model({(t, e): (1.0,) * MOST_HITS for t in choose(toxic, clean, least, sizes[1] / (sizes[0] + sizes[1])) for e in ((0,) if t.endswith("*") else (0, 1))})
+    share = sizes[1] / (sizes[0] + sizes[1])
+    wanted = precise(toxic, clean, least, share)
+
+    def held(batches):
+        for (bodies,) in arrow_rows(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(features(x) & wanted) for x in bodies], pa.list_(pa.string())), pa.array([hash_of(x[:BEGINNING]) for x in bodies], pa.int64())], names=["held", "beginning"])
+
+    rows = [(set(r["held"]), r["beginning"]) for r in toxic_rows.select("text").mapInArrow(held, "held array<string>, beginning long").collect()]  # training rows
+    draft = Model({(t, e): (1.0,) * MOST_HITS for t in cover(rows, clean, share, len(toxic)) for e in ((0,) if t.endswith("*") else (0, 1))})
 
     def hits(batches):
         for bodies, marks in arrow_rows(batches, "text", "toxic"):
@@ -327,7 +361,7 @@ def calibrate(found: list, draft: Model, sizes: dict[int, int]) -> Model:
 SCORED = "doc_id long, score double, hits array<struct<term: string, errors: int, quoted: boolean>>"
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _worker_model(key: tuple) -> Model:
     """One model a worker, so that later tasks find its tokens matched."""
     chance, rate, known, base = key
