@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, prepare, texts
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Longer pre-tokens are encoded each time they occur.
 CACHE_CHARS = 64
 #: Documents handed on at a time.
@@ -142,7 +142,7 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(vocabulary: str, pattern: str) -> ByteBpe:
     """One model a worker: tasks that follow find it built and its memory filled."""
     return ByteBpe(read_ranks(vocabulary), pattern)

@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows that a Python worker is handed at once: texts can be long, and a batch is held whole.
+BATCH_ROWS = 2_000
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package when it isn't installed (on a cluster: --py-files)."""
+    """Let Python workers import this package when it isn't installed (on a cluster: --py-files), and bound their batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):

@@ -43,7 +43,7 @@ class WordHash(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
