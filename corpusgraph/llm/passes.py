@@ -14,7 +14,14 @@ from .token_store import open_store
 
 
 def numbered(docs: DataFrame, *more: Column | str) -> DataFrame:
-    """__row (scan partition in the bits from 33 on, place in it below) and the columns asked for."""
+    """__row (scan partition in the bits from 33 on, place in it below) and the columns asked for.
+
+    How files are split depends on the number of cores, which a lost executor changes; so that all passes split alike,
+    that number is held from the first pass on, unless the session sets it.
+    """
+    spark = docs.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
     return docs.select(F.monotonically_increasing_id().alias("__row"), *more)
 
 
