@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, prepare, texts
+from .common import FORGET, arrow_rows, bounded, prepare, texts
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew.
 CACHE_ENTRIES = 200_000
@@ -164,7 +164,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
                 flat = np.frombuffer(b"".join(packed), np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + ROWS], pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "ids"])
 
-    return texts(docs).mapInArrow(encode, "doc_id long, ids array<int>")
+    return texts(docs).mapInArrow(bounded(encode), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -187,7 +187,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(np.ascontiguousarray(starts)), raw]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), ids, out], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(bounded(decode), "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(decoded: DataFrame, *more: str) -> DataFrame:
@@ -199,3 +199,6 @@ def digests(decoded: DataFrame, *more: str) -> DataFrame:
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+FORGET.append(codec.cache_clear)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, durable, prepare, texts
+from .common import arrow_rows, bounded, durable, prepare, texts
 
 REACH, AVERAGE_BITS, LONGEST = 16, 5, 1024
 AVERAGE = 1 << AVERAGE_BITS
@@ -173,9 +173,9 @@ def spans_of(rows: DataFrame, least: int = LEAST) -> DataFrame:
             firsts = [[None if f == NONE else f for f in np.unique(x["first"][p : q + 1]).tolist()] for p, q in zip(a.tolist(), b.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x["row"][a]), pa.array(doc, mask=doc == NONE), pa.array(x["pos"][a].astype(np.int64)), pa.array(end[b]), pa.array(firsts, pa.list_(pa.int64()))], names=["row", "doc_id", "start", "end", "earlier_doc_ids"])
 
-    cut_up = durable(rows.mapInArrow(chunk, PACKED), "chunks")
-    across = cut_up.where("kind = 0").repartitionById(parts, F.col("part")).mapInArrow(find, PACKED)
-    return cut_up.where("kind = 1").union(across).repartitionById(parts, F.col("part")).mapInArrow(merge, SPANS)
+    cut_up = durable(rows.mapInArrow(bounded(chunk), PACKED), "chunks")
+    across = cut_up.where("kind = 0").repartitionById(parts, F.col("part")).mapInArrow(bounded(find), PACKED)
+    return cut_up.where("kind = 1").union(across).repartitionById(parts, F.col("part")).mapInArrow(bounded(merge), SPANS)
 
 
 def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -213,4 +213,4 @@ def _cut(source: DataFrame, found: DataFrame) -> DataFrame:
                 out.append(b"".join([*kept, raw[at:]]).decode())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return source.join(grouped, "row", "left").select("doc_id", "text", "s").mapInArrow(run, "doc_id long, text string")
+    return source.join(grouped, "row", "left").select("doc_id", "text", "s").mapInArrow(bounded(run), "doc_id long, text string")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +63,40 @@ def arrow_rows(batches: Iterator, *columns: str) -> Iterator[list[list]]:
     for batch in batches:
         if batch.num_rows:
             yield [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
+
+
+#: Resident MB beyond which a worker gives up what it remembers between tasks.
+WORKER_MB = 300
+#: Functions that drop what a module remembers.
+FORGET: list[Callable[[], None]] = []
+
+
+def bounded(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function after which its worker, which Spark keeps for later tasks, returns free memory to the system."""
+
+    def held(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return held
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    try:
+        with open("/proc/self/statm") as f:
+            resident = int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+    except OSError:
+        resident = 0.0
+    if resident > WORKER_MB:
+        for forget in FORGET:
+            forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import FORGET, bounded, shared_folder
 from .token_store import open_store
 
 WINDOW = 10
@@ -300,7 +300,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Dat
                 names=["doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(bounded(run), FOUND)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -316,9 +316,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
             field = batch.schema.field(place)
             yield batch.set_column(place, field, pa.array(new, field.type)).filter(pa.array(stays))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bounded(run), docs.schema)
 
 
 def digests(found: DataFrame) -> DataFrame:
     names = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+FORGET.append(windows_at.cache_clear)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, prepare
+from .common import bounded, durable, prepare
 from .lsh import exact_links, link, pack
 from .order_minhash import mix
 from .passes import by_partition, numbered, of_partition
@@ -163,7 +163,7 @@ def items(docs: DataFrame) -> DataFrame:
                 )
                 begin = end
 
-    return numbered(docs, F.col("doc_id").cast("long"), "text").mapInArrow(run, ITEMS)
+    return numbered(docs, F.col("doc_id").cast("long"), "text").mapInArrow(bounded(run), ITEMS)
 
 
 def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         data.append(lines[k].strip().encode())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["id", "data"])
 
-    return numbered(docs, "text").mapInArrow(run, "id long, data binary")
+    return numbered(docs, "text").mapInArrow(bounded(run), "id long, data binary")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def removals(docs: DataFrame) -> DataFrame:
                     lines += p["line"].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(lines, pa.int32())], names=["row", "line"])
 
-    return losers.union(winners).mapInArrow(run, "row long, line int")
+    return losers.union(winners).mapInArrow(bounded(run), "row long, line int")
 
 
 def _without(text: str, gone: set[int]) -> str:
@@ -235,7 +235,7 @@ def _rewritten(docs: DataFrame, schema, out) -> DataFrame:
             if rows:
                 yield out(batch, [lost.get(r, ()) for r in rows])
 
-    return numbered(docs, *(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(run, schema)
+    return numbered(docs, *(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(bounded(run), schema)
 
 
 def dedup(docs: DataFrame, drop_empty: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import bounded, durable
 
 BLOCK_BYTES = 24_000_000
 #: Sets compared with each other at a time.
@@ -103,8 +103,8 @@ def bucket_edges(items: DataFrame) -> DataFrame:
         for k in range(0, len(u), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in (u, v)], names=["u", "v"])
 
-    spread = items.select("id", "keys").mapInArrow(scatter, "part int, base long, keys binary, marks binary, places binary")
-    return spread.repartitionById(parts, F.col("part")).mapInArrow(gather, "u long, v long")
+    spread = items.select("id", "keys").mapInArrow(bounded(scatter), "part int, base long, keys binary, marks binary, places binary")
+    return spread.repartitionById(parts, F.col("part")).mapInArrow(bounded(gather), "u long, v long")
 
 
 def settle(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -306,6 +306,6 @@ def link(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Com
 
     # Rows come by family and id, so a whole family's label is its least linked id; blocks of a larger one give links.
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = durable(placed.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "id").mapInArrow(run, "u long, v long, whole boolean"), "found")
+    found = durable(placed.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "id").mapInArrow(bounded(run), "u long, v long, whole boolean"), "found")
     done, links = found.where("whole").select(F.col("u").alias("id"), F.col("v").alias("comp")), found.where("not whole").select("u", "v")
     return done if links.isEmpty() else done.union(components(links))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, prepare
+from .common import bounded, durable, prepare
 
 SAMPLE, CENTROIDS, ROUNDS = 20_000, 32, 10
 #: Share of all vectors that a query's cells hold together; vectors at least; rows of a chunk.
@@ -102,7 +102,7 @@ def search(vectors: DataFrame, query: Column, k: int = 10, share: float = SHARE,
                 a, b = (nearest(x[:, :half], books[0]) if half else np.zeros(len(x), np.int64)), nearest(x[:, half:], books[1])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array([v.tobytes() for v in x], pa.binary()), batch.column(2)], names=["id", "a", "b", "vector", "query"])
 
-    index = durable(rows.where(F.size("vector") == n_parts).mapInArrow(assign, "id long, a int, b int, vector binary, query boolean"), "index")
+    index = durable(rows.where(F.size("vector") == n_parts).mapInArrow(bounded(assign), "id long, a int, b int, vector binary, query boolean"), "index")
     counts = np.zeros((a_cells, b_cells), np.int64)
     for r in index.groupBy("a", "b").agg(F.count("*").alias("n")).collect():  # a row a cell, at most CENTROIDS squared
         counts[r["a"], r["b"]] = r["n"]
@@ -154,7 +154,7 @@ def search(vectors: DataFrame, query: Column, k: int = 10, share: float = SHARE,
                 yield pa.RecordBatch.from_arrays([pa.array(q_out, pa.int64()), pa.array(v_out, pa.int64()), pa.array(s_out, pa.float64())], names=["query_id", "vec_id", "score"])
 
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = index.mapInArrow(place, ROW).repartition(parts, "list", "chunk").sortWithinPartitions("list", "chunk", "query")
-    found = placed.mapInArrow(rerank, "query_id long, vec_id long, score double")
+    placed = index.mapInArrow(bounded(place), ROW).repartition(parts, "list", "chunk").sortWithinPartitions("list", "chunk", "query")
+    found = placed.mapInArrow(bounded(rerank), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, durable, prepare
+from .common import arrow_rows, bounded, durable, prepare
 from .lsh import exact_links, link, pack
 from .passes import by_partition, numbered, of_partition
 
@@ -154,7 +154,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 halves = np.array([(d >> 64, d & 0xFFFFFFFFFFFFFFFF) for d in digest], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[k : k + 1000], pa.int64()), pa.array(ids[k : k + 1000], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([done[d] for d in digest], pa.binary())], names=["row", "doc_id", "h1", "h2", "keys"])
 
-    return numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROWS)
+    return numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(bounded(run), ROWS)
 
 
 def fetch_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def fetch_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = some[k : k + 500]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([word_hashes(x, known).tobytes() for _, x in part], pa.binary())], names=["id", "data"])
 
-    return numbered(docs, "text").mapInArrow(run, "id long, data binary")
+    return numbered(docs, "text").mapInArrow(bounded(run), "id long, data binary")
 
 
 def members(docs: DataFrame) -> DataFrame:
@@ -206,4 +206,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
                 kept = pa.RecordBatch.from_arrays(batch.columns[1:], schema=pa.schema(list(batch.schema)[1:]))
                 yield kept.filter(pa.array([r not in gone for r in rows], pa.bool_()))
 
-    return numbered(docs, *(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(run, docs.schema)
+    return numbered(docs, *(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(bounded(run), docs.schema)

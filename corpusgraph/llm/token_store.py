@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, durable, shared_folder, texts
+from .common import arrow_rows, bounded, durable, shared_folder, texts
 
 SKIPPABLE_INDEX, SKIPPABLE_SEEK = 0x184D2A50, 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -137,7 +137,7 @@ def frames(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     names=["doc_id", "n_ids", "width", "size", "checksum", "frame"],
                 )
 
-    return docs.mapInArrow(encode, FRAME_SCHEMA)
+    return docs.mapInArrow(bounded(encode), FRAME_SCHEMA)
 
 
 # ---------------------------------------------------------------- shards
@@ -240,7 +240,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str |
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
 
     placed = encoded.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "frame")
-    placed.mapInArrow(write, MANIFEST_SCHEMA).write.parquet(f"{folder}/manifest")
+    placed.mapInArrow(bounded(write), MANIFEST_SCHEMA).write.parquet(f"{folder}/manifest")
     return folder
 
 
@@ -271,7 +271,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[k : k + len(some)], mask=shard.nulls[k : k + len(some)].astype(bool)), pa.array(starts), pa.array(counts), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
     shards = max(1, manifest.count())
-    return placed.repartition(shards, "shard").mapInArrow(read, READ_SCHEMA)
+    return placed.repartition(shards, "shard").mapInArrow(bounded(read), READ_SCHEMA)
 
 
 def shard_bytes(documents: Iterable[tuple[int | None, np.ndarray]], width: int = 2) -> bytes:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, durable, prepare, texts
+from .common import FORGET, arrow_rows, bounded, durable, prepare, texts
 
 THRESHOLD = 0.7
 #: Labelled rows that the classifier sees; candidate features; terms of the lexicon.
@@ -232,7 +232,7 @@ def _counts(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
                     seen.update(features(x) if wanted is None else features(x) & wanted)
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
 
-    return rows.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(bounded(run), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def closed(counts: dict[str, int]) -> set[str]:
@@ -307,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
         for (bodies,) in arrow_rows(batches, "text"):
             yield pa.RecordBatch.from_arrays([pa.array([sorted(features(x) & wanted) for x in bodies], pa.list_(pa.string())), pa.array([hash_of(x[:BEGINNING]) for x in bodies], pa.int64())], names=["held", "beginning"])
 
-    rows = [(set(r["held"]), r["beginning"]) for r in toxic_rows.select("text").mapInArrow(held, "held array<string>, beginning long").collect()]  # training rows
+    rows = [(set(r["held"]), r["beginning"]) for r in toxic_rows.select("text").mapInArrow(bounded(held), "held array<string>, beginning long").collect()]  # training rows
     draft = Model({(t, e): (1.0,) * MOST_HITS for t in cover(rows, clean, share, len(toxic)) for e in ((0,) if t.endswith("*") else (0, 1))})
 
     def hits(batches):
@@ -321,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], schema=pa.schema([("size", pa.int64()), ("token", pa.string()), ("term", pa.string()), ("errors", pa.int64()), ("n", pa.int64()), ("toxic", pa.int64())]))
 
     # A row for each term of each training row, which are bounded; misspellings with their token.
-    found = train.select("text", "toxic").mapInArrow(hits, "size long, token string, term string, errors long, n long, toxic long")
+    found = train.select("text", "toxic").mapInArrow(bounded(hits), "size long, token string, term string, errors long, n long, toxic long")
     return calibrate(found.collect(), draft, sizes)
 
 
@@ -385,7 +385,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "score", "hits"],
             )
 
-    return texts(docs).mapInArrow(run, SCORED)
+    return texts(docs).mapInArrow(bounded(run), SCORED)
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -398,4 +398,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
         for batch in batches:
             yield batch.filter(pa.array([found.score(*found.find(x or "")) < threshold for x in batch.column(place).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bounded(run), docs.schema)
+
+
+FORGET.append(_worker_model.cache_clear)
