@@ -41,10 +41,11 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def bucket_edges(items: DataFrame) -> DataFrame:
-    """(u, v): links that make families of what shares buckets. A task holds 18 bytes a key of its partition.
+    """(u, v): links that make families of what shares buckets. A task holds 24 bytes a key of its partition.
 
-    In a bucket, items with the same keys altogether are a class, led by its least id; leaders are linked to the least of
+    In a bucket, items with the same keys altogether (by a digest of 64 bits) are a class, led by its least id; leaders are linked to the least of
     the bucket, and the rest of a class to its leader, which is the same in each of their buckets, only in their first.
+    The lowest bit of a key that travels marks an item's first; it takes no part in comparisons.
     """
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -58,10 +59,10 @@ def bucket_edges(items: DataFrame) -> DataFrame:
             first = np.zeros(int(counts.sum()), np.uint64)
             first[(np.cumsum(counts) - counts)[counts > 0]] = 1
             keys, base = unpack(b"".join(packed)) & ~np.uint64(1) | first, int(ids.min())
-            marks = np.repeat(np.array([xxhash.xxh32_intdigest(x) & 0xFFFF for x in packed], "<u2"), counts)
+            marks = np.repeat(np.array([xxhash.xxh3_64_intdigest(x) for x in packed], "<u8"), counts)
             places = np.repeat(ids - base, counts)
             places = places.astype("<u4" if int(ids.max()) - base < 1 << 32 else "<u8")
-            part = (keys % np.uint64(parts)).astype(np.int32)
+            part = ((keys >> np.uint64(1)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             keys, marks, places, part = keys[order], marks[order], places[order], part[order]
             begins = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
@@ -73,29 +74,30 @@ def bucket_edges(items: DataFrame) -> DataFrame:
         for batch in batches:
             for base, k, m, p in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
                 keys.append(unpack(k))
-                marks.append(np.frombuffer(m, "<u2"))
+                marks.append(np.frombuffer(m, "<u8"))
                 ids.append(base + np.frombuffer(p, f"<u{len(p) // len(keys[-1])}").astype(np.int64))
         if not keys:
             return
         key, mark, id_ = np.concatenate(keys), np.concatenate(marks), np.concatenate(ids)
         del keys, marks, ids
+        begin, key = (key & np.uint64(1)) == 1, key >> np.uint64(1)
         order = np.argsort(key)
-        key, mark, id_ = key[order], mark[order], id_[order]
+        key, mark, id_, begin = key[order], mark[order], id_[order], begin[order]
         many = np.zeros(len(key), bool)
         many[1:] = key[1:] == key[:-1]
         many[:-1] |= many[1:]
-        key, mark, id_ = key[many], mark[many], id_[many]
+        key, mark, id_, begin = key[many], mark[many], id_[many], begin[many]
         if not len(key):
             return
         order = np.lexsort((mark, key))
-        key, mark, id_ = key[order], mark[order], id_[order]
+        key, mark, id_, begin = key[order], mark[order], id_[order], begin[order]
         bucket = np.concatenate([[True], key[1:] != key[:-1]])
         class_ = np.flatnonzero(bucket | np.concatenate([[True], mark[1:] != mark[:-1]]))
         leader = np.minimum.reduceat(id_, class_)
         owners = np.flatnonzero(bucket[class_])
         least = np.repeat(np.minimum.reduceat(leader, owners), np.diff(np.append(owners, len(class_))))
         mine = np.repeat(leader, np.diff(np.append(class_, len(key))))
-        rest = ((key & np.uint64(1)) == 1) & (id_ != mine)
+        rest = begin & (id_ != mine)
         u, v = np.concatenate([leader[leader != least], id_[rest]]), np.concatenate([least[leader != least], mine[rest]])
         nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
         label = settle(len(nodes), place[: len(u)], place[len(u) :])

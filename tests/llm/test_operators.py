@@ -239,6 +239,18 @@ def test_large_families_split_into_blocks(spark, stored, monkeypatch):
     assert {r.doc_id: r.class_id for r in out} == {rows[i][0]: min(rows[j][0] for j in range(len(rows)) if want[j] == want[i]) for i in range(len(rows))}
 
 
+def test_bucket_classes_go_by_all_keys(spark):
+    by_mark: dict[int, bytes] = {}
+    for k in range(1 << 20):  # two arrays of other keys, but for one that both share, whose short marks collide
+        keys = lsh.pack(np.array([1000 + 2 * k, 10, 2_000_000_000 + k]))
+        other = by_mark.setdefault(lsh.xxhash.xxh32_intdigest(keys) & 0xFFFF, keys)
+        if other != keys:
+            break
+    rows = [(1, other), (2, keys), (3, keys), (4, lsh.pack(np.array([10, 6])))]  # 4 shares 10, its first key
+    got = lsh.components(lsh.bucket_edges(spark.createDataFrame(rows, "id long, keys binary"))).collect()
+    assert {r.id: r.comp for r in got} == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
