@@ -2,7 +2,7 @@
 
 A line is what line breaks separate, without white space at its ends; blank lines take no part. Its shingles are all
 runs of `SHINGLE` characters (the whole line if shorter). A band is a tuple of minima, and a key. Lines of at least
-`LONG` shingles have 14 bands of 4 minima from one permutation, in bins. Shorter lines, in which chance similarity is
+`LONG` distinct shingles have 14 bands of 4 minima from one permutation, in bins. Shorter lines, in which chance similarity is
 higher and bins would stay empty, have 20 bands of 5 minima of as many hash functions; lines in between have both, so
 two lines of similarity 0.8 always share a scheme. A pair of similarity 0.8 shares a key with a chance of over 0.999.
 Lines that share a key are a family; in a family all pairs are compared exactly, and links of Jaccard similarity 0.8
@@ -99,7 +99,11 @@ def band_keys(lines: list[str]) -> list[bytes]:
     """The packed keys of each line."""
     hashes, counts = shingle_hashes(lines)
     ends, out = np.cumsum(counts), [b""] * len(lines)
-    for some, keys in ((np.flatnonzero(counts < LONG * OVERLAP), short_keys), (np.flatnonzero(counts >= LONG), long_keys)):
+    distinct = counts.copy()
+    for k in np.flatnonzero(counts >= LONG).tolist():
+        mine = np.sort(hashes[ends[k] - counts[k] : ends[k]])
+        distinct[k] = 1 + np.count_nonzero(mine[1:] != mine[:-1])
+    for some, keys in ((np.flatnonzero(distinct < LONG * OVERLAP), short_keys), (np.flatnonzero(distinct >= LONG), long_keys)):
         if len(some):
             mine = np.concatenate([hashes[ends[k] - counts[k] : ends[k]] for k in some.tolist()])
             for k, row in zip(some.tolist(), keys(mine, counts[some]), strict=True):

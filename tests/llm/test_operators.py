@@ -208,6 +208,15 @@ def test_banding_recall():
     assert total > 200 and found / total > 0.995
 
 
+def test_repetitive_lines_share_keys(spark, stored):
+    pairs = [("-" * 80, "-" * 140), ("ha " * 30, "ha " * 90), ("one phrase of words " * 3, "one phrase of words " * 9)]
+    for a, b in pairs:
+        keys = [set(lsh.unpack(k).tolist()) for k in line_dedup.band_keys([a.strip(), b.strip()])]
+        assert keys[0] & keys[1]
+    docs = stored([(k, line) for k, line in enumerate(x for p in pairs for x in p)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in line_dedup.report(docs).collect()) == [(k, k % 2) for k in range(6)]
+
+
 @pytest.mark.parametrize("rows", [3, 512])
 def test_exact_links(monkeypatch, rows):
     monkeypatch.setattr(lsh, "ROWS", rows)
