@@ -9,7 +9,9 @@ Positions are code points, end exclusive. They come from the pieces between matc
 and extracts its matches, so lengths add up to positions.
 
 Patterns hold possessive repeats, and look-behinds that let a match begin only where a run of its first class begins
-(or where the last match ended): a run's inner starts would match in the same cases, and long runs stay linear.
+(or where the last match ended): a run's inner starts would match in the same cases, and long runs stay linear. An IBAN
+has the length of its country, so that it ends before a word or number that follows; codes that aren't in the registry
+take all that could belong to one.
 
 Edge cases: a null or empty text has no spans; a null doc_id is kept; repeated rows each get a row; matches that fail
 their test are dropped without another try, and still end the search before them, as leftmost matching asks.
@@ -66,13 +68,22 @@ class Kind:
     needs: Callable[[Column], Column]
 
 
+#: Characters of an IBAN by country, as the registry has them.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_COUNTRY = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}+" for n, c in IBAN_LENGTHS.items())
+_OTHERS = rf"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+"
 LOCAL, LABEL = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
 KINDS = (
     Kind("email", rf"(?:\G|(?<!{LOCAL})){LOCAL}++@{LABEL}++(?:\.{LABEL}++)++", lambda m: F.lit(True), 0.7, r"(?i)(mail|contact|write|from|to|cc)\W", lambda t: t.contains("@")),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _octets, 0.6, r"(?i)(ip|host|server|address|login)\W", lambda t: t.rlike(r"[0-9]\.[0-9]")),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", _luhn, 0.7, r"(?i)(card|visa|credit|debit|payment|karte|carte|tarjeta)\W", lambda t: t.rlike("[0-9]")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _phone, 0.6, r"(?i)(phone|tel|call|mobile|fax|whatsapp)\W", lambda t: t.contains("+")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", _mod97, 0.7, r"(?i)(iban|account|konto|compte|cuenta|bank)\W", lambda t: t.rlike("[A-Z]{2}[0-9]{2}")),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_BY_COUNTRY}|{_OTHERS})(?![A-Za-z0-9])", _mod97, 0.7, r"(?i)(iban|account|konto|compte|cuenta|bank)\W", lambda t: t.rlike("[A-Z]{2}[0-9]{2}")),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), 0.3, r"(?i)(ssn|social security)\W", lambda t: t.rlike("[0-9]-[0-9]{2}-[0-9]")),
 )
 BASE = ("email", "ip", "card", "phone")

@@ -416,6 +416,16 @@ def test_pii_additions(spark):
     assert pii.redact(spark.createDataFrame(rows[3:], "doc_id long, text string")).first().text == "mail <email>"
 
 
+def test_iban_ends_by_country(spark):
+    texts = {1: "DE89370400440532013000 Bitte zahlen", 2: "DE89 3704 0044 0532 0130 00 BIC COBADEFF", 3: "DE89370400440532013000 GB82WEST12345698765432", 4: "GB82 WEST 1234 5698 7654 32 12 EUR", 5: "DE893704004405320130001 Bitte"}
+    want = {1: ["DE89370400440532013000"], 2: ["DE89 3704 0044 0532 0130 00"], 3: ["DE89370400440532013000", "GB82WEST12345698765432"], 4: ["GB82 WEST 1234 5698 7654 32"], 5: []}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.iban for r in pii.find_spans(docs).collect()}
+    assert {k: [s.value for s in v] for k, v in found.items()} == want
+    assert all(texts[k][s.start : s.end] == s.value for k, v in found.items() for s in v)
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()}[3] == "<iban> <iban>"
+
+
 # ------------------------------------------------------------------ 10
 
 
