@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.operators import assembly, catalog, graph
+from corpusgraph.plans import answers
 
 
 def test_aliases(spark):
@@ -67,3 +68,32 @@ def test_betweenness(spark):
     pairs = spark.createDataFrame(sorted(edges), "a long, b long")
     got = {r.id: r.score for r in graph.betweenness(pairs, spark.createDataFrame([(s,) for s in sources], "id long"), 13).collect()}
     assert {k: pytest.approx(v) for k, v in want.items() if v} == {k: v for k, v in got.items() if v}
+
+
+def test_betweenness_query_takes_the_whole_graph(spark, tmp_path):
+    rng = random.Random(4)
+    lines = [(1 + k // 2, 1 + (k + 1) // 2, 7 + k % 44, 1, k) for k in range(240)] + [(rng.randint(1, 120), rng.randint(1, 120), 3, 1, 900 + k) for k in range(15)]  # a long way, with short cuts
+    spark.createDataFrame([(a, b, float(q), n, o) for a, b, q, n, o in lines], "l_suppkey long, l_partkey long, l_quantity double, l_linenumber int, l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    near: dict[int, set[int]] = {}
+    for a, b, *_ in lines:
+        near.setdefault(2 * a, set()).add(2 * b + 1)
+        near.setdefault(2 * b + 1, set()).add(2 * a)
+    nodes = sorted(near)
+    sources, want = nodes[:: -(-len(nodes) // 100)], dict.fromkeys(nodes, 0.0)
+    for s in sources:
+        level, paths, order = {s: 0}, {s: 1.0}, [s]
+        for u in order:
+            for v in near[u]:
+                if v not in level:
+                    level[v] = level[u] + 1
+                    order.append(v)
+                if level[v] == level[u] + 1:
+                    paths[v] = paths.get(v, 0) + paths[u]
+        flow = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for u in near[v]:
+                if level[u] == level[v] - 1:
+                    flow[u] += paths[u] / paths[v] * (1 + flow[v])
+            want[v] += flow[v] / len(sources) if v != s else 0
+    got = {r.id: r.score for r in answers.betweenness_sampled(spark, str(tmp_path)).collect()}
+    assert len(nodes) > 100 and got == {k: pytest.approx(v, abs=1e-5) for k, v in want.items()}
