@@ -1,9 +1,9 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows that tell quotation from abuse.
 
 The lexicon is learned from labelled texts: words, and stems (word beginnings) that occur at all or often, that toxic
-documents hold and clean ones don't. Whole words lie in a trie. A token's Levenshtein automaton runs over the trie: its
-state is the set of (position, errors) that are still open, and a branch ends when none is. One error is allowed in
-words of five letters or more. Each term has a chance of abuse by how often it was hit beyond what its rate in clean
+documents hold and clean ones don't. Whole words lie in a trie, stems in another. A token's Levenshtein automaton runs
+over them: its state is the set of (position, errors) that are still open, and a branch ends when none is. A stem is met
+as soon as its letters are read. One error is allowed in words of five letters or more. Each term has a chance of abuse by how often it was hit beyond what its rate in clean
 texts lets expect, estimated on the training rows, apart for exact and misspelled hits; tokens that clean training
 texts hold are no misspellings. A hit in quotation marks, or near words of reporting and none of address, counts in
 part. A document's score is the noisy-or over its terms.
@@ -35,9 +35,8 @@ THRESHOLD = 0.7
 TRAIN_ROWS, CANDIDATES, TERMS = 20_000, 50_000, 2_000
 #: A term must have at least this share of toxic rows among those that hold it, and be in this share of toxic rows.
 PRECISION, SUPPORT, LEAST_ROWS = 0.8, 0.01, 3
-#: Precision from which a feature is taken for itself; beginnings a row that a feature must be found with.
+#: Precision from which a feature is taken for itself; distinct texts a row that a feature must be found with.
 PURE, DIVERSE = 0.97, 0.3
-BEGINNING = 40
 #: Distinct tokens that a worker remembers as matched or not.
 SEEN = 200_000
 #: Chance features that a lexicon may hold.
@@ -67,7 +66,7 @@ class Lexicon:
     """Words in a trie, stems by their letters; a term that ends in `*` is a stem."""
 
     def __init__(self, terms: list[str]):
-        self.root = Node()
+        self.root, self.stem_root = Node(), Node()
         self.exact: dict[str, str] = {}
         self.stems: dict[str, str] = {}
         self.heads: dict[int, set[str]] = {}
@@ -75,9 +74,9 @@ class Lexicon:
         for term in terms:
             stem, letters = term.endswith("*"), term.rstrip("*")
             (self.stems if stem else self.exact)[letters] = term
-            if stem or len(letters) < FUZZY_LENGTH:
+            if not stem and len(letters) < FUZZY_LENGTH:
                 continue
-            node = self.root
+            node = self.stem_root if stem else self.root
             for c in letters:
                 node = node.next.setdefault(c, Node())
             node.word = term
@@ -101,7 +100,7 @@ class Lexicon:
                 return self.stems[token[:n]], 0
         if len(token) < FUZZY_LENGTH - 1 or not self.near(token):
             return None
-        return self.walk(self.root, self.start(token), token)
+        return self.walk(self.root, self.start(token), token) or self.walk(self.stem_root, self.start(token), token)
 
     @staticmethod
     def start(token: str) -> frozenset[tuple[int, int]]:
@@ -123,7 +122,7 @@ class Lexicon:
         return frozenset(out)
 
     def walk(self, node: Node, state: frozenset[tuple[int, int]], token: str) -> tuple[str, int] | None:
-        if node.word and any(i == len(token) or (e == 0 and i == len(token) - 1) for i, e in state):
+        if node.word and (node.word.endswith("*") or any(i == len(token) or (e == 0 and i == len(token) - 1) for i, e in state)):
             return node.word, 1
         for c, below in node.next.items():
             if (after := self.step(state, c, token)) and (found := self.walk(below, after, token)):
@@ -265,9 +264,9 @@ def precise(toxic: dict[str, int], clean: dict[str, int], least: int, share: flo
 
 
 def cover(rows: list[tuple[set[str], int]], clean: dict[str, int], share: float, features: int) -> list[str]:
-    """A lexicon from toxic rows (features held, a mark of the text's beginning), most frequent features first, clean rows
-    held against them. Words that merely come along with copies of one toxic text are told by few beginnings: a feature's
-    beginnings must be many and beyond chance by themselves. Those of `PURE` precision are taken, others only if they are
+    """A lexicon from toxic rows (features held, a digest of the text), most frequent features first, clean rows
+    held against them. Words that merely come along with copies of one toxic text are told by few distinct texts: a
+    feature's must be many and beyond chance by themselves. Those of `PURE` precision are taken, others only if they are
     in at least `LEAST_ROWS` rows that no feature before them explains."""
     holds: dict[str, set[int]] = {}
     for k, (held, _) in enumerate(rows):
@@ -276,8 +275,8 @@ def cover(rows: list[tuple[set[str], int]], clean: dict[str, int], share: float,
     enough, open_, picked = math.log(max(1, features) / CHANCE), set(range(len(rows))), set()
     for f in sorted(holds, key=lambda f: (5 * clean.get(f, 0) - len(holds[f]), f)):
         letters, mine = f.rstrip("*"), holds[f]
-        beginnings = len({rows[k][1] for k in mine})
-        if beginnings < DIVERSE * len(mine) or surprise(beginnings, 0, share) < enough or any(letters[:k] + "*" in picked for k in STEM_LENGTHS):
+        distinct = len({rows[k][1] for k in mine})
+        if distinct < DIVERSE * len(mine) or surprise(distinct, 0, share) < enough or any(letters[:k] + "*" in picked for k in STEM_LENGTHS):
             continue
         if len(mine) >= PURE * (len(mine) + clean.get(f, 0)) or len(mine & open_) >= LEAST_ROWS:
             picked.add(letters + "*" * f.endswith("*"))
@@ -305,10 +304,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
 
     def held(batches):
         for (bodies,) in arrow_rows(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(features(x) & wanted) for x in bodies], pa.list_(pa.string())), pa.array([hash_of(x[:BEGINNING]) for x in bodies], pa.int64())], names=["held", "beginning"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(features(x) & wanted) for x in bodies], pa.list_(pa.string())), pa.array([hash_of(x) for x in bodies], pa.int64())], names=["held", "copy"])
 
-    rows = [(set(r["held"]), r["beginning"]) for r in toxic_rows.select("text").mapInArrow(bounded(held), "held array<string>, beginning long").collect()]  # training rows
-    draft = Model({(t, e): (1.0,) * MOST_HITS for t in cover(rows, clean, share, len(toxic)) for e in ((0,) if t.endswith("*") else (0, 1))})
+    rows = [(set(r["held"]), r["copy"]) for r in toxic_rows.select("text").mapInArrow(bounded(held), "held array<string>, copy long").collect()]  # training rows
+    draft = Model({(t, e): (1.0,) * MOST_HITS for t in cover(rows, clean, share, len(toxic)) for e in (0, 1)})
 
     def hits(batches):
         for bodies, marks in arrow_rows(batches, "text", "toxic"):
@@ -353,6 +352,9 @@ def calibrate(found: list, draft: Model, sizes: dict[int, int]) -> Model:
             best = max(best, (c + POOLED * prior) / (c + d + POOLED))
             out.append(best)
         chance[term, errors] = tuple(out)
+    for (term, errors), out in chance.items():
+        if errors:  # a misspelling tells no more than the term itself
+            chance[term, errors] = tuple(map(min, out, chance[term, 0]))
     return Model(chance, rate, known, 0.5 / (sizes[0] + 1))
 
 

@@ -109,6 +109,23 @@ def test_automaton_is_edit_distance():
         assert found is None or (distance(token, found[0]) == found[1] == least)
 
 
+def test_misspelled_stems():
+    lexicon = toxicity.Lexicon(["vequab*", "idiot"])
+    assert lexicon.match("vequabling") == ("vequab*", 0)
+    assert {t: lexicon.match(t) for t in ("vexuabling", "vquabling", "veequabling", "vequxbs")} == dict.fromkeys(("vexuabling", "vquabling", "veequabling", "vequxbs"), ("vequab*", 1))
+    assert lexicon.match("vxxuabling") is None and lexicon.match("idiiot") == ("idiot", 1) and lexicon.match("idioting") is None
+
+
+def test_shared_heading_hides_no_terms(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    texts = [(k, "A heading that all texts of one hot source share\n" + " ".join(rng.sample(words, 30)) + (f" {'zorgle' if k % 4 == 1 else 'zorglung'}" if k % 2 else "")) for k in range(600)]
+    model = toxicity.fit(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, toxic int"))
+    assert any(t.startswith("zorg") for t, _ in model.chance)
+    found = {r.doc_id: r.score for r in toxicity.score_documents(spark.createDataFrame([(1, "you zorgles"), (2, "you zoorgles"), (3, "nothing")], "doc_id long, text string"), model).collect()}
+    assert found[1] > found[3] and found[2] > found[3]
+
+
 def test_quotation_counts_less():
     model = toxicity.Model({("idiot", 0): (0.9,) * 4, ("idiot", 1): (0.8,) * 4})
     plain, quoted = model.score(*model.find("You are an idiot and no more")), model.score(*model.find('The word “idiot” was said there'))
