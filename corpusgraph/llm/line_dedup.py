@@ -5,8 +5,9 @@ runs of `SHINGLE` characters (the whole line if shorter). A band is a tuple of m
 `LONG` distinct shingles have 14 bands of 4 minima from one permutation, in bins. Shorter lines, in which chance similarity is
 higher and bins would stay empty, have 20 bands of 5 minima of as many hash functions; lines in between have both, so
 two lines of similarity 0.8 always share a scheme. A pair of similarity 0.8 shares a key with a chance of over 0.999.
-Lines that share a key are a family; in a family all pairs are compared exactly, and links of Jaccard similarity 0.8
-or more are united. Of each component the first line stays, by doc_id, row and place.
+Lines that share a key and whose signatures, 64 bits of minima, agree enough are a family; in a family lines are compared
+exactly, and links of Jaccard similarity 0.8 or more are united. Of each component the first line stays, by doc_id, row
+and place. Only `\n` ends a line.
 
 Lines repeated in a batch are one item with a list of places, so a line in a third of all documents is an item a batch.
 Texts aren't shuffled: passes over the table read it again, and what a pass needs of another lies in the shared folder by
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, durable, prepare
-from .lsh import exact_links, link, pack
+from .lsh import exact_links, jaccard, link, pack
 from .order_minhash import mix
 from .passes import by_partition, numbered, of_partition
 
@@ -38,7 +39,10 @@ BINS = LONG_BANDS * LONG_ROWS
 #: Characters of lines that are hashed at a time.
 CHUNK_CHARS = 200_000
 #: Bytes of a family's lines that are a block: each character has a hash of eight bytes.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 250_000
+#: Bits of a signature, each of a minimum, and how many must agree: 0.9 of them do at a similarity of 0.8, and fewer than
+#: this with a chance of 0.0002.
+SIGN_BITS, AGREE = 64, 48
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _EMPTY = np.uint32(0xFFFFFFFF)
 LAST = (1 << 63) - 1  # stands for a null doc_id
@@ -55,8 +59,9 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(sizes) - sizes
     at = np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
     out = mix(eight[at])
+    first = np.cumsum(counts) - counts
     for k in np.flatnonzero(sizes < SHINGLE).tolist():
-        out[int(counts[:k].sum())] = xxhash.xxh64_intdigest(lines[k])
+        out[first[k]] = xxhash.xxh64_intdigest(lines[k])
     return out, counts
 
 
@@ -71,8 +76,20 @@ def joined(minima: np.ndarray, salt: int) -> np.ndarray:
     return keys
 
 
-def long_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """One permutation: the least hash of each bin; an empty bin takes that of the next full one. Bands take bins far apart."""
+def signs(minima: np.ndarray, bit: int) -> np.ndarray:
+    """A bit of each of the first minima of a line (line, place), packed to a number."""
+    bits = ((minima[:, :SIGN_BITS] >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(np.pad(bits, ((0, 0), (0, SIGN_BITS - bits.shape[1]))), axis=1).view("<u8").ravel()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether signatures agree in enough bits; long lines have fewer than 64 minima, and the rest agrees."""
+    return np.bitwise_count(a[:, 0] ^ b[:, 0]) <= SIGN_BITS - AGREE
+
+
+def long_keys(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One permutation: the least hash of each bin; an empty bin takes that of the next full one. Bands take bins far
+    apart. Keys and signatures."""
     line = np.repeat(np.arange(len(counts)), counts)
     bins = ((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
     least = np.full(len(counts) * BINS, _EMPTY, np.uint32)
@@ -85,34 +102,35 @@ def long_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
             break
         near = np.roll(least, -step, axis=1)
         filled = np.where(empty & (near != _EMPTY), near + np.uint64(step << 32), filled)
-    return joined(filled.reshape(-1, LONG_ROWS, LONG_BANDS).transpose(0, 2, 1), 1000)
+    return joined(filled.reshape(-1, LONG_ROWS, LONG_BANDS).transpose(0, 2, 1), 1000), signs(filled, 3)
 
 
-def short_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A hash function for each minimum."""
+def short_keys(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash function for each minimum. Keys and signatures."""
     begins = np.cumsum(counts) - counts
     minima = np.stack([np.minimum.reduceat(hashes * f, begins) for f in FACTORS], axis=1)
-    return joined(minima.reshape(-1, SHORT_BANDS, SHORT_ROWS), 0)
+    return joined(minima.reshape(-1, SHORT_BANDS, SHORT_ROWS), 0), signs(minima, 20)
 
 
-def band_keys(lines: list[str]) -> list[bytes]:
-    """The packed keys of each line."""
+def band_keys(lines: list[str]) -> tuple[list[bytes | None], list[bytes | None], list[bytes | None], list[bytes | None]]:
+    """The packed keys and the signature of each line in the scheme of short lines, then in that of long ones."""
     hashes, counts = shingle_hashes(lines)
-    ends, out = np.cumsum(counts), [b""] * len(lines)
+    ends, out = np.cumsum(counts), ([None] * len(lines), [None] * len(lines), [None] * len(lines), [None] * len(lines))
     distinct = counts.copy()
     for k in np.flatnonzero(counts >= LONG).tolist():
         mine = np.sort(hashes[ends[k] - counts[k] : ends[k]])
         distinct[k] = 1 + np.count_nonzero(mine[1:] != mine[:-1])
-    for some, keys in ((np.flatnonzero(distinct < LONG * OVERLAP), short_keys), (np.flatnonzero(distinct >= LONG), long_keys)):
-        if len(some):
-            mine = np.concatenate([hashes[ends[k] - counts[k] : ends[k]] for k in some.tolist()])
-            for k, row in zip(some.tolist(), keys(mine, counts[some]), strict=True):
-                out[k] += pack(row)
+    for some, scheme, at in ((distinct < LONG * OVERLAP, short_keys, 0), (distinct >= LONG, long_keys, 2)):
+        if some.any():
+            keys, sign = scheme(hashes[np.repeat(some, counts)], counts[some])
+            for k, row, s in zip(np.flatnonzero(some).tolist(), keys, sign, strict=True):
+                out[at][k], out[at + 1][k] = pack(row), s.tobytes()
     return out
 
 
-def compare(contents: list[bytes]):
-    """Index pairs of similar lines: equal ones, then exact Jaccard of the distinct ones' sets of shingles."""
+def compare(contents: list[bytes], left: int):
+    """Index pairs of similar lines, one of them among the first `left`: equal ones, then exact Jaccard of the distinct
+    ones' sets of shingles."""
     first: dict[bytes, int] = {}
     for k, x in enumerate(contents):
         if (f := first.setdefault(x, k)) != k:
@@ -123,13 +141,13 @@ def compare(contents: list[bytes]):
         for k in range(0, len(lines), 500):
             hashes, counts = shingle_hashes(lines[k : k + 500])
             sets += [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
-        yield from ((at[i], at[j]) for i, j in exact_links(sets, SIMILARITY))
+        yield from ((at[i], at[j]) for i, j in exact_links(sets, jaccard(SIMILARITY), left=sum(k < left for k in at)))
 
 
 # ---------------------------------------------------------------- passes over the table
 
 PLACE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("line", "<i4")])
-ITEMS = "doc long, row long, line int, n int, places binary, keys binary"
+ITEMS = "doc long, row long, line int, n int, places binary, keys binary, sign binary, long_keys binary, long_sign binary"
 
 
 def items(docs: DataFrame) -> DataFrame:
@@ -153,7 +171,7 @@ def items(docs: DataFrame) -> DataFrame:
                     end += 1
                 part = lines[begin:end]
                 places = [sorted(found[x]) if len(found[x]) > 1 else found[x] for x in part]
-                keys = band_keys(part)
+                sketch = band_keys(part)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([p[0][0] for p in places], pa.int64()),
@@ -161,9 +179,9 @@ def items(docs: DataFrame) -> DataFrame:
                         pa.array([p[0][2] for p in places], pa.int32()),
                         pa.array([len(p) for p in places], pa.int32()),
                         pa.array([np.array(p, PLACE).tobytes() if len(p) > 1 else None for p in places], pa.binary()),
-                        pa.array(keys, pa.binary()),
+                        *(pa.array(x, pa.binary()) for x in sketch),
                     ],
-                    names=["doc", "row", "line", "n", "places", "keys"],
+                    names=["doc", "row", "line", "n", "places", "keys", "sign", "long_keys", "long_sign"],
                 )
                 begin = end
 
@@ -171,34 +189,36 @@ def items(docs: DataFrame) -> DataFrame:
 
 
 def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, data): the lines at (id, row, line), from another pass over the table."""
-    folder = by_partition(wanted.select("id", "row", "line"), "row", "wanted")
+    """(family, id, data): the lines at (family, id, row, line), from another pass over the table."""
+    folder = by_partition(wanted.select("family", "id", "row", "line"), "row", "wanted")
 
     def run(batches):
-        places: dict[int, list[tuple[int, int]]] | None = None
+        places: dict[int, list[tuple[int, int, int]]] | None = None
         for batch in batches:
             rows, bodies = (batch.column(c).to_pylist() for c in range(2))
             if places is None and rows:
                 places = {}
-                for i, r, k in zip(*of_partition(folder, rows[0], ["id", "row", "line"]), strict=True):
-                    places.setdefault(r, []).append((i, k))
-            ids, data = [], []
+                for f, i, r, k in zip(*of_partition(folder, rows[0], ["family", "id", "row", "line"]), strict=True):
+                    places.setdefault(r, []).append((f, i, k))
+            families, ids, data = [], [], []
             for row, text in zip(rows, bodies, strict=True):
                 if row in places:
                     lines = text.split("\n")
-                    for i, k in places[row]:
+                    for f, i, k in places[row]:
+                        families.append(f)
                         ids.append(i)
                         data.append(lines[k].strip().encode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["id", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(families, pa.int64()), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["family", "id", "data"])
 
-    return numbered(docs, "text").mapInArrow(bounded(run), "id long, data binary")
+    return numbered(docs, "text").mapInArrow(bounded(run), "family long, id long, data binary")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(row, line): every line but the first of each component, by row number of the table and line number."""
     prepare(docs.sparkSession)
     found = durable(items(docs).withColumn("id", F.monotonically_increasing_id()), "items")
-    comps = durable(link(found.select("id", "keys"), lambda ids: fetch_lines(docs, found.select("id", "row", "line").join(ids, "id", "left_semi")), compare, BLOCK_BYTES), "components")
+    sketched = found.where("keys is not null").select("id", "keys", "sign").union(found.where("long_keys is not null").select("id", "long_keys", "long_sign"))
+    comps = durable(link(sketched, alike, 1, lambda ids: fetch_lines(docs, found.select("id", "row", "line").join(ids, "id")), compare, BLOCK_BYTES), "components")
     members = found.select("id", "doc", "row", "line", "n", "places").join(comps, "id")
     first = members.groupBy("comp").agg(F.min(F.struct("doc", "row", "line", "id")).alias("first"))
     losers = members.join(first, "comp").where(F.col("id") != F.col("first.id")).select("row", "line", "places", F.lit(True).alias("all"))

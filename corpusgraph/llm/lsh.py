@@ -1,30 +1,35 @@
-"""Buckets of equal sketch keys, families of items that share buckets, exact links in families, and components.
-
-Items are (id, keys): a unique long id and packed sketch keys of 48 bits. Keys travel as arrays, a few rows a batch, not
-as a row a key. Items that share a bucket, directly or through others, are a family; an item's content is sent once, to
-its family, whatever the number of its buckets. There all pairs are compared exactly, as sets held in bit rows, and
-only links that join two components are given on: n - 1 at most for n items, never all pairs.
-
-A family beyond `BLOCK_BYTES` of content is split into blocks by hash, and each pair of blocks is a group of its own, so
-a task holds two blocks however large the family is, and still every pair meets.
+"""Buckets of equal sketch keys, families of alike items of a bucket, exact links in families, and components.
+
+Items are (id, keys, sign): a unique long id (on several rows if it has keys of several schemes), packed sketch keys of
+48 bits, and a signature by which two items of a bucket are told to be alike or not before their contents are needed.
+Keys travel as arrays, a few rows a batch, not as a row a key. Alike items of a bucket, directly or through others, are
+a family; an item's content is sent once, to its family, whatever the number of its buckets. There sets are compared
+exactly, and only links that join two components are given on: n - 1 at most for n items, never all pairs.
+
+A family beyond `block_bytes` of content is cut into blocks by hash. First each block meets the family's pivots, a few
+members drawn by hash; what is linked to them directly or through others settles there, in one copy of each content.
+Then only members outside the largest component meet all blocks. A pair of different components has a member outside the
+largest, so no pair that could join components is left out, and a group of near copies of one text costs in proportion
+to its size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import bounded, durable
 
-BLOCK_BYTES = 24_000_000
-#: Sets compared with each other at a time.
-ROWS = 512
-
+BLOCK_BYTES = 4_000_000
+#: Bytes of pivots, expected, that each block of a large family meets.
+PIVOT_BYTES = 100_000
+#: Sets compared with each other at a time; pivots of a bucket before it goes on to its family whole.
+ROWS, BUCKET_PIVOTS = 512, 512
 
 KEY_BYTES = 6
 
@@ -40,13 +45,48 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def bucket_edges(items: DataFrame) -> DataFrame:
-    """(u, v): links that make families of what shares buckets. A task holds 24 bytes a key of its partition.
+#: Signatures (n, words) of two lists of items, compared row by row.
+Alike = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 
-    In a bucket, items with the same keys altogether (by a digest of 64 bits) are a class, led by its least id; leaders are linked to the least of
-    the bucket, and the rest of a class to its leader, which is the same in each of their buckets, only in their first.
-    The lowest bit of a key that travels marks an item's first; it takes no part in comparisons.
+def alike_pairs(bucket: np.ndarray, sign: np.ndarray, alike: Alike) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that make the components of alike entries of each bucket; `bucket` has the first place of each.
+
+    All buckets take a pivot at a time: their first entry, then each that isn't yet in the component of the first. Of two
+    alike entries in different components one is outside the first's, and so is a pivot. A bucket that isn't through
+    after `BUCKET_PIVOTS` pivots links what is left to its first entry: contents decide.
     """
+    ends = np.append(bucket[1:], len(sign))
+    joined, open_ = np.zeros(len(sign), bool), np.ones(len(sign), bool)
+    us, vs = [], []
+    pivots, rounds = bucket.copy(), 0
+    while len(pivots):
+        sizes = ends - bucket
+        at = np.repeat(bucket - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        pivot = np.repeat(pivots, sizes)
+        begins = np.cumsum(sizes) - sizes
+        same = (at != pivot) & (alike(sign[at], sign[pivot]) if rounds < BUCKET_PIVOTS else open_[at] & ~joined[at])
+        us.append(at[same])
+        vs.append(pivot[same])
+        open_[pivots] = False
+        reached = np.logical_or.reduceat(same & joined[at], begins) | (pivots == bucket)
+        into = np.repeat(reached, sizes) & (same | (at == pivot))
+        joined[at[into]] = True
+        if rounds >= BUCKET_PIVOTS:
+            break
+        left = np.where(open_[at] & ~joined[at], at, len(sign))
+        following = np.minimum.reduceat(left, begins)
+        more = following < len(sign)
+        bucket, ends, pivots = bucket[more], ends[more], following[more]
+        rounds += 1
+        if rounds == BUCKET_PIVOTS:
+            pivots = bucket.copy()
+    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def bucket_edges(items: DataFrame, alike: Alike, words: int = 1) -> DataFrame:
+    """(u, v): links that make families of alike items of a bucket. A task holds 10 bytes and the signature of `words`
+    64-bit words for each key of its partition."""
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def scatter(batches):
@@ -56,56 +96,48 @@ def bucket_edges(items: DataFrame) -> DataFrame:
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             packed = batch.column(1).to_pylist()
             counts = np.array([len(x) // KEY_BYTES for x in packed])
-            first = np.zeros(int(counts.sum()), np.uint64)
-            first[(np.cumsum(counts) - counts)[counts > 0]] = 1
-            keys, base = unpack(b"".join(packed)) & ~np.uint64(1) | first, int(ids.min())
-            marks = np.repeat(np.array([xxhash.xxh3_64_intdigest(x) for x in packed], "<u8"), counts)
+            if not counts.sum():
+                continue
+            keys, base = unpack(b"".join(packed)), int(ids.min())
+            signs = np.repeat(np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, words), counts, axis=0)
             places = np.repeat(ids - base, counts)
             places = places.astype("<u4" if int(ids.max()) - base < 1 << 32 else "<u8")
-            part = ((keys >> np.uint64(1)) % np.uint64(parts)).astype(np.int32)
+            part = (keys % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            keys, marks, places, part = keys[order], marks[order], places[order], part[order]
+            keys, signs, places, part = keys[order], signs[order], places[order], part[order]
             begins = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
             spans = list(zip(begins, [*begins[1:], len(part)], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array([base] * len(spans), pa.int64()), pa.array([pack(keys[a:b]) for a, b in spans], pa.binary()), pa.array([marks[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([places[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "base", "keys", "marks", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array([base] * len(spans), pa.int64()), *(pa.array([f(x[a:b]) for a, b in spans], pa.binary()) for x, f in ((keys, pack), (signs, np.ndarray.tobytes), (places, np.ndarray.tobytes)))], names=["part", "base", "keys", "signs", "places"])
 
     def gather(batches):
-        keys, marks, ids = [], [], []
+        keys, signs, ids = [], [], []
         for batch in batches:
-            for base, k, m, p in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
+            for base, k, s, p in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
                 keys.append(unpack(k))
-                marks.append(np.frombuffer(m, "<u8"))
+                signs.append(np.frombuffer(s, "<u8").reshape(-1, words))
                 ids.append(base + np.frombuffer(p, f"<u{len(p) // len(keys[-1])}").astype(np.int64))
         if not keys:
             return
-        key, mark, id_ = np.concatenate(keys), np.concatenate(marks), np.concatenate(ids)
-        del keys, marks, ids
-        begin, key = (key & np.uint64(1)) == 1, key >> np.uint64(1)
+        key, sign, id_ = np.concatenate(keys), np.concatenate(signs), np.concatenate(ids)
+        del keys, signs, ids
         order = np.argsort(key)
-        key, mark, id_, begin = key[order], mark[order], id_[order], begin[order]
+        key = key[order]
         many = np.zeros(len(key), bool)
         many[1:] = key[1:] == key[:-1]
         many[:-1] |= many[1:]
-        key, mark, id_, begin = key[many], mark[many], id_[many], begin[many]
+        order, key = order[many], key[many]
+        sign, id_ = sign[order], id_[order]
         if not len(key):
             return
-        order = np.lexsort((mark, key))
-        key, mark, id_, begin = key[order], mark[order], id_[order], begin[order]
-        bucket = np.concatenate([[True], key[1:] != key[:-1]])
-        class_ = np.flatnonzero(bucket | np.concatenate([[True], mark[1:] != mark[:-1]]))
-        leader = np.minimum.reduceat(id_, class_)
-        owners = np.flatnonzero(bucket[class_])
-        least = np.repeat(np.minimum.reduceat(leader, owners), np.diff(np.append(owners, len(class_))))
-        mine = np.repeat(leader, np.diff(np.append(class_, len(key))))
-        rest = begin & (id_ != mine)
-        u, v = np.concatenate([leader[leader != least], id_[rest]]), np.concatenate([least[leader != least], mine[rest]])
-        nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+        u, v = alike_pairs(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), sign, alike)
+        nodes, place = np.unique(np.concatenate([id_[u], id_[v]]), return_inverse=True)
         label = settle(len(nodes), place[: len(u)], place[len(u) :])
-        u, v = nodes[label != np.arange(len(nodes))], nodes[label[label != np.arange(len(nodes))]]
+        u = np.flatnonzero(label != np.arange(len(nodes)))
         for k in range(0, len(u), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in (u, v)], names=["u", "v"])
+            some = u[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[label[some]])], names=["u", "v"])
 
-    spread = items.select("id", "keys").mapInArrow(bounded(scatter), "part int, base long, keys binary, marks binary, places binary")
+    spread = items.select("id", "keys", "sign").mapInArrow(bounded(scatter), "part int, base long, keys binary, signs binary, places binary")
     return spread.repartitionById(parts, F.col("part")).mapInArrow(bounded(gather), "u long, v long")
 
 
@@ -143,6 +175,22 @@ class Union:
         return np.array([self.find(i) for i in some.tolist()])
 
 
+# ---------------------------------------------------------------- links of sets
+
+
+@dataclass(frozen=True)
+class Overlap:
+    """How many members two sets must share. `near` takes the number shared and both sizes; of a set of n members, any
+    that is near shares one of the first n - least(n) + 1 members, in whatever order all sets have them."""
+
+    near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    least: Callable[[np.ndarray], np.ndarray]
+
+
+def jaccard(similarity: float) -> Overlap:
+    return Overlap(lambda both, a, b: both >= similarity * (a + b - both) - 1e-9, lambda n: np.ceil(similarity * n - 1e-9).astype(np.int64))
+
+
 def bit_rows(sets: list[np.ndarray]) -> np.ndarray:
     """A row of uint64 words for each sorted set; members that only one set has are left out: they are in no intersection."""
     sizes = np.array([len(x) for x in sets])
@@ -162,9 +210,9 @@ def bit_rows(sets: list[np.ndarray]) -> np.ndarray:
     return rows
 
 
-def prefix_groups(sets: list[np.ndarray], least: float) -> list[np.ndarray]:
-    """Places of sets that may be linked, directly or through others, by prefix filtering: with all members ordered by how
-    rare they are, two sets of Jaccard similarity `least` share one of their first n - ceil(least n) + 1 members."""
+def prefix_groups(sets: list[np.ndarray], overlap: Overlap) -> list[np.ndarray]:
+    """Places of sets that may be linked, directly or through others, by prefix filtering over members ordered by how
+    rare they are."""
     sizes = np.array([len(x) for x in sets], np.int64)
     _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(count), np.int64)
@@ -173,7 +221,7 @@ def prefix_groups(sets: list[np.ndarray], least: float) -> list[np.ndarray]:
     member = rank[place]
     order = np.lexsort((member, owner))
     within = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    kept = within < np.repeat(sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1, sizes)
+    kept = within < np.repeat(sizes - overlap.least(sizes) + 1, sizes)
     member, owner = member[order][kept], owner[kept]
     order = np.argsort(member, kind="stable")
     member, owner = member[order], owner[order]
@@ -193,29 +241,31 @@ def prefix_groups(sets: list[np.ndarray], least: float) -> list[np.ndarray]:
     return [x for x in np.split(order, cuts) if len(x) > 1]
 
 
-def exact_links(sets: list[np.ndarray], least: float, confirm: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
-    """Links of Jaccard similarity `least` or more that join all components of such links, by exact intersections."""
-    if len(sets) > 8:
-        for at in prefix_groups(sets, least):
-            again = (lambda i, j, at=at: confirm(int(at[i]), int(at[j]))) if confirm else None
-            yield from ((int(at[i]), int(at[j])) for i, j in group_links([sets[k] for k in at.tolist()], least, again))
-    else:
-        yield from group_links(sets, least, confirm)
+Confirm = Callable[[int, int], bool]
+
 
+def exact_links(sets: list[np.ndarray], overlap: Overlap, confirm: Confirm | None = None, left: int | None = None) -> Iterator[tuple[int, int]]:
+    """Links that join all components of near sets, by exact intersections and `confirm`. With `left`, only the first
+    `left` sets meet all others; else all sets meet."""
+    left = len(sets) if left is None else left
+    for at in prefix_groups(sets, overlap) if len(sets) > 8 else [np.arange(len(sets))]:
+        again = (lambda i, j, at=at: confirm(int(at[i]), int(at[j]))) if confirm else None
+        yield from ((int(at[i]), int(at[j])) for i, j in group_links([sets[k] for k in at.tolist()], overlap, again, int((at < left).sum())))
 
-def group_links(sets: list[np.ndarray], least: float, confirm: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
-    """The links of one group, held as bit rows.
 
-    Sets with most members in common with the others come first: `ROWS` of them meet all sets, so the original of many
-    copies joins them at once. Then every set outside the largest component meets all sets. A pair of different
-    components has a set outside the largest one, so no pair that could join components is left out.
+def group_links(sets: list[np.ndarray], overlap: Overlap, confirm: Confirm | None = None, left: int | None = None) -> Iterator[tuple[int, int]]:
+    """The links of one group, held as bit rows; the first `left` sets, or all, meet all.
+
+    If all do, sets with most members in common with the others come first: `ROWS` of them meet all sets, so the original
+    of many copies joins them at once. Then every set outside the largest component meets all sets.
     """
     n = len(sets)
-    if n < 2:
+    left = n if left is None else left
+    if n < 2 or not left:
         return
     if n == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
-        if both >= least * (len(sets[0]) + len(sets[1]) - both) - 1e-9 and (confirm is None or confirm(0, 1)):
+        if overlap.near(np.int64(both), np.int64(len(sets[0])), np.int64(len(sets[1]))) and (confirm is None or confirm(0, 1)):
             yield 0, 1
         return
     bits, sizes = bit_rows(sets), np.array([len(x) for x in sets], np.int64)
@@ -228,86 +278,141 @@ def group_links(sets: list[np.ndarray], least: float, confirm: Callable[[int, in
         if (ra == ra[0]).all() and (rb == ra[0]).all():
             return
         both = np.zeros((len(rows), len(columns)), np.int64)
-        left, right = bits[rows].T.copy(), bits[columns].T.copy()
-        for x, y in zip(left, right, strict=True):
+        for x, y in zip(bits[rows].T.copy(), bits[columns].T.copy(), strict=True):
             both += np.bitwise_count(x[:, None] & y[None, :])
-        near = (both >= least * (sizes[rows][:, None] + sizes[columns][None, :] - both) - 1e-9) & (ra[:, None] != rb[None, :])
+        near = overlap.near(both, sizes[rows][:, None], sizes[columns][None, :]) & (ra[:, None] != rb[None, :])
         for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
             p, q = int(rows[i]), int(columns[j])
             if union.find(p) != union.find(q) and (confirm is None or confirm(p, q)):
                 union.join(union.find(p), union.find(q))
                 yield p, q
 
+    rows = order if left == n else np.arange(left)
     for b in range(0, n, ROWS):
-        yield from meet(order[:ROWS], order[b : b + ROWS])
-    if n > ROWS:
-        roots = union.roots(order)
+        yield from meet(rows[:ROWS], order[b : b + ROWS])
+    if len(rows) > ROWS:
+        roots = union.roots(np.arange(n))
         names, count = np.unique(roots, return_counts=True)
-        rest = order[ROWS:][roots[ROWS:] != names[count.argmax()]]
+        rest = rows[ROWS:]
+        rest = rest[roots[rest] != names[count.argmax()]] if left == n else rest
         for a in range(0, len(rest), ROWS):
             for b in range(0, n, ROWS):
                 yield from meet(rest[a : a + ROWS], order[b : b + ROWS])
 
 
+# ---------------------------------------------------------------- components
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp): each linked id and the least id of its component. Union by alternating stars over a table.
+    """(id, comp): each linked id and the least id of its component.
 
-    Large star: a node's larger neighbours take its least neighbour as parent. Small star: its smaller ones do. Each
-    round is a join and two aggregations with partial sums, written to the shared folder; a node with very many
-    neighbours is one row after aggregation, and its edges are a join side that Spark can split. It ends when every node
-    has one parent, which has none.
+    Edges are dealt by their larger end, and a task unites what lies in its partition: of n nodes at most n - 1 edges are
+    left, each from a node to the least one of its piece. An item is the larger end of as many edges as it has buckets at
+    most, so a hub isn't a hot key. Once no node has two parents, paths are halved by joining each node's parent with
+    that one's own; the joined side has a row a node, and Spark can split the other where many nodes have one parent.
+    Each round is one job, written to the shared folder, which counts what it changed.
     """
-    edges = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    while not edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() or not edges.groupBy("u").count().where("count > 1").isEmpty():
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        parent = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(parent, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(parent.select("u", "m")).distinct()
-        edges = durable(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), "edges")
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def unite(batches):
+        ends = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches if batch.num_rows]
+        if not ends:
+            return
+        u, v = (np.concatenate(x) for x in zip(*ends, strict=True))
+        nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+        label = settle(len(nodes), place[: len(u)], place[len(u) :])
+        own = np.zeros(len(nodes), bool)
+        own[place[: len(u)]] = True
+        some = np.flatnonzero(label != np.arange(len(nodes)))
+        for k in range(0, len(some), 50_000):
+            at = some[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[label[at]]), pa.array((~own[at]).astype(np.int64))], names=["u", "v", "moved"])
+
+    def counted(edges: DataFrame, name: str) -> tuple[DataFrame, int]:
+        seen = Observation()
+        out = durable(edges.observe(seen, F.sum("moved").alias("moved")), name).select("u", "v")
+        return out, seen.get["moved"] or 0
+
+    edges, moved, rounds = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), 1, 0
+    while moved:
+        if rounds > 2:  # long paths that run side by side would unite a step a round
+            least = edges.groupBy(F.col("u").alias("p")).agg(F.min("v").alias("above"))
+            edges = edges.join(least, edges["v"] == least["p"], "left").select("u", F.coalesce("above", "v").alias("v")).union(least.select("p", "above"))
+        edges, moved = counted(edges.repartition(parts, "u").mapInArrow(bounded(unite), "u long, v long, moved long"), "edges")
+        rounds += 1
+    moved = 1
+    while moved:
+        above = edges.select(F.col("u").alias("p"), F.col("v").alias("above"))
+        edges, moved = counted(edges.join(above, edges["v"] == above["p"], "left").select("u", F.coalesce("above", "v").alias("v"), F.col("above").isNotNull().cast("long").alias("moved")), "paths")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-Compare = Callable[[list[bytes]], Iterator[tuple[int, int]]]
+# ---------------------------------------------------------------- families
 
+#: Contents, and how many of the first meet all; yields index pairs.
+Compare = Callable[[list[bytes], int], Iterator[tuple[int, int]]]
 
-def link(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Compare, block_bytes: int | None = None) -> DataFrame:
-    """Components (id, comp) of the links that `compare` finds among items that share buckets.
 
-    `fetch` takes ids (id) and returns their contents (id, data); `compare` takes contents and yields index pairs.
-    """
-    families = components(bucket_edges(items))
-    held = durable(fetch(families.select("id")).join(families, "id").select(F.col("comp").alias("family"), "id", "data"), "contents")
-    sizes = held.groupBy("family").agg(F.sum(F.length("data") + 64).alias("bytes"))
-    placed = held.join(sizes.select("family", F.ceil(F.col("bytes") / (block_bytes or BLOCK_BYTES)).cast("int").alias("blocks")), "family")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("block")) | (F.col("blocks") == 1))
-    placed = placed.withColumn("block", block).select("family", "id", "data", "block", (F.col("blocks") == 1).alias("whole"), F.explode(others).alias("other"))
-    placed = placed.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "data", "whole")
+def _compared(groups: DataFrame, compare: Compare) -> DataFrame:
+    """(u, v) of `groups` (family, i, j, left, id, data): in each (family, i, j) what is `left` meets all. Spanning links."""
 
     def run(batches):
-        at, ids, contents = None, [], []
+        at, ids, contents, left, first = None, [], [], 0, set()
 
         def flush():
-            found = list(compare(contents)) if len(ids) > 1 else []
-            whole = bool(at and at[3])
-            if whole and found:
-                a, b = np.array(found).T
-                label = settle(len(ids), a, b)
-                found = [(k, int(label[k])) for k in np.unique(np.concatenate([a, b])).tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64()), pa.array([whole] * len(found), pa.bool_())], names=["u", "v", "whole"])
+            found = list(compare(contents, left)) if len(ids) > 1 and left else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            for family, i, j, id_, data, whole in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-                if (family, i, j, whole) != at:
+            for family, i, j, meets, id_, data in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if (family, i, j) != at:
                     yield flush()
-                    at, ids, contents = (family, i, j, whole), [], []
+                    at, ids, contents, left, first = (family, i, j), [], [], 0, set()
+                if meets:
+                    left += 1
+                    first.add(id_)
+                elif id_ in first:
+                    continue
                 ids.append(id_)
                 contents.append(data)
         yield flush()
 
-    # Rows come by family and id, so a whole family's label is its least linked id; blocks of a larger one give links.
-    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = durable(placed.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "id").mapInArrow(bounded(run), "u long, v long, whole boolean"), "found")
-    done, links = found.where("whole").select(F.col("u").alias("id"), F.col("v").alias("comp")), found.where("not whole").select("u", "v")
-    return done if links.isEmpty() else done.union(components(links))
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = groups.select("family", "i", "j", "left", "id", "data").repartition(parts, "family", "i", "j")
+    return dealt.sortWithinPartitions("family", "i", "j", F.desc("left"), "id").mapInArrow(bounded(run), "u long, v long")
+
+
+def link(items: DataFrame, alike: Alike, words: int, fetch: Callable[[DataFrame], DataFrame], compare: Compare, block_bytes: int | None = None) -> DataFrame:
+    """Components (id, comp) of the links that `compare` finds among items of a family.
+
+    `fetch` takes (id, family) and returns (family, id, data), the contents.
+    """
+    block_bytes = block_bytes or BLOCK_BYTES
+    families = durable(components(bucket_edges(items, alike, words)), "families")
+    held = durable(fetch(families.select("id", F.col("comp").alias("family"))).select("family", "id", "data"), "contents")
+    sizes = held.groupBy("family").agg(F.sum(F.length("data") + 64).alias("bytes"))
+    large = durable(sizes.where(F.col("bytes") > block_bytes).select("family", "bytes", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks")), "large")
+    zero, split = F.lit(0), not large.isEmpty()
+    whole = held.join(large, "family", "left_anti") if split else held
+    small = whole.select("family", zero.alias("i"), zero.alias("j"), F.lit(True).alias("left"), "id", "data")
+    if not split:
+        return components(_compared(small, compare))
+    placed = held.join(large, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = lambda n: F.explode(F.sequence(zero, n - 1))
+    drawn = placed.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 30)) * (F.col("bytes") / PIVOT_BYTES) < (1 << 30))
+    pivots = drawn.select("family", every(F.col("blocks")).alias("i"), zero.alias("j"), F.lit(True).alias("left"), "id", "data")
+    blocks = placed.select("family", F.col("block").alias("i"), zero.alias("j"), F.lit(False).alias("left"), "id", "data")
+    found = durable(_compared(small.union(pivots).union(blocks), compare), "links")
+    settled = durable(components(found), "settled")
+    ids = held.join(large, "family", "left_semi").select("family", "id").join(settled, "id", "left").select("family", "id", F.coalesce("comp", "id").alias("comp"))
+    counts = ids.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
+    rest = durable(ids.join(largest, "family").where("comp <> most").select("id", "comp"), "rest")
+    if rest.isEmpty():
+        return settled
+    outside = placed.join(rest.select("id"), "id", "left_semi")
+    pieces = durable(outside.groupBy("family").agg(F.ceil(F.sum(F.length("data") + 64) / block_bytes).cast("int").alias("pieces")), "pieces")
+    lefts = outside.join(pieces, "family").select("family", F.pmod(F.xxhash64(F.lit(2), "id"), F.col("pieces")).cast("int").alias("i"), every(F.col("blocks")).alias("j"), F.lit(True).alias("left"), "id", "data")
+    alls = placed.join(pieces, "family").select("family", every(F.col("pieces")).alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), "id", "data")
+    more = durable(_compared(lefts.union(alls), compare), "more")
+    return components(found.union(more))

@@ -7,6 +7,7 @@ import io
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -48,6 +49,30 @@ def jaccard_components(sets, least):
     return [u.find(i) for i in range(len(sets))]
 
 
+def edits(a, b):
+    """Levenshtein distance of two sequences by the full table, a row at a time."""
+    b = np.array(b)
+    steps = np.arange(len(b) + 1)
+    row = steps
+    for i, x in enumerate(a, 1):
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (b != x))])
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row[-1])
+
+
+def edit_pairs(texts, least=0.8):
+    """Pairs of places of texts whose words have at least this edit similarity; no sketch takes part in it."""
+    bags, names, out = [Counter(t.split()) for t in texts], {}, []
+    words = [[names.setdefault(w, len(names)) for w in t.split()] for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            n = max(len(words[i]), len(words[j]))
+            # The distance is no less than what the longer bag has beyond the other.
+            if n - (bags[i] & bags[j]).total() <= (1 - least) * n + 1e-9 and edits(words[i], words[j]) <= (1 - least) * n + 1e-9:
+                out.append((j, i))
+    return out
+
+
 # ------------------------------------------------------------------ 1
 
 
@@ -207,29 +232,38 @@ def test_line_dedup_is_brute_force(spark, docs):
     assert sorted(map(tuple, queries.op5_line_dedup(spark, SF).collect())) == want
 
 
+def meet(a, b):
+    """Whether two lines share a key of a scheme in which their signatures are alike."""
+    sketch = line_dedup.band_keys([a, b])
+    for keys, sign in (sketch[:2], sketch[2:]):
+        if None not in keys and set(lsh.unpack(keys[0]).tolist()) & set(lsh.unpack(keys[1]).tolist()):
+            x, y = (np.frombuffer(s, "<u8")[None] for s in sign)
+            if line_dedup.alike(x, y)[0]:
+                return True
+    return False
+
+
 def test_banding_recall():
     rng = random.Random(3)
     found = total = 0
     for _ in range(900):
-        n = rng.choice([40, 90, 130, 150, 170, 400])
+        n = rng.choice([15, 25, 40, 90, 130, 150, 170, 400])
         a = "".join(rng.choice("abcdefghij ") for _ in range(n))
         b = list(a)
         for _ in range(1 + n // 120):
-            b[rng.randrange(n)] = "z"
+            b[rng.randrange(n) if n > 80 else rng.choice([0, n - 1])] = "z"
         b = "".join(b)[: n - rng.choice([0, 3])]
         x, y = ({s[k : k + 8] for k in range(len(s) - 7)} for s in (a, b))
         if len(x & y) >= 0.8 * len(x | y):
             total += 1
-            keys = [set(lsh.unpack(k).tolist()) for k in line_dedup.band_keys([a, b])]
-            found += bool(keys[0] & keys[1])
+            found += meet(a, b)
     assert total > 200 and found / total > 0.995
 
 
 def test_repetitive_lines_share_keys(spark, stored):
     pairs = [("-" * 80, "-" * 140), ("ha " * 30, "ha " * 90), ("one phrase of words " * 3, "one phrase of words " * 9)]
     for a, b in pairs:
-        keys = [set(lsh.unpack(k).tolist()) for k in line_dedup.band_keys([a.strip(), b.strip()])]
-        assert keys[0] & keys[1]
+        assert meet(a.strip(), b.strip())
     docs = stored([(k, line) for k, line in enumerate(x for p in pairs for x in p)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in line_dedup.report(docs).collect()) == [(k, k % 2) for k in range(6)]
 
@@ -248,39 +282,77 @@ def test_exact_links(monkeypatch, rows):
                 s.add(rng.randrange(200))
             sets.append(s)
         u = Sets(len(sets))
-        links = list(lsh.exact_links([np.array(sorted(s), np.uint64) for s in sets], 0.8))
+        links = list(lsh.exact_links([np.array(sorted(s), np.uint64) for s in sets], lsh.jaccard(0.8)))
         for a, b in links:
             u.join(a, b)
         assert [u.find(i) for i in range(len(sets))] == jaccard_components(sets, 0.8)
         assert len(links) == len(sets) - len({u.find(i) for i in range(len(sets))})
 
 
-def test_large_families_split_into_blocks(spark, stored, monkeypatch):
+def test_left_sets_meet_all():
+    rng = random.Random(2)
+    base = [{rng.randrange(200) for _ in range(20)} for _ in range(3)]
+    sets = [set(rng.choice(base)) ^ {rng.randrange(200)} for _ in range(40)]
+    u, want = Sets(40), Sets(40)
+    for a, b in lsh.exact_links([np.array(sorted(s), np.uint64) for s in sets], lsh.jaccard(0.8), left=7):
+        u.join(a, b)
+    for i in range(7):
+        for j in range(40):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                want.join(i, j)
+    assert [u.find(i) for i in range(40)] == [want.find(i) for i in range(40)]
+
+
+@pytest.mark.parametrize("pivot_bytes", [1, 4000, 10**6])  # none drawn, some, all
+def test_large_families_split_into_blocks(spark, stored, monkeypatch, pivot_bytes):
     monkeypatch.setattr(lsh, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(lsh, "PIVOT_BYTES", pivot_bytes)
     base = [f"w{k}" for k in range(60)]
     rows = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])) for k in range(0, 60, 2)] + [(99, " ".join(base))]
+    rows += [(200 + k, " ".join(base[: 10 + k] + [f"y{j}" for j in range(50 - k)])) for k in range(0, 40, 5)]
     out = order_minhash.classes(stored(rows, "doc_id long, text string")).collect()
-    sets = [{tuple(t.split()[k : k + 5]) for k in range(56)} for _, t in rows]
-    want = jaccard_components(sets, 0.8)
-    assert {r.doc_id: r.class_id for r in out} == {rows[i][0]: min(rows[j][0] for j in range(len(rows)) if want[j] == want[i]) for i in range(len(rows))}
-
-
-def test_bucket_classes_go_by_all_keys(spark):
-    by_mark: dict[int, bytes] = {}
-    for k in range(1 << 20):  # two arrays of other keys, but for one that both share, whose short marks collide
-        keys = lsh.pack(np.array([1000 + 2 * k, 10, 2_000_000_000 + k]))
-        other = by_mark.setdefault(lsh.xxhash.xxh32_intdigest(keys) & 0xFFFF, keys)
-        if other != keys:
-            break
-    rows = [(1, other), (2, keys), (3, keys), (4, lsh.pack(np.array([10, 6])))]  # 4 shares 10, its first key
-    got = lsh.components(lsh.bucket_edges(spark.createDataFrame(rows, "id long, keys binary"))).collect()
-    assert {r.id: r.comp for r in got} == {1: 1, 2: 1, 3: 1, 4: 1}
+    want = Sets(len(rows))
+    for i, j in edit_pairs([t for _, t in rows]):
+        want.join(i, j)
+    assert {r.doc_id: r.class_id for r in out} == {rows[i][0]: rows[want.find(i)][0] for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("pivots", [2, 512])
+def test_buckets_link_all_that_are_alike(monkeypatch, pivots):
+    monkeypatch.setattr(lsh, "BUCKET_PIVOTS", pivots)
+    rng = np.random.default_rng(4)
+    alike = lambda a, b: np.abs(a[:, 0].astype(np.int64) - b[:, 0].astype(np.int64)) <= 3
+    sizes = rng.integers(2, 12, 60)
+    sign, first = rng.integers(0, 40, (int(sizes.sum()), 1)).astype(np.uint64), np.cumsum(sizes) - sizes
+    u, v = lsh.alike_pairs(first, sign, alike)
+    got, want = Sets(len(sign)), Sets(len(sign))
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        got.join(a, b)
+    for a, n in zip(first.tolist(), sizes.tolist(), strict=True):
+        for i in range(a, a + n):
+            for j in range(a, i):
+                if abs(int(sign[i, 0]) - int(sign[j, 0])) <= 3:
+                    want.join(i, j)
+    if pivots > 12:
+        assert [got.find(i) for i in range(len(sign))] == [want.find(i) for i in range(len(sign))]
+    assert all(got.find(i) == got.find(want.find(i)) for i in range(len(sign)))  # too few pivots: more links, none lost
+    bucket = np.repeat(first, sizes)
+    assert all(bucket[a] == bucket[b] for a, b in zip(u.tolist(), v.tolist(), strict=True))
+
+
+def test_bucket_edges(spark):
+    rows = [(1, [7, 9], 1), (2, [9, 11], 1), (3, [11], 2), (4, [20], 1), (5, [9], 8), (6, [9], 8), (7, [20], 99)]
+    rows = [(i, bytearray(lsh.pack(np.array(k))), bytearray(np.uint64(s).tobytes())) for i, k, s in rows]
+    items = spark.createDataFrame(rows, "id long, keys binary, sign binary")
+    alike = lambda a, b: np.abs(a[:, 0].astype(np.int64) - b[:, 0].astype(np.int64)) <= 1
+    got = {r.id: r.comp for r in lsh.components(lsh.bucket_edges(items, alike)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
 
 
 def test_components(spark):
     rng = random.Random(5)
-    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
-    u = Sets(400)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(k, k + 2) for k in range(500, 600)] + [(600, 601)] + [(700, 700 + k) for k in range(1, 90)]
+    u = Sets(800)
     for a, b in edges:
         u.join(a, b)
     got = {r.id: r.comp for r in lsh.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -447,9 +519,31 @@ def test_iban_ends_by_country(spark):
 
 
 def test_near_duplicates_are_brute_force(spark, docs):
-    comp = jaccard_components([{tuple((w := t.split())[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for _, t in docs], 0.8)
+    pairs, want = edit_pairs([t for _, t in docs]), Sets(len(docs))
+    for i, j in pairs:
+        want.join(i, j)
     got = {r.doc_id: r.class_id for r in queries.op10_order_minhash(spark, SF).collect()}
-    assert got == {docs[i][0]: docs[comp[i]][0] for i in range(len(docs))}
+    for i, (doc_id, _) in enumerate(docs):  # no class holds what alignment doesn't join
+        assert want.find(i) == want.find([d for d, _ in docs].index(got[doc_id]))
+    other = [(i, j) for i, j in pairs if docs[i][1] != docs[j][1]]
+    together = [(i, j) for i, j in other if got[docs[i][0]] == got[docs[j][0]]]
+    assert len(other) > 3 and len(together) >= 0.9 * len(other)
+
+
+def test_sketch_recall(spark, stored):
+    """Of pairs at a similarity from 0.8 on, at least 0.9 are found, however the edits lie."""
+    rng, rows = random.Random(9), []
+    for k in range(150):
+        n = rng.choice([30, 100, 400])
+        a = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        b, share = list(a), rng.choice([0.05, 0.1, 0.15, 0.2])
+        for p in rng.sample(range(n), int(share * n)):
+            b[p] = rng.choice([f"x{rng.randrange(10**9)}", "", f"{b[p]} y{rng.randrange(10**9)}"])
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    pairs = [k for k in range(150) if edits(*(x := [t.split() for _, t in rows[2 * k : 2 * k + 2]])) <= 0.2 * max(map(len, x)) + 1e-9]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(stored(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 100 and sum(got[2 * k + 1] == 2 * k for k in pairs) >= 0.9 * len(pairs)
+    assert all(got[2 * k + 1] == 2 * k + 1 for k in range(150) if k not in pairs)
 
 
 def test_banded_distance():
