@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, durable, prepare
-from .lsh import exact_links, jaccard, link, pack
+from .lsh import Sets, exact_links, jaccard, link, pack
 from .order_minhash import mix
 from .passes import by_partition, numbered, of_partition
 
@@ -128,6 +128,12 @@ def band_keys(lines: list[str]) -> tuple[list[bytes | None], list[bytes | None],
     return out
 
 
+def shingle_set(line: bytes) -> tuple[np.ndarray, bytes]:
+    """The set of shingles of a line, and its signature by as many hash functions as short lines have."""
+    hashes = np.unique(shingle_hashes([line.decode()])[0])
+    return hashes, short_keys(hashes, np.array([len(hashes)]))[1].tobytes()
+
+
 def compare(contents: list[bytes], left: int):
     """Index pairs of similar lines, one of them among the first `left`: equal ones, then exact Jaccard of the distinct
     ones' sets of shingles."""
@@ -218,7 +224,7 @@ def removals(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     found = durable(items(docs).withColumn("id", F.monotonically_increasing_id()), "items")
     sketched = found.where("keys is not null").select("id", "keys", "sign").union(found.where("long_keys is not null").select("id", "long_keys", "long_sign"))
-    comps = durable(link(sketched, alike, 1, lambda ids: fetch_lines(docs, found.select("id", "row", "line").join(ids, "id")), compare, BLOCK_BYTES), "components")
+    comps = durable(link(sketched, alike, 1, lambda ids: fetch_lines(docs, found.select("id", "row", "line").join(ids, "id")), compare, Sets(shingle_set, jaccard(SIMILARITY)), BLOCK_BYTES), "components")
     members = found.select("id", "doc", "row", "line", "n", "places").join(comps, "id")
     first = members.groupBy("comp").agg(F.min(F.struct("doc", "row", "line", "id")).alias("first"))
     losers = members.join(first, "comp").where(F.col("id") != F.col("first.id")).select("row", "line", "places", F.lit(True).alias("all"))

@@ -6,11 +6,12 @@ Keys travel as arrays, a few rows a batch, not as a row a key. Alike items of a
 a family; an item's content is sent once, to its family, whatever the number of its buckets. There sets are compared
 exactly, and only links that join two components are given on: n - 1 at most for n items, never all pairs.
 
-A family beyond `block_bytes` of content is cut into blocks by hash. First each block meets the family's pivots, a few
-members drawn by hash; what is linked to them directly or through others settles there, in one copy of each content.
-Then only members outside the largest component meet all blocks. A pair of different components has a member outside the
-largest, so no pair that could join components is left out, and a group of near copies of one text costs in proportion
-to its size.
+Chance links grow families, so a family beyond `block_bytes` of content is parted first by an exact prefix filter over
+the members of its sets, rarest first: passages that many share come last, and sets that may be near share a member
+before them. What is still large is cut into blocks by hash. Each block meets the family's pivots, a few members drawn
+by hash; what is linked to them directly or through others settles there, in one copy of each content. Then only members
+outside the largest component meet all blocks. A pair of different components has a member outside the largest, so no
+pair that could join components is left out, and near copies of one text cost in proportion to their number.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ from .common import bounded, durable
 BLOCK_BYTES = 4_000_000
 #: Bytes of pivots, expected, that each block of a large family meets.
 PIVOT_BYTES = 100_000
+#: Counters of members, by hash, that order them for the prefix filter: the driver holds so many numbers.
+COUNTERS = 1 << 18
 #: Sets compared with each other at a time; pivots of a bucket before it goes on to its family whole.
 ROWS, BUCKET_PIVOTS = 512, 512
 
@@ -84,61 +88,96 @@ def alike_pairs(bucket: np.ndarray, sign: np.ndarray, alike: Alike) -> tuple[np.
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+ENTRY = "part int, base long, keys binary, signs binary, marks binary, places binary"
+PACKED = "part int, data binary, moved long"
+#: Edges that a task unites, about.
+EDGES = 500_000
+
+
+def packed_edges(u: np.ndarray, v: np.ndarray, parts: int, moved: int = 0) -> pa.RecordBatch:
+    """Edges from `u` to `v` as arrays, a row for each partition that `u` is dealt to."""
+    part = ((u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+    order = np.argsort(part, kind="stable")
+    both, part = np.stack([u, v], axis=1)[order].astype("<i8"), part[order]
+    begins = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    data = [both[a:b].tobytes() for a, b in zip(begins, [*begins[1:], len(part)], strict=True)] if len(part) else []
+    return pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a in begins], pa.int32()), pa.array(data, pa.binary()), pa.array([moved] * len(begins), pa.int64())], names=["part", "data", "moved"])
+
+
+def unpacked_edges(batches) -> tuple[np.ndarray, np.ndarray]:
+    both = [np.frombuffer(x, "<i8").reshape(-1, 2) for batch in batches for x in batch.column(1).to_pylist()]
+    both = np.concatenate(both) if both else np.zeros((0, 2), np.int64)
+    return both[:, 0], both[:, 1]
+
+
 def bucket_edges(items: DataFrame, alike: Alike, words: int = 1) -> DataFrame:
-    """(u, v): links that make families of alike items of a bucket. A task holds 10 bytes and the signature of `words`
-    64-bit words for each key of its partition."""
+    """Packed edges that make families of alike items of a bucket. A task holds 14 bytes and the signature of `words`
+    64-bit words for each key of its partition.
+
+    Items of the same keys and signature (by a digest of 32 bits, within a bucket and signature) are a class, led by its
+    least id. Leaders meet in each bucket; the rest of a class meets its leader, the same in each of their buckets, only in
+    the first. The lowest bit of a key that travels marks an item's first; it takes no part in comparisons.
+    """
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def scatter(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            packed = batch.column(1).to_pylist()
-            counts = np.array([len(x) // KEY_BYTES for x in packed])
+            packed, sign = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            counts = np.array([len(x) // KEY_BYTES for x in packed], np.int64)
             if not counts.sum():
                 continue
-            keys, base = unpack(b"".join(packed)), int(ids.min())
-            signs = np.repeat(np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, words), counts, axis=0)
+            first = np.zeros(int(counts.sum()), np.uint64)
+            first[(np.cumsum(counts) - counts)[counts > 0]] = 1
+            keys, base = unpack(b"".join(packed)) & ~np.uint64(1) | first, int(ids.min())
+            signs = np.repeat(np.frombuffer(b"".join(sign), "<u8").reshape(-1, words), counts, axis=0)
+            marks = np.repeat(np.array([xxhash.xxh32_intdigest(x + s) for x, s in zip(packed, sign, strict=True)], "<u4"), counts)
             places = np.repeat(ids - base, counts)
             places = places.astype("<u4" if int(ids.max()) - base < 1 << 32 else "<u8")
-            part = (keys % np.uint64(parts)).astype(np.int32)
+            part = ((keys >> np.uint64(1)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            keys, signs, places, part = keys[order], signs[order], places[order], part[order]
+            keys, signs, marks, places, part = keys[order], signs[order], marks[order], places[order], part[order]
             begins = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
             spans = list(zip(begins, [*begins[1:], len(part)], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array([base] * len(spans), pa.int64()), *(pa.array([f(x[a:b]) for a, b in spans], pa.binary()) for x, f in ((keys, pack), (signs, np.ndarray.tobytes), (places, np.ndarray.tobytes)))], names=["part", "base", "keys", "signs", "places"])
+            columns = [pa.array([f(x[a:b]) for a, b in spans], pa.binary()) for x, f in ((keys, pack), (signs, np.ndarray.tobytes), (marks, np.ndarray.tobytes), (places, np.ndarray.tobytes))]
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), pa.array([base] * len(spans), pa.int64()), *columns], names=["part", "base", "keys", "signs", "marks", "places"])
 
     def gather(batches):
-        keys, signs, ids = [], [], []
+        keys, signs, marks, ids = [], [], [], []
         for batch in batches:
-            for base, k, s, p in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
+            for base, k, s, m, p in zip(*(batch.column(c).to_pylist() for c in range(1, 6)), strict=True):
                 keys.append(unpack(k))
                 signs.append(np.frombuffer(s, "<u8").reshape(-1, words))
+                marks.append(np.frombuffer(m, "<u4"))
                 ids.append(base + np.frombuffer(p, f"<u{len(p) // len(keys[-1])}").astype(np.int64))
         if not keys:
             return
-        key, sign, id_ = np.concatenate(keys), np.concatenate(signs), np.concatenate(ids)
-        del keys, signs, ids
+        key, sign, mark, id_ = np.concatenate(keys), np.concatenate(signs), np.concatenate(marks), np.concatenate(ids)
+        del keys, signs, marks, ids
+        first, key = (key & np.uint64(1)) == 1, key >> np.uint64(1)
         order = np.argsort(key)
-        key = key[order]
+        ordered = key[order]
         many = np.zeros(len(key), bool)
-        many[1:] = key[1:] == key[:-1]
+        many[1:] = ordered[1:] == ordered[:-1]
         many[:-1] |= many[1:]
-        order, key = order[many], key[many]
-        sign, id_ = sign[order], id_[order]
-        if not len(key):
+        order = order[many]
+        if not len(order):
             return
-        u, v = alike_pairs(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), sign, alike)
-        nodes, place = np.unique(np.concatenate([id_[u], id_[v]]), return_inverse=True)
+        order = order[np.lexsort((id_[order], *sign[order].T, mark[order], key[order]))]
+        key, sign, mark, id_, first = key[order], sign[order], mark[order], id_[order], first[order]
+        bucket = np.concatenate([[True], key[1:] != key[:-1]])
+        leads = bucket | np.concatenate([[True], (mark[1:] != mark[:-1]) | (sign[1:] != sign[:-1]).any(axis=1)])
+        leader = np.flatnonzero(leads)
+        u, v = alike_pairs(np.flatnonzero(bucket[leader]), sign[leader], alike)
+        rest = np.flatnonzero(first & ~leads)
+        u, v = np.concatenate([id_[leader[u]], id_[rest]]), np.concatenate([id_[leader[v]], id_[leader[np.cumsum(leads)[rest] - 1]]])
+        nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
         label = settle(len(nodes), place[: len(u)], place[len(u) :])
         u = np.flatnonzero(label != np.arange(len(nodes)))
-        for k in range(0, len(u), 50_000):
-            some = u[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[label[some]])], names=["u", "v"])
+        yield packed_edges(nodes[u], nodes[label[u]], parts)
 
-    spread = items.select("id", "keys", "sign").mapInArrow(bounded(scatter), "part int, base long, keys binary, signs binary, places binary")
-    return spread.repartitionById(parts, F.col("part")).mapInArrow(bounded(gather), "u long, v long")
+    spread = items.select("id", "keys", "sign").mapInArrow(bounded(scatter), ENTRY)
+    return spread.repartitionById(parts, F.col("part")).mapInArrow(bounded(gather), PACKED)
 
 
 def settle(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -304,47 +343,66 @@ def group_links(sets: list[np.ndarray], overlap: Overlap, confirm: Confirm | Non
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp): each linked id and the least id of its component.
+    """(id, comp): each node of the edges (u, v) and the least node of its component."""
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack_all(batches):
+        for batch in batches:
+            u, v = (batch.column(c).to_numpy() for c in (0, 1))
+            some = u != v
+            yield packed_edges(np.maximum(u, v)[some], np.minimum(u, v)[some], parts)
+
+    return united(links.select("u", "v").mapInArrow(bounded(pack_all), PACKED))
+
+
+def united(edges: DataFrame) -> DataFrame:
+    """components() of packed edges.
 
     Edges are dealt by their larger end, and a task unites what lies in its partition: of n nodes at most n - 1 edges are
     left, each from a node to the least one of its piece. An item is the larger end of as many edges as it has buckets at
-    most, so a hub isn't a hot key. Once no node has two parents, paths are halved by joining each node's parent with
-    that one's own; the joined side has a row a node, and Spark can split the other where many nodes have one parent.
-    Each round is one job, written to the shared folder, which counts what it changed.
+    most, so a hub isn't a hot key. Once no node has two parents, paths are halved: where a node's parent has one too, it
+    takes that. Parents that have parents are few, or else the join can be split on the side where many have the same.
+    Each round is written to the shared folder, and counts what it changed and how many edges are left, for which the next
+    takes as many tasks as they need; what one task holds is settled at once.
     """
-    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def unite(batches):
-        ends = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches if batch.num_rows]
-        if not ends:
-            return
-        u, v = (np.concatenate(x) for x in zip(*ends, strict=True))
+        u, v = unpacked_edges(batches)
         nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
         label = settle(len(nodes), place[: len(u)], place[len(u) :])
         own = np.zeros(len(nodes), bool)
         own[place[: len(u)]] = True
         some = np.flatnonzero(label != np.arange(len(nodes)))
-        for k in range(0, len(some), 50_000):
-            at = some[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[label[at]]), pa.array((~own[at]).astype(np.int64))], names=["u", "v", "moved"])
+        if len(some):
+            yield packed_edges(nodes[some], nodes[label[some]], parts, int((~own[some]).any()))
 
-    def counted(edges: DataFrame, name: str) -> tuple[DataFrame, int]:
-        seen = Observation()
-        out = durable(edges.observe(seen, F.sum("moved").alias("moved")), name).select("u", "v")
-        return out, seen.get["moved"] or 0
+    def rows(batches):
+        u, v = unpacked_edges(batches)
+        for k in range(0, len(u), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(u[k : k + 50_000]), pa.array(v[k : k + 50_000])], names=["u", "v"])
 
-    edges, moved, rounds = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), 1, 0
-    while moved:
-        if rounds > 2:  # long paths that run side by side would unite a step a round
-            least = edges.groupBy(F.col("u").alias("p")).agg(F.min("v").alias("above"))
-            edges = edges.join(least, edges["v"] == least["p"], "left").select("u", F.coalesce("above", "v").alias("v")).union(least.select("p", "above"))
-        edges, moved = counted(edges.repartition(parts, "u").mapInArrow(bounded(unite), "u long, v long, moved long"), "edges")
-        rounds += 1
-    moved = 1
+    def halved(edges: DataFrame) -> DataFrame | None:
+        """A node's least parent's least parent in its place; None if no parent has one."""
+        middle = edges.select(F.col("v").alias("u")).distinct()
+        above = durable(edges.join(middle, "u", "left_semi").groupBy(F.col("u").alias("p")).agg(F.min("v").alias("above")), "above")
+        if above.isEmpty():
+            return None
+        return edges.join(above, edges["v"] == above["p"], "left").select("u", F.coalesce("above", "v").alias("v"))
+
+    moved, rounds, tasks = 1, 0, parts
     while moved:
-        above = edges.select(F.col("u").alias("p"), F.col("v").alias("above"))
-        edges, moved = counted(edges.join(above, edges["v"] == above["p"], "left").select("u", F.coalesce("above", "v").alias("v"), F.col("above").isNotNull().cast("long").alias("moved")), "paths")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
+        seen = Observation()
+        edges = durable(edges.repartitionById(tasks, F.col("part") % tasks).mapInArrow(bounded(unite), PACKED).observe(seen, F.sum("moved").alias("moved"), F.sum(F.length("data")).alias("bytes")), "edges")
+        moved, rounds = tasks > 1 and (seen.get["moved"] or 0), rounds + 1
+        tasks = min(parts, (seen.get["bytes"] or 0) // (16 * EDGES) + 1)
+        if moved and tasks > 1 and rounds > 2:  # long paths that run side by side would unite a step a round
+            shorter = halved(edges.mapInArrow(bounded(rows), "u long, v long"))
+            edges = edges if shorter is None else shorter.mapInArrow(bounded(lambda batches: (packed_edges(b.column(0).to_numpy(), b.column(1).to_numpy(), parts) for b in batches)), PACKED)
+    forest = edges.mapInArrow(bounded(rows), "u long, v long")
+    while (shorter := halved(forest)) is not None:
+        forest = durable(shorter, "paths")
+    return forest.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(forest.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
 # ---------------------------------------------------------------- families
@@ -382,21 +440,87 @@ def _compared(groups: DataFrame, compare: Compare) -> DataFrame:
     return dealt.sortWithinPartitions("family", "i", "j", F.desc("left"), "id").mapInArrow(bounded(run), "u long, v long")
 
 
-def link(items: DataFrame, alike: Alike, words: int, fetch: Callable[[DataFrame], DataFrame], compare: Compare, block_bytes: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Sets:
+    """What an operator's contents are: the sorted set of each content, with a signature for `alike`; and how near sets are."""
+
+    members: Callable[[bytes], tuple[np.ndarray, bytes]]
+    overlap: Overlap
+
+
+def _counters(large: DataFrame, sets: Sets) -> np.ndarray:
+    """How many contents hold a member, by its hash; a task sends one array, and the driver holds their sum."""
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                total += np.bincount((sets.members(data)[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        if total.any():
+            pieces = np.split(total, 16)
+            yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], names=["piece", "data"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[piece] = total.get(piece, 0) + np.frombuffer(data, np.int64)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "data"])
+
+    kind = "piece int, data binary"
+    out = large.select("data").mapInArrow(bounded(count), kind).repartition(16, "piece").mapInArrow(bounded(add), kind).collect()  # COUNTERS numbers
+    whole = np.zeros((16, COUNTERS // 16), np.int64)
+    for r in out:
+        whole[r["piece"]] = np.frombuffer(r["data"], np.int64)
+    return whole.ravel()
+
+
+def _parted(large: DataFrame, sets: Sets, alike: Alike, words: int) -> DataFrame:
+    """(id, comp): smaller families of `large` (family, id, data), by what sets must share at least."""
+    counters = large.sparkSession.sparkContext.broadcast(np.minimum(_counters(large, sets), 0xFFFFFFFF).astype(np.uint32))
+
+    def keys(batches):
+        for batch in batches:
+            out, signs = [], []
+            for family, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                members, sign = sets.members(data)
+                order = np.lexsort((members, counters.value[(members % np.uint64(COUNTERS)).astype(np.int64)]))
+                first = members[order[: len(members) - int(sets.overlap.least(np.array([len(members)]))[0]) + 1]]
+                out.append(pack((first ^ np.uint64(family)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)))
+                signs.append(sign)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary()), pa.array(signs, pa.binary())], names=["id", "keys", "sign"])
+
+    return united(bucket_edges(large.select("family", "id", "data").mapInArrow(bounded(keys), "id long, keys binary, sign binary"), alike, words))
+
+
+def _large(held: DataFrame, block_bytes: int) -> DataFrame:
+    """(family, bytes, blocks) of families beyond a block."""
+    sizes = held.groupBy("family").agg(F.sum(F.length("data") + 64).alias("bytes"))
+    return durable(sizes.where(F.col("bytes") > block_bytes).select("family", "bytes", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks")), "large")
+
+
+def link(items: DataFrame, alike: Alike, words: int, fetch: Callable[[DataFrame], DataFrame], compare: Compare, sets: Sets, block_bytes: int | None = None) -> DataFrame:
     """Components (id, comp) of the links that `compare` finds among items of a family.
 
     `fetch` takes (id, family) and returns (family, id, data), the contents.
     """
     block_bytes = block_bytes or BLOCK_BYTES
-    families = durable(components(bucket_edges(items, alike, words)), "families")
+    families = durable(united(bucket_edges(items, alike, words)), "families")
     held = durable(fetch(families.select("id", F.col("comp").alias("family"))).select("family", "id", "data"), "contents")
-    sizes = held.groupBy("family").agg(F.sum(F.length("data") + 64).alias("bytes"))
-    large = durable(sizes.where(F.col("bytes") > block_bytes).select("family", "bytes", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks")), "large")
-    zero, split = F.lit(0), not large.isEmpty()
-    whole = held.join(large, "family", "left_anti") if split else held
-    small = whole.select("family", zero.alias("i"), zero.alias("j"), F.lit(True).alias("left"), "id", "data")
-    if not split:
-        return components(_compared(small, compare))
+    zero = F.lit(0)
+    as_small = lambda x: x.select("family", zero.alias("i"), zero.alias("j"), F.lit(True).alias("left"), "id", "data")
+    large = _large(held, block_bytes)
+    if large.isEmpty():
+        return components(_compared(as_small(held), compare))
+    small = as_small(held.join(large, "family", "left_anti"))
+    held = held.join(large.select("family"), "family", "left_semi")
+    parted = durable(_parted(held, sets, alike, words), "parted")
+    held = durable(held.select("id", "data").join(parted, "id").select(F.col("comp").alias("family"), "id", "data"), "parts")
+    large = _large(held, block_bytes)
+    if large.isEmpty():
+        return components(_compared(small.union(as_small(held)), compare))
+    small = small.union(as_small(held.join(large, "family", "left_anti")))
     placed = held.join(large, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = lambda n: F.explode(F.sequence(zero, n - 1))
     drawn = placed.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 30)) * (F.col("bytes") / PIVOT_BYTES) < (1 << 30))
@@ -404,15 +528,13 @@ def link(items: DataFrame, alike: Alike, words: int, fetch: Callable[[DataFrame]
     blocks = placed.select("family", F.col("block").alias("i"), zero.alias("j"), F.lit(False).alias("left"), "id", "data")
     found = durable(_compared(small.union(pivots).union(blocks), compare), "links")
     settled = durable(components(found), "settled")
-    ids = held.join(large, "family", "left_semi").select("family", "id").join(settled, "id", "left").select("family", "id", F.coalesce("comp", "id").alias("comp"))
-    counts = ids.groupBy("family", "comp").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
-    rest = durable(ids.join(largest, "family").where("comp <> most").select("id", "comp"), "rest")
+    ids = placed.select("family", "id").join(settled, "id", "left").select("family", "id", F.coalesce("comp", "id").alias("comp"))
+    largest = ids.groupBy("family", "comp").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
+    rest = durable(ids.join(largest, "family").where("comp <> most").select("id"), "rest")
     if rest.isEmpty():
         return settled
-    outside = placed.join(rest.select("id"), "id", "left_semi")
+    outside = placed.join(rest, "id", "left_semi")
     pieces = durable(outside.groupBy("family").agg(F.ceil(F.sum(F.length("data") + 64) / block_bytes).cast("int").alias("pieces")), "pieces")
     lefts = outside.join(pieces, "family").select("family", F.pmod(F.xxhash64(F.lit(2), "id"), F.col("pieces")).cast("int").alias("i"), every(F.col("blocks")).alias("j"), F.lit(True).alias("left"), "id", "data")
     alls = placed.join(pieces, "family").select("family", every(F.col("pieces")).alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), "id", "data")
-    more = durable(_compared(lefts.union(alls), compare), "more")
-    return components(found.union(more))
+    return components(found.union(durable(_compared(lefts.union(alls), compare), "more")))

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, bounded, durable, prepare
-from .lsh import Overlap, exact_links, link, pack
+from .lsh import Overlap, Sets, exact_links, link, pack
 from .passes import by_partition, numbered, of_partition
 
 WORDS, SIMILARITY = 5, 0.8
-SKETCHES, PICKED = 64, 2
+SKETCHES, PICKED = 40, 2
 #: Bits of a signature; steps of the logarithm of a word count; what of a signature agrees at a similarity of 0.8, and by
 #: how many standard deviations a pair may fall below.
 SIGN_BITS, LENGTH_STEPS, AGREE, BELOW = 112, 1024, 0.715, 3.5
@@ -190,6 +190,11 @@ def _near(both, a, b):
 WORD_PAIRS = Overlap(_near, lambda n: np.maximum(1, np.ceil((2 * SIMILARITY - 1) * n - 2 * (1 - SIMILARITY) - 1e-9)).astype(np.int64))
 
 
+def pair_set(content: bytes) -> tuple[np.ndarray, bytes]:
+    words = np.frombuffer(content, np.uint64)
+    return np.unique(word_pairs(words)), sign(words)
+
+
 def compare(contents: list[bytes], left: int):
     """Index pairs of texts that align, one of them among the first `left`, among packed word sequences."""
     words = [np.frombuffer(x, np.uint64) for x in contents]
@@ -249,7 +254,7 @@ def members(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     groups = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"), F.any_value("sign").alias("sign"))
     items = durable(groups.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "copies", "keys", "sign"), "items")
-    comps = link(items, alike, 2, lambda ids: fetch_words(docs, items.select("id", F.col("first.row").alias("row")).join(ids, "id")), compare)
+    comps = link(items, alike, 2, lambda ids: fetch_words(docs, items.select("id", F.col("first.row").alias("row")).join(ids, "id")), compare, Sets(pair_set, WORD_PAIRS))
     named = durable(items.select("id", "h1", "h2", "first", "copies").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "named")
     sized = named.groupBy("comp").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
     of_text = named.select("h1", "h2", "comp").join(sized, "comp").select("h1", "h2", F.col("first.doc_id").alias("class_id"), "class_size", F.col("first.row").alias("first"))

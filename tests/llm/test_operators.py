@@ -345,11 +345,13 @@ def test_bucket_edges(spark):
     rows = [(i, bytearray(lsh.pack(np.array(k))), bytearray(np.uint64(s).tobytes())) for i, k, s in rows]
     items = spark.createDataFrame(rows, "id long, keys binary, sign binary")
     alike = lambda a, b: np.abs(a[:, 0].astype(np.int64) - b[:, 0].astype(np.int64)) <= 1
-    got = {r.id: r.comp for r in lsh.components(lsh.bucket_edges(items, alike)).collect()}
+    got = {r.id: r.comp for r in lsh.united(lsh.bucket_edges(items, alike)).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_a_task", [500_000, 1])
+def test_components(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr(lsh, "EDGES", edges_a_task)
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(k, k + 2) for k in range(500, 600)] + [(600, 601)] + [(700, 700 + k) for k in range(1, 90)]
     u = Sets(800)
