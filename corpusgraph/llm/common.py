@@ -65,8 +65,9 @@ def arrow_rows(batches: Iterator, *columns: str) -> Iterator[list[list]]:
             yield [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
 
 
-#: Resident MB beyond which a worker gives up what it remembers between tasks.
-WORKER_MB = 300
+#: Resident MB beyond which a worker gives up what it remembers between tasks, and beyond which it looks for free memory:
+#: that takes some 50 ms, and a worker that has just begun holds about 110.
+WORKER_MB, TRIM_MB = 300, 160
 #: Functions that drop what a module remembers.
 FORGET: list[Callable[[], None]] = []
 
@@ -90,7 +91,9 @@ def give_back() -> None:
         with open("/proc/self/statm") as f:
             resident = int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
     except OSError:
-        resident = 0.0
+        resident = float("inf")
+    if resident < TRIM_MB:
+        return
     if resident > WORKER_MB:
         for forget in FORGET:
             forget()

@@ -1,11 +1,11 @@
 """Fuzzy line dedup: MinHash over character shingles, high-recall banding, exact Jaccard, distributed union-find.
 
 A line is what line breaks separate, without white space at its ends; blank lines take no part. Its shingles are all
-runs of `SHINGLE` characters (the whole line if shorter). A band is a tuple of minima, and a key. Lines of at least
-`LONG` distinct shingles have 14 bands of 4 minima from one permutation, in bins. Shorter lines, in which chance similarity is
-higher and bins would stay empty, have 20 bands of 5 minima of as many hash functions; lines in between have both, so
-two lines of similarity 0.8 always share a scheme. A pair of similarity 0.8 shares a key with a chance of over 0.999.
-Lines that share a key and whose signatures, 64 bits of minima, agree enough are a family; in a family lines are compared
+runs of `SHINGLE` characters (the whole line if shorter). A line has 14 bands of 4 minima; a band is a key. Lines of at least
+`LONG` distinct shingles take their minima from one permutation, in bins. Shorter lines, whose bins would stay empty, take
+them from as many hash functions; lines in between do both, so two lines of similarity 0.8 always share a scheme. A pair
+of similarity 0.8 shares a key with a chance of over 0.999.
+Lines that share a key and whose signatures, 56 bits of minima, agree enough are a family; in a family lines are compared
 exactly, and links of Jaccard similarity 0.8 or more are united. Of each component the first line stays, by doc_id, row
 and place. Only `\n` ends a line.
 
@@ -33,16 +33,17 @@ from .passes import by_partition, numbered, of_partition
 
 SHINGLE, SIMILARITY = 8, 0.8
 LONG, OVERLAP = 96, 1.25
-LONG_BANDS, LONG_ROWS = 14, 4
-SHORT_BANDS, SHORT_ROWS = 20, 5
-BINS = LONG_BANDS * LONG_ROWS
+BANDS, BAND_ROWS = 14, 4
+BINS = BANDS * BAND_ROWS
 #: Characters of lines that are hashed at a time.
 CHUNK_CHARS = 200_000
 #: Bytes of a family's lines that are a block: each character has a hash of eight bytes.
 BLOCK_BYTES = 250_000
-#: Bits of a signature, each of a minimum, and how many must agree: 0.9 of them do at a similarity of 0.8, and fewer than
-#: this with a chance of 0.0002.
-SIGN_BITS, AGREE = 64, 48
+#: How many bits of a signature, each of a minimum, may differ: 0.1 of them do at a similarity of 0.8, and more than this
+#: with a chance of 0.0002.
+DIFFER = 15
+#: Characters up to which two lines are compared as sets of strings.
+PAIR_CHARS = 600
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _EMPTY = np.uint32(0xFFFFFFFF)
 LAST = (1 << 63) - 1  # stands for a null doc_id
@@ -65,7 +66,7 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-FACTORS = np.array([xxhash.xxh64_intdigest(b"minimum", seed=k) | 1 for k in range(SHORT_BANDS * SHORT_ROWS)], np.uint64)
+FACTORS = np.array([xxhash.xxh32_intdigest(b"minimum", seed=k) | 1 for k in range(BINS)], np.uint32)
 
 
 def joined(minima: np.ndarray, salt: int) -> np.ndarray:
@@ -77,14 +78,14 @@ def joined(minima: np.ndarray, salt: int) -> np.ndarray:
 
 
 def signs(minima: np.ndarray, bit: int) -> np.ndarray:
-    """A bit of each of the first minima of a line (line, place), packed to a number."""
-    bits = ((minima[:, :SIGN_BITS] >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(np.pad(bits, ((0, 0), (0, SIGN_BITS - bits.shape[1]))), axis=1).view("<u8").ravel()
+    """A bit of each minimum of a line (line, place), packed to a number."""
+    bits = ((minima >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(np.pad(bits, ((0, 0), (0, 64 - BINS))), axis=1).view("<u8").ravel()
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether signatures agree in enough bits; long lines have fewer than 64 minima, and the rest agrees."""
-    return np.bitwise_count(a[:, 0] ^ b[:, 0]) <= SIGN_BITS - AGREE
+    """Whether signatures agree in enough bits."""
+    return np.bitwise_count(a[:, 0] ^ b[:, 0]) <= DIFFER
 
 
 def long_keys(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,14 +103,15 @@ def long_keys(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
             break
         near = np.roll(least, -step, axis=1)
         filled = np.where(empty & (near != _EMPTY), near + np.uint64(step << 32), filled)
-    return joined(filled.reshape(-1, LONG_ROWS, LONG_BANDS).transpose(0, 2, 1), 1000), signs(filled, 3)
+    return joined(filled.reshape(-1, BAND_ROWS, BANDS).transpose(0, 2, 1), 1000), signs(filled, 3)
 
 
 def short_keys(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash function for each minimum. Keys and signatures."""
     begins = np.cumsum(counts) - counts
-    minima = np.stack([np.minimum.reduceat(hashes * f, begins) for f in FACTORS], axis=1)
-    return joined(minima.reshape(-1, SHORT_BANDS, SHORT_ROWS), 0), signs(minima, 20)
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    minima = np.stack([np.minimum.reduceat(upper * f, begins) for f in FACTORS], axis=1).astype(np.uint64)
+    return joined(minima.reshape(-1, BANDS, BAND_ROWS), 0), signs(minima, 10)
 
 
 def band_keys(lines: list[str]) -> tuple[list[bytes | None], list[bytes | None], list[bytes | None], list[bytes | None]]:
@@ -142,7 +144,11 @@ def compare(contents: list[bytes], left: int):
         if (f := first.setdefault(x, k)) != k:
             yield f, k
     at = list(first.values())
-    if len(at) > 1:
+    if len(at) == 2 and max(map(len, first)) <= PAIR_CHARS:
+        a, b = ({x[k : k + SHINGLE] for k in range(max(1, len(x) - SHINGLE + 1))} for x in (y.decode() for y in first))
+        if left and len(a & b) >= SIMILARITY * len(a | b) - 1e-9:
+            yield at[0], at[1]
+    elif len(at) > 1:
         lines, sets = [x.decode() for x in first], []
         for k in range(0, len(lines), 500):
             hashes, counts = shingle_hashes(lines[k : k + 500])
