@@ -1,18 +1,22 @@
 """Substring dedup by content-defined chunking: a gear rolling hash cuts, digests find repeats.
 
-A gear hash sums a random value for each of the last bytes, shifted by age, so a cut depends on the last `REACH` bytes
-alone: an insertion moves the cuts near it and no others. A cut falls where the hash's top bits are zero, about every
-`AVERAGE` bytes, and after `LONGEST` bytes at the latest. Chunks are equal if their 128-bit digests are. The first
-chunk of each digest, by doc_id and position, stays; the others are repeats. Runs of neighbouring repeats (with
-what lies between cuts covered by the run) of at least `LEAST` bytes are reported as spans and can be cut out.
+A gear hash sums a random value for each of the last bytes, shifted by age, so it depends on the last `REACH` bytes
+alone. A cut falls after a byte whose hash is less than those of the `WINDOW` bytes on either side, so an insertion moves
+the cuts near it and no others; chunks have 17 bytes or more, 33 on average, and end after `LONGEST` bytes at the latest.
+A chunk is told by the digest of its bytes and the next chunk's: what two common fragments have in common with two
+other documents is no repeat. Of each digest the first, by doc_id, row and position, stays; the others are repeats.
+
+Neighbouring repeats are a run as long as their first copies are neighbours too, in one document: the whole run occurs
+there. Runs of at least `LEAST` bytes are reported as spans and can be cut out; a span begins where the one before
+ends. Of a repeated passage some 36 bytes at either end are missed on average, since chunks there reach beyond it.
 
 Chunks travel as arrays, a row a batch and partition. A batch keeps the first chunk of each digest for the exchange and
 marks the others as repeats at once, so a passage in a third of all documents is one entry a batch, and a task holds
-about 44 bytes for each distinct digest of a batch.
+36 bytes for each distinct digest of a batch.
 
 Edge cases: a null text is an empty one and has no chunks; repeats within a document count like others; repeated
 rows are copies, ordered by their place in the table's files; a null doc_id sorts before all others; an empty table
-gives no rows; texts without cuts are chunks of at most `LONGEST` bytes.
+gives no rows; texts without cuts, such as one repeated character, are chunks of at most `LONGEST` bytes.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, bounded, durable, prepare, texts
 
-REACH, AVERAGE_BITS, LONGEST = 16, 5, 1024
-AVERAGE = 1 << AVERAGE_BITS
+REACH, WINDOW, LONGEST = 8, 16, 1024
 LEAST = 100
-GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=7) & 0xFFFF for b in range(256)], np.uint16)
+GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=7) for b in range(256)], np.uint32)
+_NEVER = np.uint32(0xFFFFFFFF)
 
 
 def cuts(raw: bytes) -> np.ndarray:
@@ -40,9 +44,15 @@ def cuts(raw: bytes) -> np.ndarray:
     values = GEAR[octets]
     h = values.copy()
     for age in range(1, min(REACH, n)):
-        h[age:] += values[:-age] << np.uint16(age)
+        h[age:] += values[:-age] << np.uint32(age)
     begins = np.append((octets[1:] & 0xC0) != 0x80, True)  # whether a character begins after this byte
-    ends = np.flatnonzero((h < 1 << 16 - AVERAGE_BITS) & begins) + 1
+    h[~begins] = _NEVER
+    least = np.concatenate([np.full(WINDOW, _NEVER), h, np.full(WINDOW, _NEVER)])  # from WINDOW before each byte on
+    width = 1
+    while width < WINDOW:  # WINDOW is a power of two; in the end the least of WINDOW values from each place on
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    ends = np.flatnonzero((h < least[:n]) & (h <= least[WINDOW + 1 :])) + 1
     if not len(ends) or ends[-1] != n:
         ends = np.append(ends, n)
     if np.diff(ends, prepend=0).max() > LONGEST:
@@ -60,24 +70,28 @@ def cuts(raw: bytes) -> np.ndarray:
 
 
 NONE = np.iinfo(np.int64).min  # stands for a null doc_id
-ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<u4"), ("size", "<u4")])
-REPEAT = np.dtype([("doc", "<i8"), ("row", "<i8"), ("pos", "<u4"), ("size", "<u4"), ("first", "<i8")])
+ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<u4"), ("own", "<u2"), ("both", "<u2")])
+REPEAT = np.dtype([("doc", "<i8"), ("row", "<i8"), ("pos", "<u4"), ("own", "<u2"), ("both", "<u2"), ("first_doc", "<i8"), ("first_row", "<i8"), ("first_pos", "<u4")])
 
 
 def entries(rows: list[int], ids: list[int | None], bodies: list[str]) -> np.ndarray:
-    """The chunks of some texts, in order of digest, doc_id, row and position."""
+    """The chunks of some texts, in order of digest, doc_id, row and position. `own` is a chunk's size, `both` with the
+    next chunk's."""
     parts, digests = [], []
     for r, d, text in zip(rows, ids, bodies, strict=True):
         raw = text.encode()
         ends = cuts(raw)
+        if not len(ends):
+            continue
         part = np.zeros(len(ends), ENTRY)
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        part["doc"], part["row"], part["pos"], part["size"] = NONE if d is None else d, r, starts, ends - starts
+        starts, both = np.concatenate([[0], ends[:-1]]), np.append(ends[1:], ends[-1])
+        part["doc"], part["row"], part["pos"], part["own"], part["both"] = NONE if d is None else d, r, starts, ends - starts, both - starts
         parts.append(part)
-        digests += [xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-    out = np.concatenate(parts)
-    halves = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
-    out["h1"], out["h2"] = halves[:, 0], halves[:, 1]
+        digests += [xxhash.xxh3_128_digest(raw[s:e])[:12] for s, e in zip(starts.tolist(), both.tolist(), strict=True)]
+    if not parts:
+        return np.zeros(0, ENTRY)
+    out, halves = np.concatenate(parts), np.frombuffer(b"".join(digests), np.dtype([("h1", "<u8"), ("h2", "<u4")]))
+    out["h1"], out["h2"] = halves["h1"], halves["h2"]
     return out[in_order(out)]
 
 
@@ -92,16 +106,32 @@ def first_of(x: np.ndarray) -> np.ndarray:
 
 
 def repeats(x: np.ndarray) -> np.ndarray:
-    """Of an ordered array the entries that aren't the first of their digest, with the first's doc_id."""
+    """Of an ordered array the entries that aren't the first of their digest, with the first's place."""
     first = first_of(x)
     again = first != np.arange(len(x))
     out = np.zeros(int(again.sum()), REPEAT)
-    for c in ("doc", "row", "pos", "size"):
+    for c in ("doc", "row", "pos", "own", "both"):
         out[c] = x[c][again]
-    out["first"] = x["doc"][first[again]]
+    for c in ("doc", "row", "pos"):
+        out[f"first_{c}"] = x[c][first[again]]
     return out
 
 
+def runs(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place, start and end of each run of at least `least` bytes among repeats ordered by row and position."""
+    pos, first_pos = x["pos"].astype(np.int64), x["first_pos"].astype(np.int64)
+    follows = (x["row"][1:] == x["row"][:-1]) & (pos[1:] == pos[:-1] + x["own"][:-1]) & (x["first_row"][1:] == x["first_row"][:-1]) & (first_pos[1:] - pos[1:] == first_pos[:-1] - pos[:-1])
+    begins = np.flatnonzero(np.concatenate([[True], ~follows]))
+    lasts = np.append(begins[1:], len(x)) - 1
+    start, end = pos[begins], pos[lasts] + x["both"][lasts]
+    long_ = end - start >= least
+    begins, start, end = begins[long_], start[long_], end[long_]
+    same = x["row"][begins][1:] == x["row"][begins][:-1]
+    start[1:] = np.where(same, np.maximum(start[1:], end[:-1]), start[1:])
+    some = end > start
+    return begins[some], start[some], end[some]
+
+
 def spread(x: np.ndarray, by: np.ndarray, parts: int, kind: int):
     """A row for each partition that gets entries: kind, partition, entries as bytes."""
     to = (by % np.uint64(parts)).astype(np.int64)
@@ -113,7 +143,7 @@ def spread(x: np.ndarray, by: np.ndarray, parts: int, kind: int):
 
 
 PACKED = "kind int, part int, data binary"
-SPANS = "row long, doc_id long, start long, end long, earlier_doc_ids array<long>"
+SPANS = "row long, doc_id long, start long, end long, earlier_doc_id long"
 
 
 def by_row(x: np.ndarray) -> np.ndarray:
@@ -135,7 +165,7 @@ def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def spans_of(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """row, doc_id, start, end (UTF-8 bytes), earlier_doc_ids: each run of repeated chunks of at least `least` bytes."""
+    """row, doc_id, start, end (UTF-8 bytes), earlier_doc_id: each run of at least `least` bytes, and where it occurs before."""
     spark = rows.sparkSession
     prepare(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -151,8 +181,15 @@ def spans_of(rows: DataFrame, least: int = LEAST) -> DataFrame:
                     yield spread(again, by_row(again), parts, 1)
 
     def find(batches):
-        x = gathered(batches, ENTRY)
-        if len(x):
+        """Repeats across batches; those within one pass by."""
+        held = []
+        for batch in batches:
+            kinds = batch.column(0).to_numpy()
+            held += [np.frombuffer(x, ENTRY) for x in batch.column(2).filter(pa.array(kinds == 0)).to_pylist()]
+            if kinds.any():
+                yield batch.filter(pa.array(kinds == 1))
+        if held:
+            x = np.concatenate(held)
             again = repeats(x[in_order(x)])
             yield spread(again, by_row(again), parts, 1)
 
@@ -161,21 +198,14 @@ def spans_of(rows: DataFrame, least: int = LEAST) -> DataFrame:
         if not len(x):
             return
         x = x[np.lexsort((x["pos"], x["row"]))]
-        end = x["pos"].astype(np.int64) + x["size"]
-        new = np.concatenate([[True], (x["row"][1:] != x["row"][:-1]) | (x["pos"][1:] != end[:-1])])
-        begins = np.flatnonzero(new)
-        lasts = np.append(begins[1:], len(x)) - 1
-        long_ = np.flatnonzero(end[lasts] - x["pos"][begins] >= least)
-        for k in range(0, len(long_), 10_000):
-            some = long_[k : k + 10_000]
-            a, b = begins[some], lasts[some]
-            doc = x["doc"][a]
-            firsts = [[None if f == NONE else f for f in np.unique(x["first"][p : q + 1]).tolist()] for p, q in zip(a.tolist(), b.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x["row"][a]), pa.array(doc, mask=doc == NONE), pa.array(x["pos"][a].astype(np.int64)), pa.array(end[b]), pa.array(firsts, pa.list_(pa.int64()))], names=["row", "doc_id", "start", "end", "earlier_doc_ids"])
-
-    cut_up = durable(rows.mapInArrow(bounded(chunk), PACKED), "chunks")
-    across = cut_up.where("kind = 0").repartitionById(parts, F.col("part")).mapInArrow(bounded(find), PACKED)
-    return cut_up.where("kind = 1").union(across).repartitionById(parts, F.col("part")).mapInArrow(bounded(merge), SPANS)
+        at, start, end = runs(x, least)
+        for k in range(0, len(at), 10_000):
+            some = at[k : k + 10_000]
+            doc, first = x["doc"][some], x["first_doc"][some]
+            yield pa.RecordBatch.from_arrays([pa.array(x["row"][some]), pa.array(doc, mask=doc == NONE), pa.array(start[k : k + 10_000]), pa.array(end[k : k + 10_000]), pa.array(first, mask=first == NONE)], names=["row", "doc_id", "start", "end", "earlier_doc_id"])
+
+    dealt = lambda x: x.repartitionById(parts, F.col("part"))
+    return dealt(dealt(rows.mapInArrow(bounded(chunk), PACKED)).mapInArrow(bounded(find), PACKED)).mapInArrow(bounded(merge), SPANS)
 
 
 def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -183,7 +213,7 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     comma-joined), earlier_doc_ids (documents that hold an earlier copy)."""
     found = spans(docs, least)
     ordered = F.array_sort(F.collect_list(F.struct("start", "end")))
-    grouped = found.groupBy("row", "doc_id").agg(ordered.alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("earlier_doc_ids")))).alias("earlier_doc_ids"))
+    grouped = found.groupBy("row", "doc_id").agg(ordered.alias("s"), F.array_sort(F.collect_set("earlier_doc_id")).alias("earlier_doc_ids"))
     return grouped.select(
         "doc_id",
         F.size("s").cast("long").alias("n_spans"),

@@ -390,21 +390,42 @@ def test_recall(spark):
 # ------------------------------------------------------------------ 7
 
 
-def test_chunk_spans_are_brute_force(spark, docs):
-    seen, want = set(), {}
-    for i, t in docs:
-        raw, at, runs = t.encode(), 0, []
-        for e in chunk_dedup.cuts(raw).tolist():
-            if raw[at:e] in seen:
-                if runs and runs[-1][1] == at:
-                    runs[-1][1] = e
-                else:
-                    runs.append([at, e])
-            seen.add(raw[at:e])
-            at = e
-        if spans := [f"{a}:{b}" for a, b in runs if b - a >= chunk_dedup.LEAST]:
-            want[i] = ",".join(spans)
-    assert {r.doc_id: r.spans for r in queries.op7_chunk_dedup(spark, SF).collect()} == want
+def test_chunk_spans_occur_before(spark):
+    """Each span is found by plain search in an earlier text, or earlier in its own; long repeated passages are in spans."""
+    sf = "/root/testdata/sf0.01"
+    docs = sorted((r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    found, n_bytes = {r.doc_id: r for r in queries.op7_chunk_dedup(spark, sf).collect()}, 0
+    before: list[bytes] = []
+    for doc_id, raw in docs:
+        if doc_id in found:
+            spans = [tuple(map(int, x.split(":"))) for x in found[doc_id].spans.split(",")]
+            assert found[doc_id].n_bytes == sum(b - a for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+            for a, b in spans:
+                assert any(raw[a:b] in x for x in before) or raw.find(raw[a:b]) < a
+            n_bytes += found[doc_id].n_bytes
+        before.append(raw)
+    assert len(found) > 100 and n_bytes > 100_000
+    copies = {t for t, n in Counter(raw for _, raw in docs).items() if n > 1 and len(t) > 400}
+    seen = set()
+    for doc_id, raw in docs:
+        if raw in copies and raw in seen:
+            assert found[doc_id].n_bytes >= 0.85 * len(raw)
+        seen.add(raw)
+
+
+def test_repeated_passages_are_found(spark, stored):
+    """Passages of 51 words in texts of their own, with common fragments that occur elsewhere too."""
+    rng = random.Random(6)
+    lexicon = ["".join(rng.choice("abcdefghijklmnoprstuw") for _ in range(rng.randint(2, 8))) for _ in range(800)]
+    words = lambda n: " ".join(rng.choice(lexicon) for _ in range(n))
+    passages, common = [words(51) for _ in range(40)], [words(6) for _ in range(20)]
+    rows = [(k, f"{words(150)} {rng.choice(common)} {words(150)}") for k in range(300)]
+    for k in range(80):
+        rows.append((1000 + k, f"{words(rng.randint(0, 90))} {rng.choice(common)} {passages[k % 40]} {words(rng.randint(0, 90))}"))
+    out = {r.doc_id: r for r in chunk_dedup.repeated(stored(rows, "doc_id long, text string")).collect()}
+    assert sum(1040 + k in out for k in range(40)) >= 39
+    assert all(k >= 1040 for k in out)
+    assert all(out[1040 + k].earlier_doc_ids == [1000 + k] for k in range(40) if 1040 + k in out)
 
 
 def test_cuts_resist_insertions():
