@@ -3,11 +3,16 @@
 Each half of a vector is quantised with a codebook of its own; a pair of centroids is a cell. For a query, cells are
 visited by the sum of the two halves' distances: a heap holds the frontier of the two sorted centroid lists, and the
 visit ends when the cells hold `share` of all vectors (and at least `LEAST` ones). Rows of the visited cells are
-reranked in double precision on the original vectors.
+reranked in double precision on the original vectors. With `share` 1 all cells are visited, and the search is exact.
+
+Vectors without clusters need a large share: of 51,282 random directions in 64 dimensions the ten nearest are 0.76 as far
+as the median one, and 0.2, 0.3 and 0.4 of all vectors hold 0.92, 0.95 and 0.99 of them with 256 centroids a half
+(0.73, 0.82 and 0.89 with 32). Where vectors cluster, a smaller share does.
 
 Codebooks are fitted to at most `SAMPLE` vectors, those of least hash; every vector is indexed. Index rows are dealt
-by the first centroid, in chunks of bounded size, so a crowded cell is spread; a task holds one chunk while queries
-stream past it. Of each chunk a query takes its k best on to the final ranking.
+by groups of first centroids, in chunks of bounded size, so a crowded cell is spread; a task holds one chunk while
+queries stream past it, each once, with a bit for each cell of the group. Of each chunk a query takes its k best on to
+the final ranking.
 
 Edge cases: vectors that are null, zero, of another length than the sample's commonest, or with null or non-finite
 parts take no part, as neighbours or as queries; a null vec_id neither; repeated vec_ids are repeated candidates,
@@ -27,9 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded, durable, prepare
 
-SAMPLE, CENTROIDS, ROUNDS = 20_000, 32, 10
+SAMPLE, CENTROIDS, ROUNDS = 20_000, 256, 8
+#: First centroids whose vectors are dealt together.
+GROUP = 8
 #: Share of all vectors that a query's cells hold together; vectors at least; rows of a chunk.
-SHARE, LEAST, CHUNK = 0.55, 1_000, 8_192
+SHARE, LEAST, CHUNK = 0.35, 1_000, 8_192
 
 
 def usable(vector: Column) -> Column:
@@ -43,9 +50,9 @@ def codebook(points: np.ndarray, k: int) -> np.ndarray:
     centres = points[np.linspace(0, len(points) - 1, k).astype(int)].copy()
     for _ in range(ROUNDS):
         near = nearest(points, centres)
-        for c in range(k):
-            if (mine := near == c).any():
-                centres[c] = points[mine].mean(axis=0)
+        order, full = np.argsort(near, kind="stable"), np.unique(near)
+        sums = np.add.reduceat(points[order], np.searchsorted(near[order], full))
+        centres[full] = sums / np.bincount(near)[full][:, None]
     return centres
 
 
@@ -77,6 +84,7 @@ def visit(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: int
             heapq.heappush(heap, (first[a] + second[columns[j + 1]], i, j + 1))
 
 
+#: `cells`: of an index row its cell in the group (4 bytes), of a query a bit for each cell.
 ROW = "list int, chunk int, query boolean, id long, vector binary, cells binary"
 
 
@@ -106,23 +114,27 @@ def search(vectors: DataFrame, query: Column, k: int = 10, share: float = SHARE,
     counts = np.zeros((a_cells, b_cells), np.int64)
     for r in index.groupBy("a", "b").agg(F.count("*").alias("n")).collect():  # a row a cell, at most CENTROIDS squared
         counts[r["a"], r["b"]] = r["n"]
-    total, chunks = int(counts.sum()), np.maximum(1, -(-counts.sum(axis=1) // CHUNK))
+    total = int(counts.sum())
+    chunks = np.maximum(1, -(-np.add.reduceat(counts.sum(axis=1), np.arange(0, a_cells, GROUP)) // CHUNK))
     wanted = max(LEAST, k + 1, int(share * total))
 
     def place(batches):
-        """Index rows to their list and chunk; queries to every chunk of each list they visit, with the second halves wanted."""
+        """Index rows to their group and chunk; queries to every chunk of each group they visit, with the cells wanted."""
         for batch in batches:
             ids, a, b, query = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 4))
             raw = batch.column(3)
-            chunk = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[a]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(chunk.astype(np.int32)), pa.array(np.zeros(len(ids), bool)), pa.array(ids), raw, pa.array([bytes([x]) for x in b], pa.binary())], names=["list", "chunk", "query", "id", "vector", "cells"])
+            chunk = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[a // GROUP]
+            yield pa.RecordBatch.from_arrays([pa.array((a // GROUP).astype(np.int32)), pa.array(chunk.astype(np.int32)), pa.array(np.zeros(len(ids), bool)), pa.array(ids), raw, pa.array([x.tobytes() for x in (a % GROUP * b_cells + b).astype("<u4")], pa.binary())], names=["list", "chunk", "query", "id", "vector", "cells"])
             for i in np.flatnonzero(query):
                 x = np.frombuffer(raw[i].as_py(), np.float64)[None]
-                cells: dict[int, bytearray] = {}
-                for p, q in visit(squares(x[:, :half], books[0])[0], squares(x[:, half:], books[1])[0], counts, wanted):
-                    cells.setdefault(p, bytearray(b_cells))[q] = 1
+                seen = np.array(list(visit(squares(x[:, :half], books[0])[0], squares(x[:, half:], books[1])[0], counts, wanted))).reshape(-1, 2)
+                cells = {}
+                for p in np.unique(seen[:, 0] // GROUP).tolist():
+                    mine, bits = seen[seen[:, 0] // GROUP == p], np.zeros(GROUP * b_cells, np.uint8)
+                    bits[mine[:, 0] % GROUP * b_cells + mine[:, 1]] = 1
+                    cells[p] = np.packbits(bits).tobytes()
                 to = [(p, c) for p in cells for c in range(int(chunks[p]))]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in to], pa.int32()), pa.array([c for _, c in to], pa.int32()), pa.array([True] * len(to)), pa.array([int(ids[i])] * len(to), pa.int64()), pa.array([raw[i].as_py()] * len(to), pa.binary()), pa.array([bytes(cells[p]) for p, _ in to], pa.binary())], names=["list", "chunk", "query", "id", "vector", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in to], pa.int32()), pa.array([c for _, c in to], pa.int32()), pa.array([True] * len(to)), pa.array([int(ids[i])] * len(to), pa.int64()), pa.array([raw[i].as_py()] * len(to), pa.binary()), pa.array([cells[p] for p, _ in to], pa.binary())], names=["list", "chunk", "query", "id", "vector", "cells"])
 
     def rerank(batches):
         """Rows come by list and chunk, index rows first: they are held, queries stream past."""
@@ -137,14 +149,14 @@ def search(vectors: DataFrame, query: Column, k: int = 10, share: float = SHARE,
                 if not is_query:
                     held_ids.append(id_)
                     held.append(np.frombuffer(vector, np.float64))
-                    held_cells.append(cells[0])
+                    held_cells.append(int.from_bytes(cells, "little"))
                     continue
                 if not held:
                     continue
                 if ready is None:
                     ready = np.array(held_ids), np.array(held), np.array(held_cells)
                 ids, points_, seconds = ready
-                mine = np.flatnonzero(np.frombuffer(cells, np.uint8)[seconds].astype(bool) & (ids != id_))
+                mine = np.flatnonzero(np.unpackbits(np.frombuffer(cells, np.uint8))[seconds].astype(bool) & (ids != id_))
                 score = np.sqrt(((points_[mine] - np.frombuffer(vector, np.float64)) ** 2).sum(axis=1))
                 best = np.lexsort((ids[mine], score))[:k]
                 q_out += [id_] * len(best)
