@@ -32,7 +32,7 @@ def prepare(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (local mode, tests) a temporary folder is taken.
+    Only where that setting is absent and the master is local (tests) a temporary folder is taken.
     """
     prepare(spark)
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -40,6 +40,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusgraph-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/corpusgraph-{uuid.uuid4().hex}/{name}"

@@ -267,7 +267,7 @@ def find(bodies: list[str | None], paths: list[str]) -> list[tuple[int, list[tup
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the words of these spans; a line break stays where one was cut, so no new window arises."""
+    """The text without the words of these spans; a line break stays where one was cut."""
     places = [m.span() for m in WORD.finditer(text)]
     out, at = [], 0
     for a, b in spans:
@@ -304,17 +304,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Dat
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """The same columns with hit spans cut out of text; a document of which no word is left goes, if words were cut."""
+    """The same columns with hit spans cut out of text, until no window is left: a cut can bring the ends of another one
+    together. A document of which no word is left goes, if words were cut."""
     paths, place = write_windows(benchmark, n), docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             bodies = batch.column(place).to_pylist()
-            found = find(bodies, paths)
-            new = [cut(x, f[1]) if f[1] else x for x, f in zip(bodies, found, strict=True)]
-            stays = [not f[1] or sum(b - a for a, b in f[1]) < f[0] for f in found]
+            new, stays, open_ = list(bodies), [True] * len(bodies), list(range(len(bodies)))
+            while open_:
+                found = find([new[k] for k in open_], paths)
+                for k, (words, spans, _) in zip(open_, found, strict=True):
+                    stays[k] = not spans or sum(b - a for a, b in spans) < words
+                    new[k] = cut(new[k], spans) if spans else new[k]
+                open_ = [k for k, f in zip(open_, found, strict=True) if f[1] and stays[k]]
             field = batch.schema.field(place)
-            yield batch.set_column(place, field, pa.array(new, field.type)).filter(pa.array(stays))
+            yield batch.set_column(place, field, pa.array(new, field.type)).filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(bounded(run), docs.schema)
 

@@ -39,6 +39,8 @@ def of_partition(folder: str, row: int, columns: list[str]) -> list[np.ndarray |
     from pyarrow import fs
 
     store, base = open_store(f"{folder}/part={row >> 33}")
+    if store.get_file_info(base.rsplit("/", 1)[0]).type == fs.FileType.NotFound:
+        raise FileNotFoundError(f"{folder} isn't a folder that the driver wrote and this executor sees")
     if store.get_file_info(base).type == fs.FileType.NotFound:
         return [[] for _ in columns]
     table = pq.ParquetDataset(base, filesystem=store, partitioning=None).read(columns=columns)

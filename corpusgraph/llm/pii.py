@@ -124,16 +124,18 @@ def find_spans(docs: DataFrame, *kept: str) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """doc_id, text with every confirmed value replaced by its kind in angle brackets."""
-    text = F.col("text")
-    for k in KINDS:
-        values = F.array_distinct(F.transform(k.name, lambda s: s["value"]))
-        text = _replaced(text, values, f"<{k.name}>")
-    return find_spans(docs, "text").select("doc_id", text.alias("text"))
+    """doc_id, text with every span replaced by its kind in angle brackets; of overlapping spans the first one's kind
+    stands for all that they cover. Nothing outside of spans changes."""
+    spans = F.array_sort(F.transform(F.concat(*(k.name for k in KINDS)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
+    def step(acc: Column, x: Column) -> Column:
+        piece = F.substr(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
+        more = F.concat(acc["out"], F.array(piece, F.concat(F.lit("<"), x["kind"], F.lit(">"))))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
 
-def _replaced(text: Column, values: Column, by: str) -> Column:
-    return F.aggregate(values, text, lambda t, v: F.replace(t, v, F.lit(by)))
+    whole = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text"), acc["at"] + 1))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    return find_spans(docs, "text").select("doc_id", F.aggregate(spans, start, step, whole).alias("text"))
 
 
 def _joined(*kinds: str) -> Column:

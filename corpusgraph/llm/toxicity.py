@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import FORGET, arrow_rows, bounded, durable, prepare, texts
 
 THRESHOLD = 0.7
-#: Labelled rows that the classifier sees; candidate features; terms of the lexicon.
-TRAIN_ROWS, CANDIDATES, TERMS = 20_000, 50_000, 2_000
+#: Labelled rows that the classifier sees.
+TRAIN_ROWS = 20_000
 #: A term must have at least this share of toxic rows among those that hold it, and be in this share of toxic rows.
 PRECISION, SUPPORT, LEAST_ROWS = 0.8, 0.01, 3
 #: Precision from which a feature is taken for itself; distinct texts a row that a feature must be found with.
@@ -281,8 +281,6 @@ def cover(rows: list[tuple[set[str], int]], clean: dict[str, int], share: float,
         if len(mine) >= PURE * (len(mine) + clean.get(f, 0)) or len(mine & open_) >= LEAST_ROWS:
             picked.add(letters + "*" * f.endswith("*"))
             open_ -= mine
-            if len(picked) == TERMS:
-                break
     return sorted(picked)
 
 
@@ -297,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
         return Model({})
     toxic_rows, clean_rows = train.where("toxic = 1"), train.where("toxic = 0")
     least = max(LEAST_ROWS, math.ceil(SUPPORT * sizes[1]))
-    toxic = {r["feature"]: r["n"] for r in _counts(toxic_rows, None).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()}
+    toxic = {r["feature"]: r["n"] for r in _counts(toxic_rows, None).where(F.col("n") >= least).collect()}  # a hundred times the features of a training row at most
     clean = {r["feature"]: r["n"] for r in _counts(clean_rows, frozenset(toxic)).collect()}
     share = sizes[1] / (sizes[0] + sizes[1])
     wanted = precise(toxic, clean, least, share)

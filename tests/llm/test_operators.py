@@ -489,6 +489,13 @@ def test_cut_leaves_the_rest(spark):
     assert decontaminate.contamination(spark.createDataFrame(list(out.items()), "doc_id long, text string"), bench).where("n_hit > 0").count() == 0
 
 
+def test_cut_goes_on_until_nothing_is_found(spark):
+    a, b = ([f"{x}{k}" for k in range(10)] for x in "ab")
+    bench = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "item_id long, text string")
+    rows = spark.createDataFrame([(1, " ".join(["x", *a[:5], *b, *a[5:], "y"])), (2, " ".join(a[:5] + b + a[5:])), (3, " ".join(a[:9])), (4, None)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in decontaminate.clean(rows, bench).collect()} == {1: "x\ny", 3: " ".join(a[:9]), 4: None}
+
+
 # ------------------------------------------------------------------ 9
 
 BASE = (
@@ -538,6 +545,25 @@ def test_iban_ends_by_country(spark):
     assert {r.doc_id: r.text for r in pii.redact(docs).collect()}[3] == "<iban> <iban>"
 
 
+def test_redact_changes_spans_alone(spark):
+    texts = ["ip 1.2.3.4 and 11.2.3.44", "ssn 219-09-9999 but 219-09-9999x5", "no data", "ü mail a.b@c.de, +49 30 1234567", None, ""]
+    out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {0: "ip <ip> and <ip>", 1: "ssn <ssn> but 219-09-9999x5", 2: "no data", 3: "ü mail <email>, <phone>", 4: "", 5: ""}
+
+
+def test_redact_is_rebuilt_from_spans(spark, docs):
+    """Against a plain loop over the spans of the small table."""
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.redact(table).collect()}
+    for r in pii.find_spans(table, "text").collect():
+        at, want = 0, []
+        for s in sorted((s for k in pii.KINDS for s in r[k.name]), key=lambda s: (s.start, s.end, s.kind)):
+            if s.start >= at:
+                want += [r.text[at : s.start], f"<{s.kind}>"]
+            at = max(at, s.end)
+        assert out[r.doc_id] == "".join([*want, r.text[at:]])
+
+
 # ------------------------------------------------------------------ 10
 
 
