@@ -283,16 +283,21 @@ def prefix_groups(sets: list[np.ndarray], overlap: Overlap) -> list[np.ndarray]:
 Confirm = Callable[[int, int], bool]
 
 
-def exact_links(sets: list[np.ndarray], overlap: Overlap, confirm: Confirm | None = None, left: int | None = None) -> Iterator[tuple[int, int]]:
-    """Links that join all components of near sets, by exact intersections and `confirm`. With `left`, only the first
-    `left` sets meet all others; else all sets meet."""
+#: Other sets of the same contents, and whether so many shared members leave them near.
+Also = tuple[list[np.ndarray], Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]]
+
+
+def exact_links(sets: list[np.ndarray], overlap: Overlap, confirm: Confirm | None = None, left: int | None = None, also: Also | None = None) -> Iterator[tuple[int, int]]:
+    """Links that join all components of sets that are near, in `also` too, by exact intersections and `confirm`. With
+    `left`, only the first `left` sets meet all others; else all sets meet."""
     left = len(sets) if left is None else left
     for at in prefix_groups(sets, overlap) if len(sets) > 8 else [np.arange(len(sets))]:
         again = (lambda i, j, at=at: confirm(int(at[i]), int(at[j]))) if confirm else None
-        yield from ((int(at[i]), int(at[j])) for i, j in group_links([sets[k] for k in at.tolist()], overlap, again, int((at < left).sum())))
+        other = ([also[0][k] for k in at.tolist()], also[1]) if also else None
+        yield from ((int(at[i]), int(at[j])) for i, j in group_links([sets[k] for k in at.tolist()], overlap, again, int((at < left).sum()), other))
 
 
-def group_links(sets: list[np.ndarray], overlap: Overlap, confirm: Confirm | None = None, left: int | None = None) -> Iterator[tuple[int, int]]:
+def group_links(sets: list[np.ndarray], overlap: Overlap, confirm: Confirm | None = None, left: int | None = None, also: Also | None = None) -> Iterator[tuple[int, int]]:
     """The links of one group, held as bit rows; the first `left` sets, or all, meet all.
 
     If all do, sets with most members in common with the others come first: `ROWS` of them meet all sets, so the original
@@ -308,18 +313,24 @@ def group_links(sets: list[np.ndarray], overlap: Overlap, confirm: Confirm | Non
             yield 0, 1
         return
     bits, sizes = bit_rows(sets), np.array([len(x) for x in sets], np.int64)
+    others, all_sizes = (bit_rows(also[0]), np.array([len(x) for x in also[0]], np.int64)) if also else (None, None)
     common = np.array([np.bitwise_count(r).sum() for r in bits], np.int64)
     order = np.lexsort((np.arange(n), sizes, -common))
     union = Union(n)
 
+    def shared(bits: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        both = np.zeros((len(rows), len(columns)), np.int64)
+        for x, y in zip(bits[rows].T.copy(), bits[columns].T.copy(), strict=True):
+            both += np.bitwise_count(x[:, None] & y[None, :])
+        return both
+
     def meet(rows: np.ndarray, columns: np.ndarray) -> Iterator[tuple[int, int]]:
         ra, rb = union.roots(rows), union.roots(columns)
         if (ra == ra[0]).all() and (rb == ra[0]).all():
             return
-        both = np.zeros((len(rows), len(columns)), np.int64)
-        for x, y in zip(bits[rows].T.copy(), bits[columns].T.copy(), strict=True):
-            both += np.bitwise_count(x[:, None] & y[None, :])
-        near = overlap.near(both, sizes[rows][:, None], sizes[columns][None, :]) & (ra[:, None] != rb[None, :])
+        near = overlap.near(shared(bits, rows, columns), sizes[rows][:, None], sizes[columns][None, :]) & (ra[:, None] != rb[None, :])
+        if also and near.any():
+            near &= also[1](shared(others, rows, columns), all_sizes[rows][:, None], all_sizes[columns][None, :])
         for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
             p, q = int(rows[i]), int(columns[j])
             if union.find(p) != union.find(q) and (confirm is None or confirm(p, q)):
@@ -416,15 +427,24 @@ def _compared(groups: DataFrame, compare: Compare) -> DataFrame:
 
     def run(batches):
         at, ids, contents, left, first = None, [], [], 0, set()
+        us, vs = [], []
+
+        def close() -> None:
+            if len(ids) > 1 and left:
+                for a, b in compare(contents, left):
+                    us.append(ids[a])
+                    vs.append(ids[b])
 
-        def flush():
-            found = list(compare(contents, left)) if len(ids) > 1 and left else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], names=["u", "v"])
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            us.clear()
+            vs.clear()
+            return out
 
         for batch in batches:
             for family, i, j, meets, id_, data in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
                 if (family, i, j) != at:
-                    yield flush()
+                    close()
                     at, ids, contents, left, first = (family, i, j), [], [], 0, set()
                 if meets:
                     left += 1
@@ -433,6 +453,9 @@ def _compared(groups: DataFrame, compare: Compare) -> DataFrame:
                     continue
                 ids.append(id_)
                 contents.append(data)
+            if len(us) > 10_000:
+                yield flush()
+        close()
         yield flush()
 
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -9,7 +9,7 @@ longer) of at least 0.8. Alignment alone decides; what comes before it only leav
 * of a bucket, documents whose word counts differ too much, or whose signatures (112 bits of minima over labelled word
   pairs) agree too little. An edit takes two word pairs at most, so aligned texts share at least 0.6 of them, and so
   much of a signature with a chance of over 0.999;
-* of a family, pairs that share fewer labelled word pairs than the edits allow, which is exact.
+* of a family, pairs that share fewer labelled word pairs, or labelled words, than the edits allow, which is exact.
 
 Words are what white space separates. Exact copies are one text with one sketch: they join their class by a digest
 of the whole text, whatever their number.
@@ -140,13 +140,12 @@ def banded_distance(a: list[int], b: list[int], band: int) -> int | None:
     """
     if len(a) < len(b):
         a, b = b, a
-    begin, end = 0, 0
-    while begin < len(b) and a[begin] == b[begin]:
+    n, m, begin = len(a), len(b), 0
+    while begin < m and a[begin] == b[begin]:
         begin += 1
-    while end < len(b) - begin and a[len(a) - 1 - end] == b[len(b) - 1 - end]:
-        end += 1
-    a, b = a[begin : len(a) - end], b[begin : len(b) - end]
-    n, m = len(a), len(b)
+    while m > begin and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    a, b, n, m = a[begin:n], b[begin:m], n - begin, m - begin
     if n - m > band or not m:
         return n if n <= band else None
     if band >= n:
@@ -187,6 +186,11 @@ def _near(both, a, b):
     return both >= longer - 2 * np.floor((1 - SIMILARITY) * (longer + 1) + 1e-9)
 
 
+def _near_words(both, a, b):
+    longer = np.maximum(a, b)
+    return both >= longer - np.floor((1 - SIMILARITY) * longer + 1e-9)
+
+
 WORD_PAIRS = Overlap(_near, lambda n: np.maximum(1, np.ceil((2 * SIMILARITY - 1) * n - 2 * (1 - SIMILARITY) - 1e-9)).astype(np.int64))
 
 
@@ -202,7 +206,8 @@ def compare(contents: list[bytes], left: int):
     def aligned(i: int, j: int) -> bool:
         return banded_distance(words[i].tolist(), words[j].tolist(), most_edits(max(len(words[i]), len(words[j])))) is not None
 
-    yield from exact_links([np.unique(word_pairs(w)) for w in words], WORD_PAIRS, aligned, left)
+    also = [np.unique(labelled(w)) for w in words], _near_words
+    yield from exact_links([np.unique(word_pairs(w)) for w in words], WORD_PAIRS, aligned, left, also)
 
 
 # ---------------------------------------------------------------- DataFrames
