@@ -3,9 +3,10 @@
 The lexicon is learned from labelled texts: words, and stems (word beginnings) that occur at all or often, that toxic
 documents hold and clean ones don't. Whole words lie in a trie, stems in another. A token's Levenshtein automaton runs
 over them: its state is the set of (position, errors) that are still open, and a branch ends when none is. A stem is met
-as soon as its letters are read. One error is allowed in words of five letters or more. Each term has a chance of abuse by how often it was hit beyond what its rate in clean
-texts lets expect, estimated on the training rows, apart for exact and misspelled hits; tokens that clean training
-texts hold are no misspellings. A hit in quotation marks, or near words of reporting and none of address, counts in
+as soon as its letters are read. One error is allowed in words and stems of five letters or more. Each term has a chance of
+abuse by how often it was hit beyond what its rate in clean texts lets expect, estimated on the training rows. Misspelled
+hits have one of their own, the share of toxic ones among the distinct tokens that met the term: a new misspelling is a
+new token. Tokens that clean training texts hold are no misspellings. A hit in quotation marks, or near words of reporting and none of address, counts in
 part. A document's score is the noisy-or over its terms.
 
 The classifier is fitted on at most `TRAIN_ROWS` labelled rows, those of least hash; scoring reads whole texts.
@@ -29,14 +30,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import FORGET, arrow_rows, bounded, durable, prepare, texts
+from .lsh import Union
+from .order_minhash import SEEDS, WordHash, shingles, word_hashes
 
 THRESHOLD = 0.7
 #: Labelled rows that the classifier sees.
 TRAIN_ROWS = 20_000
 #: A term must have at least this share of toxic rows among those that hold it, and be in this share of toxic rows.
 PRECISION, SUPPORT, LEAST_ROWS = 0.8, 0.01, 3
-#: Precision from which a feature is taken for itself; distinct texts a row that a feature must be found with.
+#: Precision from which a feature is taken for itself; classes of copies a row that a feature must be found with.
 PURE, DIVERSE = 0.97, 0.3
+#: Keys by which near copies among the training rows are told.
+BANDS = 8
 #: Distinct tokens that a worker remembers as matched or not.
 SEEN = 200_000
 #: Chance features that a lexicon may hold.
@@ -74,7 +79,7 @@ class Lexicon:
         for term in terms:
             stem, letters = term.endswith("*"), term.rstrip("*")
             (self.stems if stem else self.exact)[letters] = term
-            if not stem and len(letters) < FUZZY_LENGTH:
+            if len(letters) < FUZZY_LENGTH:
                 continue
             node = self.stem_root if stem else self.root
             for c in letters:
@@ -245,8 +250,23 @@ def closed(counts: dict[str, int]) -> set[str]:
     return {f for f, n in counts.items() if not f.endswith("*") or best[f] < n}
 
 
-def hash_of(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) >> 1
+def bands(text: str) -> list[int]:
+    """Keys that near copies of a text are likely to share: pairs of minima over the five-word shingles of all of it."""
+    mixed = shingles(word_hashes(text.lower(), WordHash()))
+    minima = [int((mixed * f).min()) for f in SEEDS[: 2 * BANDS]]
+    return [xxhash.xxh64_intdigest(f"{k} {x} {y}") >> 1 for k, (x, y) in enumerate(zip(minima[::2], minima[1::2], strict=True))]
+
+
+def copy_classes(keys: list[list[int]]) -> list[int]:
+    """A class for each text: those that share a key, directly or through others, are copies of each other."""
+    first: dict[int, int] = {}
+    union = Union(len(keys))
+    for k, mine in enumerate(keys):
+        for key in mine:
+            a, b = union.find(first.setdefault(key, k)), union.find(k)
+            if a != b:
+                union.join(a, b)
+    return [union.find(k) for k in range(len(keys))]
 
 
 def surprise(c: int, d: int, share: float) -> float:
@@ -264,8 +284,8 @@ def precise(toxic: dict[str, int], clean: dict[str, int], least: int, share: flo
 
 
 def cover(rows: list[tuple[set[str], int]], clean: dict[str, int], share: float, features: int) -> list[str]:
-    """A lexicon from toxic rows (features held, a digest of the text), most frequent features first, clean rows
-    held against them. Words that merely come along with copies of one toxic text are told by few distinct texts: a
+    """A lexicon from toxic rows (features held, class of copies), most frequent features first, clean rows
+    held against them. Words that merely come along with copies of one toxic text are told by few classes of copies: a
     feature's must be many and beyond chance by themselves. Those of `PURE` precision are taken, others only if they are
     in at least `LEAST_ROWS` rows that no feature before them explains."""
     holds: dict[str, set[int]] = {}
@@ -302,9 +322,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
 
     def held(batches):
         for (bodies,) in arrow_rows(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(features(x) & wanted) for x in bodies], pa.list_(pa.string())), pa.array([hash_of(x) for x in bodies], pa.int64())], names=["held", "copy"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(features(x) & wanted) for x in bodies], pa.list_(pa.string())), pa.array([bands(x) for x in bodies], pa.list_(pa.int64()))], names=["held", "keys"])
 
-    rows = [(set(r["held"]), r["copy"]) for r in toxic_rows.select("text").mapInArrow(bounded(held), "held array<string>, copy long").collect()]  # training rows
+    found = toxic_rows.select("text").mapInArrow(bounded(held), "held array<string>, keys array<long>").collect()  # training rows
+    rows = list(zip((set(r["held"]) for r in found), copy_classes([r["keys"] for r in found]), strict=True))
     draft = Model({(t, e): (1.0,) * MOST_HITS for t in cover(rows, clean, share, len(toxic)) for e in (0, 1)})
 
     def hits(batches):
@@ -324,11 +345,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
 
 def calibrate(found: list, draft: Model, sizes: dict[int, int]) -> Model:
     """Chances of each term from the training rows' hits: (size, token, term, errors, n, toxic)."""
-    by_token: dict[str, Counter[int]] = {}
+    by_token: dict[tuple[str, str], Counter[int]] = {}
     for r in found:
         if r["errors"]:
-            by_token.setdefault(r["token"], Counter())[r["toxic"]] += 1
-    known = frozenset(t for t, c in by_token.items() if c[0] > c[1])
+            by_token.setdefault((r["term"], r["token"]), Counter())[r["toxic"]] += 1
+    known = frozenset(t for (_, t), c in by_token.items() if c[0] > c[1])
     clean_hits: Counter[str] = Counter()
     clean_tokens = 1
     for r in found:
@@ -336,23 +357,27 @@ def calibrate(found: list, draft: Model, sizes: dict[int, int]) -> Model:
             clean_hits[r["term"]] += r["n"]
             clean_tokens += r["size"] if not r["term"] else 0
     rate = {t: n / clean_tokens for t, n in clean_hits.items() if t}
-    seen: dict[tuple[str, int], list[list[int]]] = {k: [[0, 0] for _ in range(MOST_HITS)] for k in draft.chance}
-    pooled: dict[tuple[bool, int], list[list[int]]] = {(s, e): [[0, 0] for _ in range(MOST_HITS)] for s in (False, True) for e in (0, 1)}
+    terms = {t for t, _ in draft.chance}
+    seen: dict[str, list[list[int]]] = {t: [[0, 0] for _ in range(MOST_HITS)] for t in terms}
+    pooled: dict[bool, list[list[int]]] = {s: [[0, 0] for _ in range(MOST_HITS)] for s in (False, True)}
     for r in found:
-        if r["term"] and not (r["errors"] and r["token"] in known) and (level := hits_beyond(r["n"], r["size"], rate.get(r["term"], 0))):
-            for table in (seen[r["term"], r["errors"]], pooled[r["term"].endswith("*"), r["errors"]]):
+        if r["term"] and not r["errors"] and (level := hits_beyond(r["n"], r["size"], rate.get(r["term"], 0))):
+            for table in (seen[r["term"]], pooled[r["term"].endswith("*")]):
                 table[level - 1][r["toxic"]] += 1
+    spelt, all_spelt = {t: [0, 0] for t in terms}, {s: [0, 0] for s in (False, True)}
+    for (term, _), c in by_token.items():
+        for table in (spelt[term], all_spelt[term.endswith("*")]):
+            table[c[1] > c[0]] += 1
     chance = {}
-    for (term, errors), table in seen.items():
+    for term, table in seen.items():
         best, out = 0.0, []
-        for (d, c), (pd, pc) in zip(table, pooled[term.endswith("*"), errors], strict=True):
+        for (d, c), (pd, pc) in zip(table, pooled[term.endswith("*")], strict=True):
             prior = (pc + 4) / (pc + pd + 5)
             best = max(best, (c + POOLED * prior) / (c + d + POOLED))
             out.append(best)
-        chance[term, errors] = tuple(out)
-    for (term, errors), out in chance.items():
-        if errors:  # a misspelling tells no more than the term itself
-            chance[term, errors] = tuple(map(min, out, chance[term, 0]))
+        (d, c), (pd, pc) = spelt[term], all_spelt[term.endswith("*")]
+        misspelled = (c + POOLED * (pc + 1) / (pc + pd + 2)) / (c + d + POOLED)
+        chance[term, 0], chance[term, 1] = tuple(out), tuple(min(x, misspelled) for x in out)  # it tells no more than the term itself
     return Model(chance, rate, known, 0.5 / (sizes[0] + 1))
 
 
