@@ -44,6 +44,10 @@ def _cut(word: Column, n: int) -> Column:
     return F.substr(word, F.lit(1), F.length(word) - n)
 
 
+#: Endings (fixed values) of terms that code shortens to four letters: authentication, auth.
+SHORTENED = "(tion|sion|ment|ance|ence|ality|ity|ing|izer|iser|able|ible)$"
+
+
 def term_variants(term: Column) -> Column:
     """Forms under which a query term may stand in code: without underscores, other endings, singular."""
     w = F.trim(F.lower(term))
@@ -56,6 +60,7 @@ def term_variants(term: Column) -> Column:
         (ends("er", 5), F.concat(_cut(w, 2), F.lit("ing"))),
         (ends("ion", 5), _cut(w, 3)),
         (ends("ation", 6), F.concat(_cut(w, 5), F.lit("ate"))),
+        ((F.length(w) >= 6) & w.rlike(SHORTENED), F.substr(w, F.lit(1), F.lit(4))),
         (ends("ies", 5), F.concat(_cut(w, 3), F.lit("y"))),
         (ends("es", 5), _cut(w, 2)),
         (ends("s", 4) & ~w.endswith("ss"), _cut(w, 1)),
@@ -155,9 +160,30 @@ SUBJECTS = {
 }
 
 
+#: Folders, endings and file names (fixed values) that mark tests and samples.
+TEST_FOLDERS = "(^|/)(test|tests|spec|__tests__|__fixtures__|fixtures|benchmark|examples|e2e|cypress|playwright|integration)/"
+TEST_ENDINGS = r"[.](test|spec|e2e)[.][^.]+$"
+TEST_NAMES = r"(^|/)(benchmark|demo)[.][^/]+$"
+
+
 def is_test_path(path: Column) -> Column:
+    """Whether a file lies in a test folder, ends like a test, or is a benchmark or demo."""
     low = F.lower(path)
-    return low.rlike(r"(^|/)(__tests__|tests?|specs?|fixtures|mocks)/") | low.rlike(r"[._](test|spec)\.[a-z]+$") | low.rlike(r"(^|/)test_[^/]*$")
+    return low.rlike(TEST_FOLDERS) | low.rlike(TEST_ENDINGS) | low.rlike(TEST_NAMES)
+
+
+#: Words (fixed values) that queries are searched without.
+STOP_WORDS = (
+    "the is are was were be been being have has had do does did will would could should may might shall can need dare ought used to "
+    "of in for on with at by from as into through during before after above below between out off over under again further then once "
+    "here there when where why how all each every both few more most other some such no nor not only own same so than too very just "
+    "because but and if or while about what which who whom this that these those am an a it its my your his her our their return list"
+).split()
+
+
+def salient_terms(text: Column) -> Column:
+    """The terms of a query without stop words."""
+    return F.filter(query_terms(text), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def naming_style(name: Column) -> Column:

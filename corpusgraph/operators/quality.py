@@ -46,3 +46,11 @@ def majority_style(styles: DataFrame, key: list[str], style: str) -> DataFrame:
     total = F.col("camel") + F.col("snake") + F.col("pascal")
     best = F.when(total == 0, "mixed").when(F.col("camel") / total >= 0.6, "camelCase").when(F.col("snake") / total >= 0.6, "snake_case").when(F.col("pascal") / total >= 0.6, "PascalCase").otherwise("mixed")
     return x.select(*key, "camel", "snake", "pascal", best.alias("style"))
+
+
+def coverage(trees: DataFrame, most: int) -> DataFrame:
+    """With utilization, balance and overall of trees with `up` and `down` nodes besides the seed, `most` nodes at most."""
+    total = F.col("up") + F.col("down")
+    use = (F.least(total + 1, F.lit(most)) - 1) / (most - 1) if most > 1 else F.lit(0.0)
+    balance = F.when(total > 0, 1 - F.abs(F.col("up") - F.col("down")) / total).otherwise(0.0)
+    return trees.withColumns({"utilization": F.round(use, 3), "balance": F.round(balance, 3), "overall": F.round(0.7 * use + 0.3 * balance, 3)})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import fusion, graph, lexical, quality
-from ..tables import call_edges, chunks, small_graph, table
+from ..tables import call_edges, chunks, links, table
 from .registry import query
 from .relational import CHUNKS, EDGES
 
@@ -35,15 +35,15 @@ def query_terms(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(T.query_terms(F.col("url")), "|").alias("terms"))
 
 
-VARIANTS = """list_distinct(list_filter([CASE WHEN w <> '' THEN w END, CASE WHEN contains(w, '_') THEN replace(w, '_', '') END, CASE WHEN suffix(w, 'ing') AND length(w) >= 4 THEN left(w, length(w) - 3) END,
+VARIANTS = f"""list_distinct(list_filter([CASE WHEN w <> '' THEN w END, CASE WHEN contains(w, '_') THEN replace(w, '_', '') END, CASE WHEN suffix(w, 'ing') AND length(w) >= 4 THEN left(w, length(w) - 3) END,
 CASE WHEN suffix(w, 'ing') AND length(w) >= 6 THEN left(w, length(w) - 3) || 'er' END, CASE WHEN suffix(w, 'er') AND length(w) >= 5 THEN left(w, length(w) - 2) || 'ing' END, CASE WHEN suffix(w, 'ion') AND length(w) >= 5 THEN left(w, length(w) - 3) END,
-CASE WHEN suffix(w, 'ation') AND length(w) >= 6 THEN left(w, length(w) - 5) || 'ate' END, CASE WHEN suffix(w, 'ies') AND length(w) >= 5 THEN left(w, length(w) - 3) || 'y' END, CASE WHEN suffix(w, 'es') AND length(w) >= 5 THEN left(w, length(w) - 2) END,
+CASE WHEN suffix(w, 'ation') AND length(w) >= 6 THEN left(w, length(w) - 5) || 'ate' END, CASE WHEN length(w) >= 6 AND regexp_matches(w, '{T.SHORTENED}') THEN left(w, 4) END, CASE WHEN suffix(w, 'ies') AND length(w) >= 5 THEN left(w, length(w) - 3) || 'y' END, CASE WHEN suffix(w, 'es') AND length(w) >= 5 THEN left(w, length(w) - 2) END,
 CASE WHEN suffix(w, 's') AND NOT suffix(w, 'ss') AND length(w) >= 4 THEN left(w, length(w) - 1) END], lambda v: v IS NOT NULL))"""
-TERMS = f"(SELECT DISTINCT unnest({WORDS}) AS w FROM documents WHERE lang = 'en')"
+TERMS = f"(SELECT DISTINCT unnest({WORDS}) AS w FROM documents )"
 
 
 def _terms(spark, sf):
-    return table(spark, sf, "documents").where("lang = 'en'").select(F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("w")).distinct()
+    return table(spark, sf, "documents").select(F.explode(T.tokens(F.coalesce("text", F.lit("")))).alias("w")).distinct()
 
 
 @query(f"SELECT w, list_aggregate(list_sort({VARIANTS}), 'string_agg', '|') AS variants FROM {TERMS}")
@@ -214,7 +214,7 @@ def retrieval_quality(spark, sf):
     return quality.graded_metrics(x, "q", 10)
 
 
-GRAPH = "(SELECT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem WHERE l_quantity >= 49)"
+GRAPH = "(SELECT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem)"
 PAIRS = f"(SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM {GRAPH} WHERE src <> dst)"
 WAYS = f"(SELECT a AS u, b AS v FROM {PAIRS} UNION ALL SELECT b, a FROM {PAIRS})"
 MEMBERS = f"(SELECT DISTINCT u AS id, u % 7 AS community FROM {WAYS})"
@@ -226,24 +226,24 @@ def _members(pairs):
 
 @query(f"SELECT u AS id, count(*) AS degree FROM {WAYS} GROUP BY u")
 def degree(spark, sf):
-    return graph.degrees(graph.undirected(small_graph(spark, sf)))
+    return graph.degrees(graph.undirected(links(spark, sf)))
 
 
 @query(f"SELECT u AS id, count(*) AS degree FROM {WAYS} GROUP BY u ORDER BY degree DESC, id LIMIT 10")
 def hubs_topk(spark, sf):
-    return graph.hubs(graph.undirected(small_graph(spark, sf)), 10)
+    return graph.hubs(graph.undirected(links(spark, sf)), 10)
 
 
 @query(f"""SELECT community, n, coalesce(i, 0) AS inner, CASE WHEN n <= 1 THEN 1.0 ELSE round(2 * coalesce(i, 0) / (n * (n - 1)), 2) END AS cohesion FROM (SELECT community, count(*) AS n FROM {MEMBERS} GROUP BY 1)
 LEFT JOIN (SELECT x.community, count(*) AS i FROM {PAIRS} p JOIN {MEMBERS} x ON p.a = x.id JOIN {MEMBERS} y ON p.b = y.id WHERE x.community = y.community GROUP BY 1) USING (community)""".replace("AS inner", 'AS "inner"'))
 def cohesion(spark, sf):
-    pairs = graph.undirected(small_graph(spark, sf))
+    pairs = graph.undirected(links(spark, sf))
     return graph.cohesion(pairs, _members(pairs))
 
 
 @query(f"SELECT x.community AS from_community, y.community AS to_community, count(*) AS n FROM {GRAPH} g JOIN {MEMBERS} x ON g.src = x.id JOIN {MEMBERS} y ON g.dst = y.id WHERE x.community <> y.community GROUP BY 1, 2")
 def cross_matrix(spark, sf):
-    edges = small_graph(spark, sf)
+    edges = links(spark, sf)
     return graph.cross_matrix(edges, _members(graph.undirected(edges)))
 
 
@@ -251,14 +251,14 @@ def cross_matrix(spark, sf):
 SELECT a, b, score FROM (SELECT p.a, p.b, CAST((p.a + p.b) % 3 + CASE WHEN x.dir <> y.dir THEN 2 ELSE 0 END + CASE WHEN x.community <> y.community THEN 1 ELSE 0 END + CASE WHEN least(x.degree, y.degree) <= 2 AND greatest(x.degree, y.degree) >= 5 THEN 1 ELSE 0 END AS BIGINT) AS score
 FROM {PAIRS} p JOIN d x ON p.a = x.id JOIN d y ON p.b = y.id WHERE x.degree <= 15 AND y.degree <= 15) WHERE score > 0""")
 def surprise_edges(spark, sf):
-    pairs = graph.undirected(small_graph(spark, sf))
+    pairs = graph.undirected(links(spark, sf))
     nodes = graph.both_ways(pairs).select(F.col("u").alias("id"), (F.col("u") % 3).alias("dir"), (F.col("u") % 7).alias("community")).distinct()
     return graph.surprise(pairs.withColumn("resolved", (F.col("a") + F.col("b")) % 3), graph.degrees(pairs), nodes)
 
 
 @query(f"""WITH RECURSIVE w AS (SELECT * FROM {WAYS}), r AS (SELECT CAST(2 AS BIGINT) AS id, 0 AS level UNION SELECT w.v, r.level + 1 FROM r JOIN w ON w.u = r.id WHERE r.level < 3) SELECT id, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY id""")
 def bfs_levels(spark, sf):
-    ways = graph.both_ways(graph.undirected(small_graph(spark, sf))).toDF("src", "dst")
+    ways = graph.both_ways(graph.undirected(links(spark, sf))).toDF("src", "dst")
     return graph.levels(ways, spark.createDataFrame([(2,)], "id long"), 3)
 
 
@@ -271,7 +271,7 @@ def _rounds(n: int) -> str:
 
 @query(_rounds(3))
 def communities_lpa(spark, sf):
-    return graph.propagate(graph.undirected(small_graph(spark, sf)), 3)
+    return graph.propagate(graph.undirected(links(spark, sf)), 3)
 
 
 @query("""WITH r AS (SELECT src, dst, count(*) AS w, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, dst) AS rn FROM """ + EDGES + """ GROUP BY src, dst), b AS (SELECT * FROM r WHERE rn <= 3), one AS (SELECT 2 AS parent, dst AS child FROM b WHERE src = 2)
@@ -296,12 +296,15 @@ def coalesce_last_op(spark, sf):
     return last_operation(table(spark, sf, "events"), "user_id", ["ts", "event_id"], ["event_type", "event_id"]).select("user_id", F.col("event_type").alias("kind"), "event_id")
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) <= 2 AS allowed FROM events")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, n, [t] AS taken, true AS allowed FROM e WHERE n = 1 UNION ALL
+SELECT e.user_id, e.event_id, e.n, CASE WHEN len(list_filter(taken, lambda x: x > t - 3600000000)) < 2 THEN list_append(list_filter(taken, lambda x: x > t - 3600000000), t) ELSE list_filter(taken, lambda x: x > t - 3600000000) END,
+len(list_filter(taken, lambda x: x > t - 3600000000)) < 2 FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1) SELECT event_id, allowed FROM f""")
 def rate_limit(spark, sf):
     from ..streaming.changes import allowed
 
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.select("event_id", allowed("user_id", "ts", 2, 3600).alias("allowed"))
+    return allowed(e, "user_id", "ts", "event_id", 2, 3600)
 
 
 @query("SELECT count(*) AS n, CASE WHEN count(*) = 0 THEN 'empty' WHEN max(o_orderdate) < TIMESTAMP '1998-08-03' THEN 'fresh' ELSE 'stale' END AS state FROM orders")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import quality
 from ..tables import table
 from .registry import query
 from .retrieval import WORDS
@@ -29,10 +30,10 @@ def dominant_label(spark, sf):
     return total.select("p_brand", F.when(F.col("m.n") > 0.4 * F.col("total"), F.col("kind")).otherwise("mixed").alias("label"), F.round(F.col("m.n") / F.col("total"), 6).alias("share"))
 
 
-@query(f"SELECT w AS term, files FROM (SELECT w, count(DISTINCT source) AS files FROM (SELECT source, unnest({WORDS}) AS w FROM documents WHERE n_chars < 400) GROUP BY w) WHERE files >= 2")
+@query(f"SELECT w AS term, files FROM (SELECT w, count(DISTINCT source) AS files FROM (SELECT source, unnest({WORDS}) AS w FROM documents) GROUP BY w) WHERE files >= 2")
 def family_terms(spark, sf):
     """Tokens that at least two files hold."""
-    d = table(spark, sf, "documents").where("n_chars < 400").select("source", F.explode(F.array_distinct(T.tokens(F.coalesce("text", F.lit(""))))).alias("term"))
+    d = table(spark, sf, "documents").select("source", F.explode(F.array_distinct(T.tokens(F.coalesce("text", F.lit(""))))).alias("term"))
     return d.groupBy("term").agg(F.count_distinct("source").alias("files")).where("files >= 2")
 
 
@@ -64,11 +65,13 @@ def page_staleness(spark, sf):
     return o.where("size(a) > 0 and size(b) > 0").select("o_custkey", F.arrays_overlap("a", "b").alias("stale"))
 
 
-@query("SELECT l_suppkey, round(0.7 * count(DISTINCT l_partkey) / count(*) + 0.3 * least(count(*) FILTER (l_returnflag = 'R'), count(*) FILTER (l_returnflag <> 'R')) / greatest(count(*) FILTER (l_returnflag = 'R'), count(*) FILTER (l_returnflag <> 'R')), 3) AS coverage FROM lineitem GROUP BY l_suppkey")
+@query("""SELECT l_suppkey, round(utilization, 3) AS utilization, round(balance, 3) AS balance, round(0.7 * utilization + 0.3 * balance, 3) AS overall FROM (SELECT l_suppkey, (least(1 + count(*), 2000) - 1) / 1999 AS utilization,
+1 - CAST(abs(count(*) FILTER (l_returnflag = 'R') - count(*) FILTER (l_returnflag <> 'R')) AS DOUBLE) / count(*) AS balance FROM lineitem GROUP BY l_suppkey)""")
 def coverage_score(spark, sf):
-    """0.7 of use and 0.3 of balance between two sides."""
+    """How well trees of at most 2,000 nodes are filled: 0.7 of use and 0.3 of balance between callers and callees."""
     up, down = F.count_if(F.col("l_returnflag") == "R"), F.count_if(F.col("l_returnflag") != "R")
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(0.7 * F.count_distinct("l_partkey") / F.count("*") + 0.3 * F.least(up, down) / F.greatest(up, down), 3).alias("coverage"))
+    sides = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(up.alias("up"), down.alias("down"))
+    return quality.coverage(sides, 2000).select("l_suppkey", "utilization", "balance", "overall")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.page') AS page, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

@@ -27,10 +27,26 @@ def last_operation(events: DataFrame, key: str, order: list[str], values: list[s
     return best.select(key, *(F.col(f"v.{c}").alias(c) for c in values))
 
 
-def allowed(key: str, at: str, most: int, seconds: int) -> Column:
-    """Whether at most `most` events of the key fell into the last `seconds`, this one included. Batch."""
-    window = Window.partitionBy(key).orderBy(F.unix_micros(at)).rangeBetween(-seconds * 1_000_000, 0)
-    return F.count("*").over(window) <= most
+def allowed(events: DataFrame, key: str, at: str, event: str, most: int, seconds: int) -> DataFrame:
+    """(event, allowed): whether fewer than `most` events of the key were let in during the last `seconds`. Refused events
+    don't count, and neither does one exactly `seconds` ago. Batch: a fold over each key in order of time, which holds
+    `most` times of one key, however many events it has."""
+    dealt = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(at).alias("t"), event).repartition("key").sortWithinPartitions("key", "t", event)
+
+    def fold(batches):
+        last, taken = object(), []
+        for batch in batches:
+            out = []
+            for k, t in zip(batch["key"], batch["t"], strict=True):
+                if k != last:
+                    last, taken = k, []
+                taken = [x for x in taken if x > t - seconds * 1_000_000]
+                out.append(len(taken) < most)
+                if out[-1]:
+                    taken.append(t)
+            yield batch[[event]].assign(allowed=out)
+
+    return dealt.mapInPandas(fold, f"{event} {dict(events.dtypes)[event]}, allowed boolean")
 
 
 def apply_changes(current: DataFrame, batch: DataFrame, key: str, order: list[str], operation: str) -> DataFrame:

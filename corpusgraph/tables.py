@@ -22,9 +22,9 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("weight"), F.col("l_orderkey").alias("order"))
 
 
-def small_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparser graph: suppliers and the parts of their large lines."""
-    return call_edges(spark, sf_dir).where("weight >= 49").select("src", "dst")
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ends of all call edges."""
+    return call_edges(spark, sf_dir).select("src", "dst")
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,13 +22,17 @@ def test_text(spark):
     assert value(spark, T.split_identifiers(F.lit("saveFlowToDatabase"))) == "save flow to database"
     assert words("HTTPServer_errorCode-2") == ["http", "server", "error", "code", "2"]
     assert value(spark, T.camel(T.boundary_tokens(F.lit("save_flow to-db")))) == "saveFlowToDb"
-    assert set(value(spark, T.term_variants(F.lit("embedding")))) == {"embedding", "embedd", "embedder"}
+    assert set(value(spark, T.term_variants(F.lit("embedding")))) == {"embedding", "embedd", "embedder", "embe"}
+    assert set(value(spark, T.term_variants(F.lit("authentication")))) == {"authentication", "authenticat", "authenticate", "auth"}
     assert set(value(spark, T.morph_aliases(F.lit("parser")))) == {"pars", "parsing"}
     assert value(spark, T.one_line(F.lit("a  b\n c" + "d" * 20), 10)) == "a b cdd..."
     assert value(spark, T.common_prefix(F.lit("src/a/b.ts"), F.lit("src/a/c.ts"))) == 2
     assert value(spark, T.matches_term(F.lit("src/userSession.ts"), F.lit("session")))
     assert not value(spark, T.matches_term(F.lit("obsession"), F.lit("session")))
     assert value(spark, T.is_test_path(F.lit("src/tests/a.ts"))) and not value(spark, T.is_test_path(F.lit("src/latest/a.ts")))
+    assert all(value(spark, T.is_test_path(F.lit(x))) for x in ("e2e/a.ts", "a/b.e2e.ts", "x/Demo.py", "a/b.spec.ts", "examples/x"))
+    assert not any(value(spark, T.is_test_path(F.lit(x))) for x in ("a/mytests.ts", "a/spec.ts", "demos/x.ts", ""))
+    assert value(spark, T.salient_terms(F.lit("How does the 'saveFlow' work in src/a.ts?"))) == ["saveflow", "work", "src/a.ts"]
 
 
 @pytest.mark.parametrize(("at", "want"), [("2024-04-01", 1.0), ("2024-02-16", 0.5), ("2023-09-01", 0.0), (None, None)])
@@ -170,3 +174,15 @@ def test_debounce_and_windows(spark):
     out = sorted((r.n, r.flushes) for r in changes.debounced(events, "path", "ts").collect())
     assert out == [(1, 1), (7, 2)]
     assert {r.n for r in changes.windowed_counts(events, "ts", "path", "10 seconds", "1 minute").collect()} == {7, 1}
+
+
+def test_coverage_and_rate_limit(spark):
+    from corpusgraph.operators import quality
+    from corpusgraph.streaming import changes
+
+    trees = spark.createDataFrame([(1, 3, 1), (2, 0, 0), (3, 2, 2)], "k int, up int, down int")
+    assert [tuple(r)[3:] for r in quality.coverage(trees, 9).orderBy("k").collect()] == [(0.5, 0.5, 0.5), (0.0, 0.0, 0.0), (0.5, 1.0, 0.65)]
+    at = [0, 1, 2, 9, 10, 11, 12]  # two in ten seconds: 2 and 9 are refused and don't count; at 10 that of 0 is out
+    events = spark.createDataFrame([("a", k, t) for k, t in enumerate(at)] + [("b", 9, 1)], "user string, id int, t int").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r.id: r.allowed for r in changes.allowed(events, "user", "ts", "id", 2, 10).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True, 6: False, 9: True}
