@@ -33,9 +33,9 @@ def bm25_fields(spark, sf):
 NOW = "1998-08-02 00:00:00"
 
 
-@query(f"SELECT o_orderkey, round(o_totalprice / 1000000 + 0.2 * least(1.0, greatest(0.0, 1 - (epoch_us(TIMESTAMP '{NOW}') - epoch_us(o_orderdate)) / 86400000000.0 / 90)), 6) AS score FROM orders")
+@query(f"SELECT o_orderkey, round(ln(o_totalprice) + 0.2 * least(1.0, greatest(0.0, 1 - (epoch_us(TIMESTAMP '{NOW}') - epoch_us(o_orderdate)) / 86400000000.0 / 90)), 6) AS score FROM orders")
 def recency_boost(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", F.round(expansion.recency_boost(F.col("o_totalprice") / 1000000, F.col("o_orderdate"), F.lit(NOW), 0.2), 6).alias("score"))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(expansion.recency_boost(F.log("o_totalprice"), F.col("o_orderdate"), F.lit(NOW), 0.2), 6).alias("score"))
 
 
 @query(f"""WITH r AS (SELECT src AS id, CAST(count(*) AS DOUBLE) AS score FROM {GRAPH} GROUP BY src ORDER BY score DESC, id LIMIT 20), h AS (SELECT * FROM r ORDER BY score DESC, id LIMIT 10),
