@@ -47,11 +47,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/corpusgraph-{uuid.uuid4().hex}/{name}"
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+def durable(df: DataFrame, name: str, alike: bool = True) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors. Columns whose
+    values are hardly ever `alike`, such as sketches, need no dictionaries."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(alike).lower()).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, durable, prepare
-from .lsh import Sets, exact_links, jaccard, link, pack
+from .lsh import KEY_BYTES, Sets, exact_links, jaccard, link, pack
 from .order_minhash import mix
 from .passes import by_partition, numbered, of_partition
 
@@ -125,8 +125,9 @@ def band_keys(lines: list[str]) -> tuple[list[bytes | None], list[bytes | None],
     for some, scheme, at in ((distinct < LONG * OVERLAP, short_keys, 0), (distinct >= LONG, long_keys, 2)):
         if some.any():
             keys, sign = scheme(hashes[np.repeat(some, counts)], counts[some])
-            for k, row, s in zip(np.flatnonzero(some).tolist(), keys, sign, strict=True):
-                out[at][k], out[at + 1][k] = pack(row), s.tobytes()
+            packed, signs_, width = pack(keys.ravel()), sign.tobytes(), KEY_BYTES * BANDS
+            for n, k in enumerate(np.flatnonzero(some).tolist()):
+                out[at][k], out[at + 1][k] = packed[width * n : width * (n + 1)], signs_[8 * n : 8 * n + 8]
     return out
 
 
@@ -228,13 +229,14 @@ def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """(row, line): every line but the first of each component, by row number of the table and line number."""
     prepare(docs.sparkSession)
-    found = durable(items(docs).withColumn("id", F.monotonically_increasing_id()), "items")
+    found = durable(items(docs).withColumn("id", F.monotonically_increasing_id()), "items", alike=False)
     sketched = found.where("keys is not null").select("id", "keys", "sign").union(found.where("long_keys is not null").select("id", "long_keys", "long_sign"))
     comps = durable(link(sketched, alike, 1, lambda ids: fetch_lines(docs, found.select("id", "row", "line").join(ids, "id")), compare, Sets(shingle_set, jaccard(SIMILARITY)), BLOCK_BYTES), "components")
-    members = found.select("id", "doc", "row", "line", "n", "places").join(comps, "id")
-    first = members.groupBy("comp").agg(F.min(F.struct("doc", "row", "line", "id")).alias("first"))
-    losers = members.join(first, "comp").where(F.col("id") != F.col("first.id")).select("row", "line", "places", F.lit(True).alias("all"))
-    winners = found.where("n > 1").join(comps, "id", "left").join(first, "comp", "left").where(F.coalesce(F.col("id") == F.col("first.id"), F.lit(True))).select("row", "line", "places", F.lit(False).alias("all"))
+    joined = found.select("id", "doc", "row", "line", "n", "places").join(comps, "id", "left").where("comp is not null or n > 1")
+    members = durable(joined, "members", alike=False)
+    first = members.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc", "row", "line", "id")).alias("first"))
+    whole = F.coalesce(F.col("id") != F.col("first.id"), F.lit(False))
+    lost = members.join(first, "comp", "left").select("row", "line", "places", "n", whole.alias("all")).where("all or n > 1").drop("n")
 
     def run(batches):
         for batch in batches:
@@ -249,7 +251,7 @@ def removals(docs: DataFrame) -> DataFrame:
                     lines += p["line"].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(lines, pa.int32())], names=["row", "line"])
 
-    return losers.union(winners).mapInArrow(bounded(run), "row long, line int")
+    return lost.mapInArrow(bounded(run), "row long, line int")
 
 
 def _without(text: str, gone: set[int]) -> str:

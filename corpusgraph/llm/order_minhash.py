@@ -255,10 +255,10 @@ def fetch_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def members(docs: DataFrame) -> DataFrame:
     """row, doc_id, class_id, class_size, first: the row number of the class's document of least doc_id. A row a document."""
-    rows = durable(sketches(docs), "sketches")
+    rows = durable(sketches(docs), "sketches", alike=False)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     groups = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"), F.any_value("sign").alias("sign"))
-    items = durable(groups.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "copies", "keys", "sign"), "items")
+    items = durable(groups.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "copies", "keys", "sign"), "items", alike=False)
     comps = link(items, alike, 2, lambda ids: fetch_words(docs, items.select("id", F.col("first.row").alias("row")).join(ids, "id")), compare, Sets(pair_set, WORD_PAIRS))
     named = durable(items.select("id", "h1", "h2", "first", "copies").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "named")
     sized = named.groupBy("comp").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
