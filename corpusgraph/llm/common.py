@@ -47,12 +47,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/corpusgraph-{uuid.uuid4().hex}/{name}"
 
 
-def durable(df: DataFrame, name: str, alike: bool = True) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors. Columns whose
-    values are hardly ever `alike`, such as sketches, need no dictionaries."""
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.option("parquet.enable.dictionary", str(alike).lower()).parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,9 +67,9 @@ def arrow_rows(batches: Iterator, *columns: str) -> Iterator[list[list]]:
             yield [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
 
 
-#: Resident MB beyond which a worker gives up what it remembers between tasks, and beyond which it looks for free memory:
-#: that takes some 50 ms, and a worker that has just begun holds about 110.
-WORKER_MB, TRIM_MB = 300, 160
+#: MB of its own beyond which a worker gives up what it remembers between tasks, and beyond which it looks for free memory:
+#: that takes some 50 ms, and a worker that has just begun holds about 55.
+WORKER_MB, TRIM_MB = 230, 80
 #: Functions that drop what a module remembers.
 FORGET: list[Callable[[], None]] = []
 
@@ -92,12 +91,13 @@ def give_back() -> None:
 
     try:
         with open("/proc/self/statm") as f:
-            resident = int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+            pages = f.read().split()
+        own = (int(pages[1]) - int(pages[2])) * os.sysconf("SC_PAGE_SIZE") / 1e6
     except OSError:
-        resident = float("inf")
-    if resident < TRIM_MB:
+        own = float("inf")
+    if own < TRIM_MB:
         return
-    if resident > WORKER_MB:
+    if own > WORKER_MB:
         for forget in FORGET:
             forget()
     gc.collect()

@@ -229,11 +229,11 @@ def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """(row, line): every line but the first of each component, by row number of the table and line number."""
     prepare(docs.sparkSession)
-    found = durable(items(docs).withColumn("id", F.monotonically_increasing_id()), "items", alike=False)
+    found = durable(items(docs).withColumn("id", F.monotonically_increasing_id()), "items")
     sketched = found.where("keys is not null").select("id", "keys", "sign").union(found.where("long_keys is not null").select("id", "long_keys", "long_sign"))
     comps = durable(link(sketched, alike, 1, lambda ids: fetch_lines(docs, found.select("id", "row", "line").join(ids, "id")), compare, Sets(shingle_set, jaccard(SIMILARITY)), BLOCK_BYTES), "components")
     joined = found.select("id", "doc", "row", "line", "n", "places").join(comps, "id", "left").where("comp is not null or n > 1")
-    members = durable(joined, "members", alike=False)
+    members = durable(joined, "members")
     first = members.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc", "row", "line", "id")).alias("first"))
     whole = F.coalesce(F.col("id") != F.col("first.id"), F.lit(False))
     lost = members.join(first, "comp", "left").select("row", "line", "places", "n", whole.alias("all")).where("all or n > 1").drop("n")
