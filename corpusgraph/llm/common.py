@@ -67,8 +67,8 @@ def arrow_rows(batches: Iterator, *columns: str) -> Iterator[list[list]]:
             yield [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
 
 
-#: MB of its own beyond which a worker gives up what it remembers between tasks, and beyond which it looks for free memory:
-#: that takes some 50 ms, and a worker that has just begun holds about 55.
+#: MB of its own beyond which a worker gives up what it remembers between tasks and collects garbage, which takes some
+#: 50 ms, and beyond which it returns free memory; a worker that has just begun holds about 55.
 WORKER_MB, TRIM_MB = 230, 80
 #: Functions that drop what a module remembers.
 FORGET: list[Callable[[], None]] = []
@@ -100,7 +100,7 @@ def give_back() -> None:
     if own > WORKER_MB:
         for forget in FORGET:
             forget()
-    gc.collect()
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
