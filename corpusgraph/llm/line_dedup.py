@@ -118,9 +118,10 @@ def band_keys(lines: list[str]) -> tuple[list[bytes | None], list[bytes | None],
     """The packed keys and the signature of each line in the scheme of short lines, then in that of long ones."""
     hashes, counts = shingle_hashes(lines)
     ends, out = np.cumsum(counts), ([None] * len(lines), [None] * len(lines), [None] * len(lines), [None] * len(lines))
-    distinct = counts.copy()
+    distinct, upper = counts.copy(), (hashes >> np.uint64(32)).astype(np.uint32)
     for k in np.flatnonzero(counts >= LONG).tolist():
-        mine = np.sort(hashes[ends[k] - counts[k] : ends[k]])
+        mine = upper[ends[k] - counts[k] : ends[k]].copy()
+        mine.sort()
         distinct[k] = 1 + np.count_nonzero(mine[1:] != mine[:-1])
     for some, scheme, at in ((distinct < LONG * OVERLAP, short_keys, 0), (distinct >= LONG, long_keys, 2)):
         if some.any():
@@ -147,7 +148,8 @@ def compare(contents: list[bytes], left: int):
     at = list(first.values())
     if len(at) == 2 and max(map(len, first)) <= PAIR_CHARS:
         a, b = ({x[k : k + SHINGLE] for k in range(max(1, len(x) - SHINGLE + 1))} for x in (y.decode() for y in first))
-        if left and len(a & b) >= SIMILARITY * len(a | b) - 1e-9:
+        both = len(a & b)
+        if left and both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9:
             yield at[0], at[1]
     elif len(at) > 1:
         lines, sets = [x.decode() for x in first], []
