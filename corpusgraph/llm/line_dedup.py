@@ -20,6 +20,8 @@ empty; very long lines are handled whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,8 +37,11 @@ SHINGLE, SIMILARITY = 8, 0.8
 LONG, OVERLAP = 96, 1.25
 BANDS, BAND_ROWS = 14, 4
 BINS = BANDS * BAND_ROWS
-#: Characters of lines that are hashed at a time.
-CHUNK_CHARS = 200_000
+#: Characters of lines that are hashed at a time: their arrays stay in a core's cache. Places of a table that counts a line's
+#: distinct shingles from below.
+CHUNK_CHARS, SLOTS = 50_000, 512
+#: Characters of lines whose items leave at a time.
+RECORD_CHARS = 400_000
 #: Bytes of a family's lines that are a block: each character has a hash of eight bytes.
 BLOCK_BYTES = 250_000
 #: How many bits of a signature, each of a minimum, may differ: 0.1 of them do at a similarity of 0.8, and more than this
@@ -51,21 +56,38 @@ LAST = (1 << 63) - 1  # stands for a null doc_id
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each shingle of some lines, and how many each line has."""
-    sizes = np.array([len(x) for x in lines], np.int64)
-    counts = np.maximum(sizes - SHINGLE + 1, 1)
-    text = np.frombuffer("".join([*lines, "\0" * SHINGLE]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE) for x in lines]
+    sizes = np.array([len(x) for x in padded], np.int64)
+    text = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
     two = text[:-1] * _A + text[1:]
     four = two[:-2] * _B + two[2:]
     eight = four[:-4] * _C + four[4:]
-    starts = np.cumsum(sizes) - sizes
-    at = np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
-    out = mix(eight[at])
+    within = np.ones(len(text), bool)
+    within[np.cumsum(sizes)[:, None] - np.arange(1, SHINGLE)] = False
+    out, counts = mix(eight[within[: len(eight)]]), sizes - SHINGLE + 1
     first = np.cumsum(counts) - counts
-    for k in np.flatnonzero(sizes < SHINGLE).tolist():
-        out[first[k]] = xxhash.xxh64_intdigest(lines[k])
+    for k, x in enumerate(lines):
+        if len(x) < SHINGLE:
+            out[first[k]] = xxhash.xxh64_intdigest(x)
     return out, counts
 
 
+def distinct_shingles(upper: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many distinct hashes each line has; of a line that has more than are of interest, less may be told, but no
+    fewer than `LONG * OVERLAP`."""
+    begins, distinct = np.cumsum(counts) - counts, counts.copy()
+    filled = np.zeros(len(counts) * SLOTS, np.uint8)
+    filled[np.repeat(np.arange(0, len(filled), SLOTS), counts) + (upper % np.uint32(SLOTS))] = 1
+    slots = filled.reshape(-1, SLOTS).sum(axis=1, dtype=np.uint16).astype(np.int64)
+    sure = slots >= LONG * OVERLAP
+    distinct[sure] = slots[sure]
+    for k in np.flatnonzero(~sure & (counts >= LONG)).tolist():
+        mine = upper[begins[k] : begins[k] + counts[k]].copy()
+        mine.sort()
+        distinct[k] = 1 + np.count_nonzero(mine[1:] != mine[:-1])
+    return distinct
+
+
 FACTORS = np.array([xxhash.xxh32_intdigest(b"minimum", seed=k) | 1 for k in range(BINS)], np.uint32)
 
 
@@ -114,21 +136,35 @@ def short_keys(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return joined(minima.reshape(-1, BANDS, BAND_ROWS), 0), signs(minima, 10)
 
 
-def band_keys(lines: list[str]) -> tuple[list[bytes | None], list[bytes | None], list[bytes | None], list[bytes | None]]:
+def parts(lines: list[str], chars: int) -> Iterator[list[str]]:
+    """The lines in runs of about so many characters."""
+    begin = 0
+    while begin < len(lines):
+        end, size = begin, 0
+        while end < len(lines) and size < chars:
+            size += len(lines[end])
+            end += 1
+        yield lines[begin:end]
+        begin = end
+
+
+Sketch = tuple[list[bytes | None], list[bytes | None], list[bytes | None], list[bytes | None]]
+
+
+def band_keys(lines: list[str]) -> Sketch:
     """The packed keys and the signature of each line in the scheme of short lines, then in that of long ones."""
-    hashes, counts = shingle_hashes(lines)
-    ends, out = np.cumsum(counts), ([None] * len(lines), [None] * len(lines), [None] * len(lines), [None] * len(lines))
-    distinct, upper = counts.copy(), (hashes >> np.uint64(32)).astype(np.uint32)
-    for k in np.flatnonzero(counts >= LONG).tolist():
-        mine = upper[ends[k] - counts[k] : ends[k]].copy()
-        mine.sort()
-        distinct[k] = 1 + np.count_nonzero(mine[1:] != mine[:-1])
-    for some, scheme, at in ((distinct < LONG * OVERLAP, short_keys, 0), (distinct >= LONG, long_keys, 2)):
-        if some.any():
-            keys, sign = scheme(hashes[np.repeat(some, counts)], counts[some])
-            packed, signs_, width = pack(keys.ravel()), sign.tobytes(), KEY_BYTES * BANDS
-            for n, k in enumerate(np.flatnonzero(some).tolist()):
-                out[at][k], out[at + 1][k] = packed[width * n : width * (n + 1)], signs_[8 * n : 8 * n + 8]
+    out: Sketch = ([None] * len(lines), [None] * len(lines), [None] * len(lines), [None] * len(lines))
+    begin = 0
+    for part in parts(lines, CHUNK_CHARS):
+        hashes, counts = shingle_hashes(part)
+        distinct = distinct_shingles((hashes >> np.uint64(32)).astype(np.uint32), counts)
+        for some, scheme, at in ((distinct < LONG * OVERLAP, short_keys, 0), (distinct >= LONG, long_keys, 2)):
+            if some.any():
+                keys, sign = scheme(hashes[np.repeat(some, counts)], counts[some])
+                packed, signs_, width = pack(keys.ravel()), sign.tobytes(), KEY_BYTES * BANDS
+                for n, k in enumerate((begin + np.flatnonzero(some)).tolist()):
+                    out[at][k], out[at + 1][k] = packed[width * n : width * (n + 1)], signs_[8 * n : 8 * n + 8]
+        begin += len(part)
     return out
 
 
@@ -178,13 +214,7 @@ def items(docs: DataFrame) -> DataFrame:
                     for k, x in enumerate(text.split("\n")):
                         if x := x.strip():
                             found.setdefault(x, []).append((doc, row, k))
-            lines, begin = list(found), 0
-            while begin < len(lines):
-                end, size = begin, 0
-                while end < len(lines) and size < CHUNK_CHARS:
-                    size += len(lines[end])
-                    end += 1
-                part = lines[begin:end]
+            for part in parts(list(found), RECORD_CHARS):
                 places = [sorted(found[x]) if len(found[x]) > 1 else found[x] for x in part]
                 sketch = band_keys(part)
                 yield pa.RecordBatch.from_arrays(
@@ -198,7 +228,6 @@ def items(docs: DataFrame) -> DataFrame:
                     ],
                     names=["doc", "row", "line", "n", "places", "keys", "sign", "long_keys", "long_sign"],
                 )
-                begin = end
 
     return numbered(docs, F.col("doc_id").cast("long"), "text").mapInArrow(bounded(run), ITEMS)
 
