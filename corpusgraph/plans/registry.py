@@ -15,6 +15,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function under its name, with the SQL that gives the same rows."""
 
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are called {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from corpusgraph.plans import answers, ranking, registry, relational, retrieval, selection  # noqa: F401
+from corpusgraph.plans import answers, ranking, registry, relational, retrieval, selection, understanding  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
