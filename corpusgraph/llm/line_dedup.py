@@ -73,8 +73,8 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct_shingles(upper: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """How many distinct hashes each line has; of a line that has more than are of interest, less may be told, but no
-    fewer than `LONG * OVERLAP`."""
+    """How many distinct hashes each line has, as far as schemes are chosen by it: a line of fewer than `LONG` shingles has
+    them all counted, repeats too, and of one that has `LONG * OVERLAP` or more, no fewer than that may be told."""
     begins, distinct = np.cumsum(counts) - counts, counts.copy()
     filled = np.zeros(len(counts) * SLOTS, np.uint8)
     filled[np.repeat(np.arange(0, len(filled), SLOTS), counts) + (upper % np.uint32(SLOTS))] = 1

@@ -232,6 +232,22 @@ def test_line_dedup_is_brute_force(spark, docs):
     assert sorted(map(tuple, queries.op5_line_dedup(spark, SF).collect())) == want
 
 
+def test_shingles_and_their_distinct_numbers_are_brute_force():
+    r = random.Random(5)
+    lines = ["a", "abcdefg", "abcdefgh", "-" * 80, "-" * 140, "ha " * 300, "日本語" * 50, "é" * 7]
+    lines += ["".join(r.choice("abcdefgh \u00e9") for _ in range(n)) for n in (7, 8, 95, 102, 103, 126, 127, 130, 400, 1000, 30_000)] + ["xy" * 200]
+    hashes, counts = line_dedup.shingle_hashes(lines)
+    sets = [[x[k : k + 8] for k in range(max(1, len(x) - 7))] for x in lines]
+    assert counts.tolist() == [len(x) for x in sets]
+    told = dict(zip((y for x in sets for y in x), hashes.tolist(), strict=True))
+    assert hashes.tolist() == [told[y] for x in sets for y in x] and len(set(told.values())) == len(told)
+    distinct = line_dedup.distinct_shingles((hashes >> np.uint64(32)).astype(np.uint32), counts)
+    for n, x in zip(distinct.tolist(), sets, strict=True):
+        true, least = len(set(x)), line_dedup.LONG * line_dedup.OVERLAP
+        assert n == len(x) if len(x) < line_dedup.LONG else n <= true
+        assert (n >= least) == (true >= least) and (n >= line_dedup.LONG) == (true >= line_dedup.LONG)
+
+
 def meet(a, b):
     """Whether two lines share a key of a scheme in which their signatures are alike."""
     sketch = line_dedup.band_keys([a, b])
