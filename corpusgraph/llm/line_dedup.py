@@ -77,8 +77,8 @@ def distinct_shingles(upper: np.ndarray, counts: np.ndarray) -> np.ndarray:
     them all counted, repeats too, and of one that has `LONG * OVERLAP` or more, no fewer than that may be told."""
     begins, distinct = np.cumsum(counts) - counts, counts.copy()
     filled = np.zeros(len(counts) * SLOTS, np.uint8)
-    filled[np.repeat(np.arange(0, len(filled), SLOTS), counts) + (upper % np.uint32(SLOTS))] = 1
-    slots = filled.reshape(-1, SLOTS).sum(axis=1, dtype=np.uint16).astype(np.int64)
+    filled[np.repeat(np.arange(0, len(filled), SLOTS), counts) + (upper & np.uint32(SLOTS - 1))] = 1
+    slots = np.bitwise_count(filled.view(np.uint64).reshape(-1, SLOTS // 8)).sum(axis=1, dtype=np.uint16).astype(np.int64)
     sure = slots >= LONG * OVERLAP
     distinct[sure] = slots[sure]
     for k in np.flatnonzero(~sure & (counts >= LONG)).tolist():
@@ -101,8 +101,9 @@ def joined(minima: np.ndarray, salt: int) -> np.ndarray:
 
 def signs(minima: np.ndarray, bit: int) -> np.ndarray:
     """A bit of each minimum of a line (line, place), packed to a number."""
-    bits = ((minima >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(np.pad(bits, ((0, 0), (0, 64 - BINS))), axis=1).view("<u8").ravel()
+    bits = np.zeros((len(minima), 64), np.uint8)
+    bits[:, :BINS] = (minima >> np.uint64(bit)) & np.uint64(1)
+    return np.packbits(bits, axis=1).view("<u8").ravel()
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,10 +114,10 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def long_keys(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One permutation: the least hash of each bin; an empty bin takes that of the next full one. Bands take bins far
     apart. Keys and signatures."""
-    line = np.repeat(np.arange(len(counts)), counts)
-    bins = ((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
+    bins = (((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).view(np.int64)
+    bins += np.repeat(np.arange(0, len(counts) * BINS, BINS), counts)
     least = np.full(len(counts) * BINS, _EMPTY, np.uint32)
-    np.minimum.at(least, line * BINS + bins.astype(np.int64), hashes.astype(np.uint32))
+    np.minimum.at(least, bins, hashes.astype(np.uint32))
     least = least.reshape(-1, BINS)
     filled = least.astype(np.uint64)
     for step in range(1, BINS):
@@ -168,10 +169,9 @@ def band_keys(lines: list[str]) -> Sketch:
     return out
 
 
-def shingle_set(line: bytes) -> tuple[np.ndarray, bytes]:
-    """The set of shingles of a line, and its signature by as many hash functions as short lines have."""
-    hashes = np.unique(shingle_hashes([line.decode()])[0])
-    return hashes, short_keys(hashes, np.array([len(hashes)]))[1].tobytes()
+def shingle_set(line: bytes) -> np.ndarray:
+    """The set of shingles of a line."""
+    return np.unique(shingle_hashes([line.decode()])[0])
 
 
 def compare(contents: list[bytes], left: int):

@@ -8,7 +8,9 @@ exactly, and only links that join two components are given on: n - 1 at most for
 
 Chance links grow families, so a family beyond `block_bytes` of content is parted first by an exact prefix filter over
 the members of its sets, rarest first: passages that many share come last, and sets that may be near share a member
-before them. What is still large is cut into blocks by hash. Each block meets the family's pivots, a few members drawn
+before them. Sets that share one must also agree in size and in a signature of `SIGN_WORDS` words, else clusters that a
+short signature takes for alike hang together, and the more rows there are, the more. What is still large is cut into
+blocks by hash. Each block meets the family's pivots, a few members drawn
 by hash; what is linked to them directly or through others settles there, in one copy of each content. Then only members
 outside the largest component meet all blocks. A pair of different components has a member outside the largest, so no
 pair that could join components is left out, and near copies of one text cost in proportion to their number.
@@ -31,9 +33,14 @@ BLOCK_BYTES = 4_000_000
 #: Bytes of pivots, expected, that each block of a large family meets.
 PIVOT_BYTES = 100_000
 #: Counters of members, by hash, that order them for the prefix filter: the driver holds so many numbers.
-COUNTERS = 1 << 18
+COUNTERS = 1 << 20
 #: Sets compared with each other at a time; pivots of a bucket before it goes on to its family whole.
 ROWS, BUCKET_PIVOTS = 512, 512
+#: 64-bit words of a set's signature; by how many standard deviations more than expected its bits may differ, which a pair
+#: that is near exceeds with a chance of under 0.000001; sets of a group from which on it is parted by them.
+SIGN_WORDS, BEYOND, SIGNED = 8, 5.0, 512
+#: Pairs of signatures compared at a time.
+PAIRS = 100_000
 
 KEY_BYTES = 6
 
@@ -69,7 +76,10 @@ def alike_pairs(bucket: np.ndarray, sign: np.ndarray, alike: Alike) -> tuple[np.
         at = np.repeat(bucket - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
         pivot = np.repeat(pivots, sizes)
         begins = np.cumsum(sizes) - sizes
-        same = (at != pivot) & (alike(sign[at], sign[pivot]) if rounds < BUCKET_PIVOTS else open_[at] & ~joined[at])
+        if rounds < BUCKET_PIVOTS:
+            same = np.concatenate([alike(sign[at[k : k + PAIRS]], sign[pivot[k : k + PAIRS]]) for k in range(0, len(at), PAIRS)]) & (at != pivot)
+        else:
+            same = (at != pivot) & open_[at] & ~joined[at]
         us.append(at[same])
         vs.append(pivot[same])
         open_[pivots] = False
@@ -163,7 +173,7 @@ def bucket_edges(items: DataFrame, alike: Alike, words: int = 1) -> DataFrame:
         order = order[many]
         if not len(order):
             return
-        order = order[np.lexsort((id_[order], *sign[order].T, mark[order], key[order]))]
+        order = order[np.lexsort((id_[order], *sign[order, :2].T, mark[order], key[order]))]
         key, sign, mark, id_, first = key[order], sign[order], mark[order], id_[order], first[order]
         bucket = np.concatenate([[True], key[1:] != key[:-1]])
         leads = bucket | np.concatenate([[True], (mark[1:] != mark[:-1]) | (sign[1:] != sign[:-1]).any(axis=1)])
@@ -220,14 +230,43 @@ class Union:
 @dataclass(frozen=True)
 class Overlap:
     """How many members two sets must share. `near` takes the number shared and both sizes; of a set of n members, any
-    that is near shares one of the first n - least(n) + 1 members, in whatever order all sets have them."""
+    that is near shares one of the first n - least(n) + 1 members, in whatever order all sets have them; two sets of n and m
+    members that are near share fewest(n, m) at least."""
 
     near: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
     least: Callable[[np.ndarray], np.ndarray]
+    fewest: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def jaccard(similarity: float) -> Overlap:
-    return Overlap(lambda both, a, b: both >= similarity * (a + b - both) - 1e-9, lambda n: np.ceil(similarity * n - 1e-9).astype(np.int64))
+    return Overlap(lambda both, a, b: both >= similarity * (a + b - both) - 1e-9, lambda n: np.ceil(similarity * n - 1e-9).astype(np.int64), lambda a, b: np.ceil(similarity * (a + b) / (1 + similarity) - 1e-6).astype(np.int64))
+
+
+FACTORS = np.array([xxhash.xxh32_intdigest(b"signature", seed=k) | 1 for k in range(64 * SIGN_WORDS)], np.uint32)
+
+
+def signature(members: np.ndarray) -> np.ndarray:
+    """The size of a set, then a bit of the least member by each of 64 * `SIGN_WORDS` hash functions."""
+    upper = (members >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(FACTORS), 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(upper), 200):
+        np.minimum(least, (FACTORS[:, None] * upper[None, k : k + 200]).min(axis=1), out=least)
+    bits = np.packbits(((least >> np.uint32(10)) & np.uint32(1)).astype(np.uint8))
+    return np.concatenate([np.array([len(members)], np.uint64), bits.view(np.uint64)])
+
+
+def agreeing(overlap: Overlap) -> Alike:
+    """Whether sizes and signatures of two sets leave it possible that they share as many members as near ones do."""
+
+    def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        sizes = [x[:, 0].astype(np.int64) for x in (a, b)]
+        shared = overlap.fewest(*sizes)
+        chance = (1 - np.minimum(1, shared / np.maximum(1, sizes[0] + sizes[1] - shared))) / 2
+        most = len(FACTORS) * chance + BEYOND * np.sqrt(len(FACTORS) * chance * (1 - chance))
+        differ = np.bitwise_count(a[:, 1:] ^ b[:, 1:]).sum(axis=1, dtype=np.int64)
+        return (shared <= np.minimum(*sizes)) & (differ <= most)
+
+    return agree
 
 
 def bit_rows(sets: list[np.ndarray]) -> np.ndarray:
@@ -251,7 +290,7 @@ def bit_rows(sets: list[np.ndarray]) -> np.ndarray:
 
 def prefix_groups(sets: list[np.ndarray], overlap: Overlap) -> list[np.ndarray]:
     """Places of sets that may be linked, directly or through others, by prefix filtering over members ordered by how
-    rare they are."""
+    rare they are, and where that leaves crowds, by signatures too."""
     sizes = np.array([len(x) for x in sets], np.int64)
     _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(count), np.int64)
@@ -275,6 +314,14 @@ def prefix_groups(sets: list[np.ndarray], overlap: Overlap) -> list[np.ndarray]:
         if (new == label).all():
             break
         label = new
+    crowded = np.bincount(label, minlength=len(sets))[label] > SIGNED
+    if crowded.any():
+        some = np.flatnonzero(crowded)
+        kept = crowded[owner]
+        member, at = member[kept], (np.cumsum(crowded) - 1)[owner[kept]]
+        begins = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]]))
+        u, v = alike_pairs(begins, np.stack([signature(sets[k]) for k in some.tolist()])[at], agreeing(overlap))
+        label[some] = some[settle(len(some), at[u], at[v])]
     order = np.argsort(label, kind="stable")
     cuts = np.flatnonzero(np.diff(label[order])) + 1
     return [x for x in np.split(order, cuts) if len(x) > 1]
@@ -465,9 +512,9 @@ def _compared(groups: DataFrame, compare: Compare) -> DataFrame:
 
 @dataclass(frozen=True)
 class Sets:
-    """What an operator's contents are: the sorted set of each content, with a signature for `alike`; and how near sets are."""
+    """What an operator's contents are: the sorted set of each content; and how near sets are."""
 
-    members: Callable[[bytes], tuple[np.ndarray, bytes]]
+    members: Callable[[bytes], np.ndarray]
     overlap: Overlap
 
 
@@ -475,10 +522,10 @@ def _counters(large: DataFrame, sets: Sets) -> np.ndarray:
     """How many contents hold a member, by its hash; a task sends one array, and the driver holds their sum."""
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                total += np.bincount((sets.members(data)[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(total, (sets.members(data) % np.uint64(COUNTERS)).astype(np.int64), 1)
         if total.any():
             pieces = np.split(total, 16)
             yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], names=["piece", "data"])
@@ -487,7 +534,7 @@ def _counters(large: DataFrame, sets: Sets) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[piece] = total.get(piece, 0) + np.frombuffer(data, np.int64)
+                total[piece] = total.get(piece, 0) + np.frombuffer(data, np.uint32).astype(np.int64)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "data"])
 
@@ -499,22 +546,24 @@ def _counters(large: DataFrame, sets: Sets) -> np.ndarray:
     return whole.ravel()
 
 
-def _parted(large: DataFrame, sets: Sets, alike: Alike, words: int) -> DataFrame:
-    """(id, comp): smaller families of `large` (family, id, data), by what sets must share at least."""
+def _parted(large: DataFrame, sets: Sets) -> DataFrame:
+    """(id, comp): smaller families of `large` (family, id, data), by what sets must share at least. A member that no other
+    content holds gives no key."""
     counters = large.sparkSession.sparkContext.broadcast(np.minimum(_counters(large, sets), 0xFFFFFFFF).astype(np.uint32))
 
     def keys(batches):
         for batch in batches:
             out, signs = [], []
             for family, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                members, sign = sets.members(data)
-                order = np.lexsort((members, counters.value[(members % np.uint64(COUNTERS)).astype(np.int64)]))
-                first = members[order[: len(members) - int(sets.overlap.least(np.array([len(members)]))[0]) + 1]]
+                members = sets.members(data)
+                held = counters.value[(members % np.uint64(COUNTERS)).astype(np.int64)]
+                order = np.lexsort((members, held))[: len(members) - int(sets.overlap.least(np.array([len(members)]))[0]) + 1]
+                first = members[order[held[order] > 1]]
                 out.append(pack((first ^ np.uint64(family)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)))
-                signs.append(sign)
+                signs.append(signature(members).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary()), pa.array(signs, pa.binary())], names=["id", "keys", "sign"])
 
-    return united(bucket_edges(large.select("family", "id", "data").mapInArrow(bounded(keys), "id long, keys binary, sign binary"), alike, words))
+    return united(bucket_edges(large.select("family", "id", "data").mapInArrow(bounded(keys), "id long, keys binary, sign binary"), agreeing(sets.overlap), 1 + SIGN_WORDS))
 
 
 def _large(held: DataFrame, block_bytes: int) -> DataFrame:
@@ -537,8 +586,8 @@ def link(items: DataFrame, alike: Alike, words: int, fetch: Callable[[DataFrame]
     if large.isEmpty():
         return components(_compared(as_small(held), compare))
     small = as_small(held.join(large, "family", "left_anti"))
-    held = held.join(large.select("family"), "family", "left_semi")
-    parted = durable(_parted(held, sets, alike, words), "parted")
+    held = durable(held.join(large.select("family"), "family", "left_semi").select("family", "id", "data"), "crowded")
+    parted = durable(_parted(held, sets), "parted")
     held = durable(held.select("id", "data").join(parted, "id").select(F.col("comp").alias("family"), "id", "data"), "parts")
     large = _large(held, block_bytes)
     if large.isEmpty():

@@ -9,7 +9,8 @@ longer) of at least 0.8. Alignment alone decides; what comes before it only leav
 * of a bucket, documents whose word counts differ too much, or whose signatures (112 bits of minima over labelled word
   pairs) agree too little. An edit takes two word pairs at most, so aligned texts share at least 0.6 of them, and so
   much of a signature with a chance of over 0.999;
-* of a family, pairs that share fewer labelled word pairs, or labelled words, than the edits allow, which is exact.
+* of a family, pairs that share fewer labelled words, or labelled word pairs, than the edits allow, which is exact, and in
+  large ones those whose signatures of labelled words (512 bits) agree less than all but one in a million such pairs do.
 
 Words are what white space separates. Exact copies are one text with one sketch: they join their class by a digest
 of the whole text, whatever their number.
@@ -191,12 +192,12 @@ def _near_words(both, a, b):
     return both >= longer - np.floor((1 - SIMILARITY) * longer + 1e-9)
 
 
-WORD_PAIRS = Overlap(_near, lambda n: np.maximum(1, np.ceil((2 * SIMILARITY - 1) * n - 2 * (1 - SIMILARITY) - 1e-9)).astype(np.int64))
+LABELLED_WORDS = Overlap(_near_words, lambda n: np.ceil(SIMILARITY * n - 1e-9).astype(np.int64), lambda a, b: np.ceil(SIMILARITY * np.maximum(a, b) - 1e-9).astype(np.int64))
 
 
-def pair_set(content: bytes) -> tuple[np.ndarray, bytes]:
-    words = np.frombuffer(content, np.uint64)
-    return np.unique(word_pairs(words)), sign(words)
+def word_set(content: bytes) -> np.ndarray:
+    """The labelled words of a text, which an edit changes one of: aligned texts share 0.8 of the longer's."""
+    return np.unique(labelled(shingles(np.frombuffer(content, np.uint64), 1)))
 
 
 def compare(contents: list[bytes], left: int):
@@ -206,8 +207,8 @@ def compare(contents: list[bytes], left: int):
     def aligned(i: int, j: int) -> bool:
         return banded_distance(words[i].tolist(), words[j].tolist(), most_edits(max(len(words[i]), len(words[j])))) is not None
 
-    also = [np.unique(labelled(w)) for w in words], _near_words
-    yield from exact_links([np.unique(word_pairs(w)) for w in words], WORD_PAIRS, aligned, left, also)
+    also = [np.unique(word_pairs(w)) for w in words], _near
+    yield from exact_links([word_set(x) for x in contents], LABELLED_WORDS, aligned, left, also)
 
 
 # ---------------------------------------------------------------- DataFrames
@@ -259,7 +260,7 @@ def members(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     groups = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"), F.any_value("sign").alias("sign"))
     items = durable(groups.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "copies", "keys", "sign"), "items")
-    comps = link(items, alike, 2, lambda ids: fetch_words(docs, items.select("id", F.col("first.row").alias("row")).join(ids, "id")), compare, Sets(pair_set, WORD_PAIRS))
+    comps = link(items, alike, 2, lambda ids: fetch_words(docs, items.select("id", F.col("first.row").alias("row")).join(ids, "id")), compare, Sets(word_set, LABELLED_WORDS))
     named = durable(items.select("id", "h1", "h2", "first", "copies").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "named")
     sized = named.groupBy("comp").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
     of_text = named.select("h1", "h2", "comp").join(sized, "comp").select("h1", "h2", F.col("first.doc_id").alias("class_id"), "class_size", F.col("first.row").alias("first"))

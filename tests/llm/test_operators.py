@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 import zstandard
 from tokenizers import Tokenizer
 
@@ -305,6 +306,56 @@ def test_exact_links(monkeypatch, rows):
         assert len(links) == len(sets) - len({u.find(i) for i in range(len(sets))})
 
 
+def crowd(seed):
+    """600 sets at a similarity of some 0.5 that share their rarest members, and 30 near copies of some of them."""
+    rng = random.Random(seed)
+    sets = [set(rng.sample(range(300), 200)) for _ in range(600)]
+    near = [(rng.randrange(600), 600 + k) for k in range(30)]
+    sets += [sets[k] ^ set(rng.sample(range(300), 15)) for k, _ in near]
+    hashes = [xxhash.xxh64_intdigest(str(k)) for k in range(300)]
+    return [np.array(sorted(hashes[k] for k in x), np.uint64) for x in sets], near
+
+
+def test_crowds_that_share_members_are_parted():
+    sets, near = crowd(4)
+    groups = lsh.prefix_groups(sets, lsh.jaccard(0.8))
+    of = {k: n for n, group in enumerate(groups) for k in group.tolist()}
+    assert max(map(len, groups)) < 20
+    assert all(of[a] == of[b] for a, b in near if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])))
+
+
+def test_large_families_of_unlike_sets_are_parted(spark):
+    sets, near = crowd(5)
+    held = spark.createDataFrame([(1, k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "family long, id long, data binary")
+    parted = lsh._parted(held, lsh.Sets(lambda data: np.frombuffer(data, np.uint64), lsh.jaccard(0.8)))
+    of = {r.id: r.comp for r in parted.collect()}
+    assert max(Counter(of.values()).values()) < 20
+    assert all(of[a] == of[b] for a, b in near if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])))
+
+
+def test_signatures_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for overlap in (lsh.jaccard(0.8), order_minhash.LABELLED_WORDS):
+        for n in (10, 100, 400):
+            for _ in range(100):
+                shared = int(overlap.fewest(np.int64(n), np.int64(n)))
+                assert overlap.near(np.int64(shared), np.int64(n), np.int64(n)) and not overlap.near(np.int64(shared - 1), np.int64(n), np.int64(n))
+                x = rng.integers(0, 1 << 63, 2 * n - shared).astype(np.uint64)
+                a, b = lsh.signature(x[:n]), lsh.signature(np.concatenate([x[:shared], x[n:]]))
+                assert lsh.agreeing(overlap)(a[None], b[None]).all()
+
+
+def test_crowds_of_texts_are_parted_by_words():
+    rng, known = random.Random(6), order_minhash.WordHash()
+    frame = [f"w{k}" for k in range(60)]
+    texts = [" ".join(w if k % 3 else f"{w}x{n}" for k, w in enumerate(frame)) for n in range(600)]
+    texts += [x.replace(f"w{rng.choice([1, 2, 4, 5])} ", "other ") for x in texts[:20]]
+    contents = [order_minhash.word_hashes(x, known).tobytes() for x in texts]
+    groups = lsh.prefix_groups([order_minhash.word_set(x) for x in contents], order_minhash.LABELLED_WORDS)
+    assert max(map(len, groups)) == 2
+    assert {tuple(sorted(x)) for x in order_minhash.compare(contents, len(contents))} == {(k, 600 + k) for k in range(20)}
+
+
 def test_left_sets_meet_all():
     rng = random.Random(2)
     base = [{rng.randrange(200) for _ in range(20)} for _ in range(3)]
