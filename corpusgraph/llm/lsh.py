@@ -8,9 +8,11 @@ exactly, and only links that join two components are given on: n - 1 at most for
 
 Chance links grow families, so a family beyond `block_bytes` of content is parted first by an exact prefix filter over
 the members of its sets, rarest first: passages that many share come last, and sets that may be near share a member
-before them. Sets that share one must also agree in size and in a signature of `SIGN_WORDS` words, else clusters that a
-short signature takes for alike hang together, and the more rows there are, the more. What is still large is cut into
-blocks by hash. Each block meets the family's pivots, a few members drawn
+before them. Sets that share one must leave room for as many members as near sets share: all that two sets share come,
+in either, from the first shared one on. A copy with many members of its own, which come first, so meets hardly any other,
+even where signatures leave a link possible. Sets must also agree in size and in a signature of `SIGN_WORDS` words, else
+clusters that a short signature takes for alike hang together, and the more rows there are, the more. What is still large
+is cut into blocks by hash. Each block meets the family's pivots, a few members drawn
 by hash; what is linked to them directly or through others settles there, in one copy of each content. Then only members
 outside the largest component meet all blocks. A pair of different components has a member outside the largest, so no
 pair that could join components is left out, and near copies of one text cost in proportion to their number.
@@ -120,13 +122,16 @@ def unpacked_edges(batches) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def bucket_edges(items: DataFrame, alike: Alike, words: int = 1) -> DataFrame:
+def bucket_edges(items: DataFrame, alike: Alike, words: int = 1, overlap: Overlap | None = None) -> DataFrame:
     """Packed edges that make families of alike items of a bucket. A task holds 14 bytes and the signature of `words`
     64-bit words for each key of its partition.
 
     Items of the same keys and signature (by a digest of 32 bits, within a bucket and signature) are a class, led by its
     least id. Leaders meet in each bucket; the rest of a class meets its leader, the same in each of their buckets, only in
     the first. The lowest bit of a key that travels marks an item's first; it takes no part in comparisons.
+
+    With `overlap`, keys are members of sets in their order, the last of them `least` members from a set's end, and a signature
+    begins with the set's size: a key then travels with the number of members from it on, and pairs must have room.
     """
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -141,6 +146,9 @@ def bucket_edges(items: DataFrame, alike: Alike, words: int = 1) -> DataFrame:
             first[(np.cumsum(counts) - counts)[counts > 0]] = 1
             keys, base = unpack(b"".join(packed)) & ~np.uint64(1) | first, int(ids.min())
             signs = np.repeat(np.frombuffer(b"".join(sign), "<u8").reshape(-1, words), counts, axis=0)
+            if overlap:
+                ends, least = np.cumsum(counts), overlap.least(signs[np.cumsum(counts)[counts > 0] - 1, 0].astype(np.int64))
+                signs[:, 0] |= (np.repeat(ends[counts > 0] - 1 + least, counts[counts > 0]) - np.arange(len(signs))).astype(np.uint64) << np.uint64(32)
             marks = np.repeat(np.array([xxhash.xxh32_intdigest(x + s) for x, s in zip(packed, sign, strict=True)], "<u4"), counts)
             places = np.repeat(ids - base, counts)
             places = places.astype("<u4" if int(ids.max()) - base < 1 << 32 else "<u8")
@@ -177,10 +185,16 @@ def bucket_edges(items: DataFrame, alike: Alike, words: int = 1) -> DataFrame:
         key, sign, mark, id_, first = key[order], sign[order], mark[order], id_[order], first[order]
         bucket = np.concatenate([[True], key[1:] != key[:-1]])
         leads = bucket | np.concatenate([[True], (mark[1:] != mark[:-1]) | (sign[1:] != sign[:-1]).any(axis=1)])
-        leader = np.flatnonzero(leads)
-        u, v = alike_pairs(np.flatnonzero(bucket[leader]), sign[leader], alike)
-        rest = np.flatnonzero(first & ~leads)
-        u, v = np.concatenate([id_[leader[u]], id_[rest]]), np.concatenate([id_[leader[v]], id_[leader[np.cumsum(leads)[rest] - 1]]])
+        leader, rest = np.flatnonzero(leads), np.flatnonzero(first & ~leads)
+        led = id_[leader[np.cumsum(leads)[rest] - 1]]
+        if overlap:
+            signed = sign[leader]
+            left = (signed[:, 0] >> np.uint64(32)).astype(np.int64)
+            signed[:, 0] &= np.uint64(0xFFFFFFFF)
+            u, v = roomy_pairs(np.cumsum(bucket[leader]), left, signed, alike, overlap)
+        else:
+            u, v = alike_pairs(np.flatnonzero(bucket[leader]), sign[leader], alike)
+        u, v = np.concatenate([id_[leader[u]], id_[rest]]), np.concatenate([id_[leader[v]], led])
         nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
         label = settle(len(nodes), place[: len(u)], place[len(u) :])
         u = np.flatnonzero(label != np.arange(len(nodes)))
@@ -269,6 +283,65 @@ def agreeing(overlap: Overlap) -> Alike:
     return agree
 
 
+def roomy_pairs(bucket: np.ndarray, left: np.ndarray, sign: np.ndarray, alike: Alike, overlap: Overlap) -> tuple[np.ndarray, np.ndarray]:
+    """alike_pairs() of sets with `left` members each from the bucket's member on. A pair that is near has so many in common at
+    most, or meets in the bucket of a member before; signatures begin with sizes.
+
+    A pivot meets only sets of sizes for which it has room. Sets with the smallest share of rarer members, originals before
+    their copies, are pivots first: 8, then 16, 32, ... of those outside the bucket's largest component so far. A bucket that
+    costs more than `BUCKET_PIVOTS` that meet it whole links what is left to that component: contents decide.
+    """
+    size = sign[:, 0].astype(np.int64)
+    order = np.lexsort((size, bucket))
+    size, left, sign = size[order], left[order], sign[order]
+    new = np.concatenate([[True], np.diff(bucket[order]) != 0])
+    begins, of = np.flatnonzero(new), np.cumsum(new) - 1
+    ends = np.append(begins[1:], len(size))
+
+    def first(low: np.ndarray, high: np.ndarray, beyond: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """For each set the first place from low to high where the size is beyond a bound, else high."""
+        while (going := low < high).any():
+            middle = (low + high) // 2
+            found = beyond(size[np.minimum(middle, len(size) - 1)])
+            low, high = np.where(going & ~found, middle + 1, low), np.where(going & found, middle, high)
+        return high
+
+    least = overlap.least(size)
+    low = first(begins[of], ends[of], lambda x: x >= least)
+    high = first(begins[of], ends[of], lambda x: overlap.fewest(size, x) > left)
+    label, waiting, spent = np.arange(len(size)), np.ones(len(size), bool), np.zeros(len(begins))
+    turn = np.lexsort(((size - left) / np.maximum(1, size), of))
+    us, vs, step = [], [], 8
+    pivots = turn[np.arange(len(size)) - begins[of] < step]
+    while len(pivots):
+        waiting[pivots] = False
+        width = np.maximum(high[pivots] - low[pivots], 0)
+        spent += np.bincount(of[pivots], width, len(begins))
+        done = np.cumsum(width)
+        cuts = np.unique(np.searchsorted(done, np.arange(0, int(done[-1]) + PAIRS, PAIRS), "right"))
+        now = len(us)
+        for a, b in zip(np.append(0, cuts), np.append(cuts, len(pivots)), strict=True):
+            some, wide = pivots[a:b], width[a:b]
+            pivot = np.repeat(some, wide)
+            at = np.repeat(low[some] - (np.cumsum(wide) - wide), wide) + np.arange(len(pivot))
+            kept = np.flatnonzero((at != pivot) & (overlap.fewest(size[at], size[pivot]) <= np.minimum(left[at], left[pivot])))
+            at, pivot = at[kept], pivot[kept]
+            same = np.concatenate([alike(sign[at[k : k + PAIRS]], sign[pivot[k : k + PAIRS]]) for k in range(0, len(at), PAIRS)]) if len(at) else np.zeros(0, bool)
+            us.append(at[same])
+            vs.append(pivot[same])
+        u, v = np.concatenate(us[now:]), np.concatenate(vs[now:])
+        label = settle(len(size), label[u], label[v])[label]
+        largest = label[np.lexsort((label, np.bincount(label, minlength=len(size))[label], of))[ends - 1]]
+        waits = turn[(waiting & (label != largest[of]))[turn]]
+        dear = spent[of[waits]] >= BUCKET_PIVOTS * (ends - begins)[of[waits]]
+        us.append(waits[dear])
+        vs.append(largest[of[waits[dear]]])
+        waits = waits[~dear]
+        step *= 2
+        pivots = waits[np.arange(len(waits)) - np.searchsorted(of[waits], of[waits]) < step]
+    return order[np.concatenate(us)], order[np.concatenate(vs)]
+
+
 def bit_rows(sets: list[np.ndarray]) -> np.ndarray:
     """A row of uint64 words for each sorted set; members that only one set has are left out: they are in no intersection."""
     sizes = np.array([len(x) for x in sets])
@@ -300,9 +373,9 @@ def prefix_groups(sets: list[np.ndarray], overlap: Overlap) -> list[np.ndarray]:
     order = np.lexsort((member, owner))
     within = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     kept = within < np.repeat(sizes - overlap.least(sizes) + 1, sizes)
-    member, owner = member[order][kept], owner[kept]
+    member, owner, left = member[order][kept], owner[kept], (np.repeat(sizes, sizes) - within)[kept]
     order = np.argsort(member, kind="stable")
-    member, owner = member[order], owner[order]
+    member, owner, left = member[order], owner[order], left[order]
     begins = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]]))
     each = np.diff(np.append(begins, len(member)))
     label = np.arange(len(sets))
@@ -319,8 +392,7 @@ def prefix_groups(sets: list[np.ndarray], overlap: Overlap) -> list[np.ndarray]:
         some = np.flatnonzero(crowded)
         kept = crowded[owner]
         member, at = member[kept], (np.cumsum(crowded) - 1)[owner[kept]]
-        begins = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]]))
-        u, v = alike_pairs(begins, np.stack([signature(sets[k]) for k in some.tolist()])[at], agreeing(overlap))
+        u, v = roomy_pairs(member, left[kept], np.stack([signature(sets[k]) for k in some.tolist()])[at], agreeing(overlap), overlap)
         label[some] = some[settle(len(some), at[u], at[v])]
     order = np.argsort(label, kind="stable")
     cuts = np.flatnonzero(np.diff(label[order])) + 1
@@ -563,7 +635,7 @@ def _parted(large: DataFrame, sets: Sets) -> DataFrame:
                 signs.append(signature(members).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary()), pa.array(signs, pa.binary())], names=["id", "keys", "sign"])
 
-    return united(bucket_edges(large.select("family", "id", "data").mapInArrow(bounded(keys), "id long, keys binary, sign binary"), agreeing(sets.overlap), 1 + SIGN_WORDS))
+    return united(bucket_edges(large.select("family", "id", "data").mapInArrow(bounded(keys), "id long, keys binary, sign binary"), agreeing(sets.overlap), 1 + SIGN_WORDS, sets.overlap))
 
 
 def _large(held: DataFrame, block_bytes: int) -> DataFrame:

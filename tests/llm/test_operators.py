@@ -333,6 +333,42 @@ def test_large_families_of_unlike_sets_are_parted(spark):
     assert all(of[a] == of[b] for a, b in near if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])))
 
 
+def loose_copies(seed, n):
+    """An original of 400 members and n copies with 60 members of their own in place of its, at a similarity of 0.74 to it."""
+    rng = random.Random(seed)
+    base = [xxhash.xxh64_intdigest(str(k)) for k in range(400)]
+    return [np.array(sorted(base), np.uint64)] + [np.array(sorted(rng.sample(base, 340) + [rng.getrandbits(63) for _ in range(60)]), np.uint64) for _ in range(n)]
+
+
+def test_loose_copies_of_an_original_are_no_group(spark):
+    sets = loose_copies(7, 600)
+    near = [np.append(x[:-20], rng) for x, rng in zip(sets[1:31], np.random.default_rng(1).integers(0, 1 << 63, (30, 20)).astype(np.uint64), strict=True)]
+    sets += [np.sort(x) for x in near]
+    groups = lsh.prefix_groups(sets, lsh.jaccard(0.8))
+    assert sorted(tuple(sorted(x.tolist())) for x in groups) == [(k, 600 + k) for k in range(1, 31)]
+    held = spark.createDataFrame([(1, k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "family long, id long, data binary")
+    parted = lsh._parted(held, lsh.Sets(lambda data: np.frombuffer(data, np.uint64), lsh.jaccard(0.8)))
+    assert {r.id: r.comp for r in parted.collect()} == {x: k for k in range(1, 31) for x in (k, 600 + k)}
+
+
+@pytest.mark.parametrize("pivots", [1, 512])
+def test_crowds_lose_no_near_pair(monkeypatch, pivots):
+    monkeypatch.setattr(lsh, "BUCKET_PIVOTS", pivots)
+    monkeypatch.setattr(lsh, "SIGNED", 1)
+    rng = random.Random(8)
+    for overlap in (lsh.jaccard(0.8), order_minhash.LABELLED_WORDS):
+        sets = []
+        for base in ([rng.getrandbits(63) for _ in range(n)] for n in (5, 30, 60, 60)):
+            for _ in range(40):
+                own = rng.randrange(len(base) // 3 + 1)
+                sets.append(np.array(sorted(set(rng.sample(base, len(base) - rng.randrange(own + 1))) | {rng.getrandbits(63) for _ in range(rng.randrange(own + 1))}), np.uint64))
+        of = {k: n for n, group in enumerate(lsh.prefix_groups(sets, overlap)) for k in group.tolist()}
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if overlap.near(np.int64(len(np.intersect1d(a, b))), np.int64(len(a)), np.int64(len(b))):
+                    assert of[i] == of[j]
+
+
 def test_signatures_keep_pairs_at_the_threshold():
     rng = np.random.default_rng(3)
     for overlap in (lsh.jaccard(0.8), order_minhash.LABELLED_WORDS):
