@@ -21,7 +21,7 @@ import re
 import struct
 import uuid
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,14 +38,17 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK = 0x184D2A50, 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 WITH_CHECKSUMS = 0x80
 LEVEL = 3
-#: Cached pieces and words of a worker; beyond it the cache starts anew.
-CACHE_ENTRIES = 600_000
+#: Cached pieces of a worker; beyond it those go that weren't used for longest.
+CACHE_ENTRIES = 1_000_000
 
 
 # ---------------------------------------------------------------- encoding
 
-#: One run of Latin letters that no normalisation step of the tokenizer joins with a neighbour, maybe a stop after it.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: One run of Latin letters that no normalisation step of the tokenizer joins with a neighbour, maybe marks after it, which are
+#: a token's run of their own; an apostrophe begins other tokens.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: A stop that belongs to a run of marks.
+MARKED = re.compile(r"[.,](?<=[^\w ][.,]|_[.,]) ")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -55,6 +58,23 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b if b in visible else next(spare)) for b in range(256)}
 
 
+class Remembered(dict):
+    """What `make` gives for each key, in two generations: a key that is asked for is in the younger one. If that has half of
+    `limit` entries, it becomes the older one, and the older one goes."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        self.make, self.half, self.old = make, max(1, limit // 2), {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (value := self.old.get(key)) is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class CachedEncoder:
     """Whole texts to ids with the tokenizers library, each distinct space-separated piece once.
 
@@ -69,41 +89,43 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.limit = limit
         self.chars = str.maketrans({chr(b): c for b, c in _byte_chars().items() if chr(b) != c})
-        self.stops = {x: self.whole([x])[0] if x else b"" for x in ("", ".", ",")}
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        if hasattr(self.model, "_resize_cache"):  # a word comes once, so the library needn't remember it too
+            self.model._resize_cache(0)
+        self.pieces, self.marks = Remembered(self.piece, limit), Remembered(self.whole, limit)
 
-    def whole(self, pieces: list[str]) -> list[bytes]:
-        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    def whole(self, piece: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes() if piece else b""
 
     def word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.chars)
-            ids = self.words[word] = array(self.kind, [x.id for x in self.model.tokenize(shown)]).tobytes()
-        return ids
-
-    def learn(self, pieces: set[str]) -> None:
-        rest = []
-        for p in pieces:
-            if m := PLAIN.fullmatch(p):
-                self.pieces[p] = self.word(m[1].lower()) + self.stops[m[2]]
-            else:
-                rest.append(p)
-        for k in range(0, len(rest), 10_000):
-            self.pieces.update(zip(part := rest[k : k + 10_000], self.whole(part), strict=True))
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.chars)
+        return array(self.kind, [x.id for x in self.model.tokenize(shown)]).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        if m := PLAIN.fullmatch(piece):
+            word, marks = m.groups()
+            if marks or not word.islower():
+                return self.pieces[word.lower()] + self.marks[marks]
+            return self.word(word)
+        return self.whole(piece)
 
     def encode(self, batch: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian bytes."""
         for text in batch:
-            found = text.replace("\n", " ").split(" ")
-            if new := set(found).difference(self.pieces):
-                if len(self.pieces) > self.limit:
-                    self.pieces, self.words = {"": b""}, {}
-                    new = set(found) - {""}
-                self.learn(new)
-            yield b"".join(map(self.pieces.__getitem__, found))
+            yield b"".join(map(self.pieces.__getitem__, self.plainer(text.replace("\n", " ")).split(" ")))
+
+    def plainer(self, text: str) -> str:
+        """A text of the same ids with fewer distinct pieces: lower case, stops apart from words. Only of Latin-1 characters,
+        which normalisation leaves alone but for their case, and without what may be a special token."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        if "<|" in text:
+            return text
+        text = text.lower()
+        return text if MARKED.search(text) else text.replace(". ", " . ").replace(", ", " , ")
 
 
 @lru_cache(maxsize=2)

@@ -104,6 +104,31 @@ def test_shard_format():
         token_store.ShardReader(io.BytesIO(b"x" * 40))
 
 
+def test_encoder_shares_pieces():
+    """Case, stops and marks don't make a word a new piece; runs of marks, special tokens and other letters stay as they are."""
+    encoder, whole = token_store.CachedEncoder(queries.WORD_TOKENIZER), Tokenizer.from_file(queries.WORD_TOKENIZER)
+    list(encoder.encode(["heather. Heather, HEATHER... heather%% heather"]))
+    made = []
+    word = encoder.word
+    encoder.word = lambda x: made.append(x) or word(x)
+    list(encoder.encode(["HEATHER. heather## (heather heather, heather"]))
+    assert not made
+    rng = random.Random(9)
+    odd = ["".join(rng.choice("abÀé.,, .. _'«²\xa0\x1c\x85µ1İſ %<|> \n ") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    odd += ["<|ENDOFTEXT|> a. b", "a<|endoftext|>, b", "a.. b. c", "_. x", "x's. it'. B", "%. a", "İ. a"]
+    for got, text in zip(encoder.encode(odd), odd, strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_remembered_keeps_what_is_used():
+    made = []
+    some = token_store.Remembered(lambda x: made.append(x) or x.encode(), 20)
+    for k in range(200):
+        assert some["often"] == b"often" and some[str(k)] == str(k).encode()
+        assert len(some) + len(some.old) <= 20
+    assert made.count("often") == 1
+
+
 def test_cached_encoder_agrees():
     encoder = token_store.CachedEncoder(queries.WORD_TOKENIZER, limit=10)
     texts = ["", "İstanbul ẞ ß ÀÉ", "Ⅷ é é", "a\tb　c\x1cd", "ΑΣ ΑΣ. it's DON'T", "<|endoftext|> x", "ab­c", "日本 漢字。", "word, Word. WORD word"]
