@@ -97,3 +97,29 @@ def test_betweenness_query_takes_the_whole_graph(spark, tmp_path):
             want[v] += flow[v] / len(sources) if v != s else 0
     got = {r.id: r.score for r in answers.betweenness_sampled(spark, str(tmp_path)).collect()}
     assert len(nodes) > 100 and got == {k: pytest.approx(v, abs=1e-5) for k, v in want.items()}
+
+
+def test_betweenness_moves_no_edges(spark, monkeypatch):
+    """Levels go to the edges, which stay where they were written; both ways of going give the same sums; pairs may repeat."""
+    rng = random.Random(5)
+    edges = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(90)})
+    pairs = spark.createDataFrame(edges * 2, "a long, b long")
+    monkeypatch.setattr(graph, "RUN", 3)
+    monkeypatch.setattr(graph, "tasks", lambda rows: 5)
+    ways = graph.neighbours(pairs)
+    front = spark.createDataFrame([(s, u, float(1 + s + u)) for s in (1, 2) for u in range(0, 40, 3)], "s long, u long, x double")
+    want: dict[tuple[int, int], float] = {}
+    for a, b in edges:
+        for u, v in ((a, b), (b, a)):
+            for s in (1, 2):
+                if u % 3 == 0:
+                    want[s, v] = want.get((s, v), 0.0) + 1 + s + u
+    sent = graph.gather(front, ways, 28)
+    assert "hashpartitioning" not in sent._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(graph, "SENT", 0)
+    dealt = graph.gather(front, ways, 28)
+    for found in (sent, dealt):
+        assert {(r.s, r.u): r.x for r in found.collect()} == want
+    sources = spark.createDataFrame([(0,), (7,)], "id long")
+    twice, once = ({r.id: r.score for r in graph.betweenness(p, sources).collect()} for p in (pairs, pairs.distinct()))
+    assert twice == {k: pytest.approx(v) for k, v in once.items()} and any(once.values())
