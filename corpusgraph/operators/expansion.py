@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..steps import tasks
 
 #: Discounts (fixed values) of what comes in by the graph and as a sibling; most that name matches multiply a score by.
 GRAPH_DISCOUNT, SIBLING_DISCOUNT = 0.6, 0.4
+#: Rows of a block of a large group, and pairs of a task (fixed values).
+BLOCK, TASK_PAIRS = 500, 5_000_000
 
 
 def recency_boost(score: Column, at: Column, now: Column, weight: float) -> Column:
@@ -38,6 +41,21 @@ def by_parent(ranked: DataFrame, rows: DataFrame, top: int = 5, each: int = 5) -
     return ranked.select("id", "score").union(more)
 
 
+def pairs_within(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """(key, other): every ordered pair of different keys of a group. Pairs are what grows, so groups are cut into blocks of
+    some `BLOCK` rows, each two of which meet in a cell, and cells dealt out to tasks of some `TASK_PAIRS` pairs."""
+    held = rows.select(key, *by).dropna(subset=by)
+    sizes = held.groupBy(*by).agg(F.count("*").alias("n"))
+    most = sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    crowded = sizes.where(F.col("n") > BLOCK).select(*by, F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    placed = held.join(F.broadcast(crowded), by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))  # a BLOCK-th of the rows at most
+    own, each = F.pmod(F.xxhash64(key), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    one = placed.select(key, *by, own.alias("x"), each.alias("y"))
+    two = placed.select(F.col(key).alias("other"), *by, each.alias("x"), own.alias("y"))
+    cell, n = [*by, "x", "y"], tasks(most, TASK_PAIRS)
+    return one.repartition(n, *cell).join(two.repartition(n, *cell).hint("shuffle_hash"), cell).where(F.col(key) != F.col("other")).select(key, "other")
+
+
 def without_tests(ranked: DataFrame, path: str, mode: str = "penalty", factor: float = 0.3) -> DataFrame:
     """Test files go (`exclude`) or count less (`penalty`)."""
     test = T.is_test_path(F.col(path))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import expansion
 from ..operators import quality as Q
 from ..tables import call_edges, chunks, memories, table
 from .registry import query
@@ -52,9 +53,7 @@ def file_members(spark, sf):
 
 @query("SELECT a.p_partkey AS id, b.p_partkey AS sibling FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey")
 def siblings(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    other = p.withColumnRenamed("p_partkey", "sibling")
-    return p.join(other, ["p_brand", "p_type", "p_size"]).where("p_partkey <> sibling").select(F.col("p_partkey").alias("id"), "sibling")
+    return expansion.pairs_within(table(spark, sf, "part"), "p_partkey", ["p_brand", "p_type", "p_size"]).select(F.col("p_partkey").alias("id"), F.col("other").alias("sibling"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE (l_returnflag = 'R' OR l_discount >= 0.09) AND NOT (l_linestatus = 'O') AND l_quantity > 45")

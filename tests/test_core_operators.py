@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
-from corpusgraph.operators import fusion, graph, memory, quality
+from corpusgraph.operators import expansion, fusion, graph, memory, quality
 from corpusgraph.sources import repository
 from corpusgraph.streaming import changes
 
@@ -186,3 +187,14 @@ def test_coverage_and_rate_limit(spark):
     events = spark.createDataFrame([("a", k, t) for k, t in enumerate(at)] + [("b", 9, 1)], "user string, id int, t int").withColumn("ts", F.timestamp_seconds("t"))
     got = {r.id: r.allowed for r in changes.allowed(events, "user", "ts", "id", 2, 10).collect()}
     assert got == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True, 6: False, 9: True}
+
+
+def test_pairs_within_crowded_groups(spark, monkeypatch):
+    """A group of any size is met by many tasks, each pair once; nulls meet nobody."""
+    monkeypatch.setattr(expansion, "BLOCK", 20)
+    monkeypatch.setattr(expansion, "TASK_PAIRS", 500)
+    rows = [(k, "a") for k in range(150)] + [(k, "b") for k in range(150, 160)] + [(160, "b"), (160, "b"), (161, "c"), (162, None), (163, None), (None, "b")]
+    met = expansion.pairs_within(spark.createDataFrame(rows, "id long, g string"), "id", ["g"]).withColumn("part", F.spark_partition_id()).collect()
+    want = sorted((a, b) for a, g in rows for b, h in rows if g is not None and g == h and None not in (a, b) and a != b)
+    assert sorted((r.id, r.other) for r in met) == want
+    assert max(Counter(r.part for r in met).values()) < len(met) / 10
