@@ -198,3 +198,16 @@ def test_pairs_within_crowded_groups(spark, monkeypatch):
     want = sorted((a, b) for a, g in rows for b, h in rows if g is not None and g == h and None not in (a, b) and a != b)
     assert sorted((r.id, r.other) for r in met) == want
     assert max(Counter(r.part for r in met).values()) < len(met) / 10
+
+
+def test_pairs_are_dealt_out_by_their_number(spark, monkeypatch):
+    """More edges are more tasks, not larger ones; nothing is gathered in a table before that."""
+    monkeypatch.setattr(graph, "tasks", lambda rows: rows // 100)
+    rng = random.Random(6)
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(3000)]
+    pairs = graph.undirected(spark.createDataFrame(edges, "src long, dst long"))
+    got = pairs.withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted({(min(e), max(e)) for e in edges if e[0] != e[1]})
+    assert max(Counter(r.part for r in got).values()) < len(got) / 10
+    want = Counter(x for p in {(min(e), max(e)) for e in edges if e[0] != e[1]} for x in p)
+    assert {r.id: r.degree for r in graph.degrees(pairs).collect()} == want
