@@ -220,8 +220,13 @@ WAYS = f"(SELECT a AS u, b AS v FROM {PAIRS} UNION ALL SELECT b, a FROM {PAIRS})
 MEMBERS = f"(SELECT DISTINCT u AS id, u % 7 AS community FROM {WAYS})"
 
 
+def _ends(edges):
+    """The ends of edges as pairs, which may repeat, without loops."""
+    return edges.where("src <> dst").toDF("a", "b")
+
+
 def _members(pairs):
-    return graph.both_ways(pairs).select(F.col("u").alias("id"), (F.col("u") % 7).alias("community")).distinct()
+    return graph.ends(pairs).select("id", (F.col("id") % 7).alias("community"))
 
 
 @query(f"SELECT u AS id, count(*) AS degree FROM {WAYS} GROUP BY u")
@@ -244,7 +249,7 @@ def cohesion(spark, sf):
 @query(f"SELECT x.community AS from_community, y.community AS to_community, count(*) AS n FROM {GRAPH} g JOIN {MEMBERS} x ON g.src = x.id JOIN {MEMBERS} y ON g.dst = y.id WHERE x.community <> y.community GROUP BY 1, 2")
 def cross_matrix(spark, sf):
     edges = links(spark, sf)
-    return graph.cross_matrix(edges, _members(graph.undirected(edges)))
+    return graph.cross_matrix(edges, _members(_ends(edges)))
 
 
 @query(f"""WITH d AS (SELECT u AS id, count(*) AS degree, u % 7 AS community, u % 3 AS dir FROM {WAYS} GROUP BY u)

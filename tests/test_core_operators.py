@@ -211,3 +211,11 @@ def test_pairs_are_dealt_out_by_their_number(spark, monkeypatch):
     assert max(Counter(r.part for r in got).values()) < len(got) / 10
     want = Counter(x for p in {(min(e), max(e)) for e in edges if e[0] != e[1]} for x in p)
     assert {r.id: r.degree for r in graph.degrees(pairs).collect()} == want
+
+
+def test_cross_matrix_sorts_no_edges(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 1), (4, 1)], "src long, dst long")
+    members = spark.createDataFrame([(1, 7), (2, 8), (3, 7)], "id long, community long")
+    found = graph.cross_matrix(edges, members)
+    assert sorted(tuple(r) for r in found.collect()) == [(7, 8, 2), (8, 7, 1)]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
