@@ -276,7 +276,7 @@ def _rounds(n: int) -> str:
 
 @query(_rounds(3))
 def communities_lpa(spark, sf):
-    return graph.propagate(graph.undirected(links(spark, sf)), 3)
+    return graph.propagate(_ends(links(spark, sf)), 3)
 
 
 @query("""WITH r AS (SELECT src, dst, count(*) AS w, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, dst) AS rn FROM """ + EDGES + """ GROUP BY src, dst), b AS (SELECT * FROM r WHERE rn <= 3), one AS (SELECT 2 AS parent, dst AS child FROM b WHERE src = 2)

@@ -213,6 +213,21 @@ def test_pairs_are_dealt_out_by_their_number(spark, monkeypatch):
     assert {r.id: r.degree for r in graph.degrees(pairs).collect()} == want
 
 
+def test_propagation_moves_no_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(graph, "RUN", 4)
+    rng = random.Random(8)
+    edges = sorted({tuple(sorted(rng.sample(range(50), 2))) for _ in range(120)})
+    label = {x: x for e in edges for x in e}
+    for _ in range(3):
+        votes = {x: Counter([label[x]]) for x in label}
+        for a, b in edges:
+            votes[a][label[b]] += 1
+            votes[b][label[a]] += 1
+        label = {x: min(v, key=lambda c: (-v[c], c)) for x, v in votes.items()}
+    found = graph.propagate(spark.createDataFrame([e[::-1] if k % 3 else e for k, e in enumerate(edges * 2)], "a long, b long"), 3)  # repeated, either way round
+    assert {r.id: r.community for r in found.collect()} == label
+
+
 def test_cross_matrix_sorts_no_edges(spark):
     edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 1), (4, 1)], "src long, dst long")
     members = spark.createDataFrame([(1, 7), (2, 8), (3, 7)], "id long, community long")
