@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -31,6 +32,13 @@ class Rule:
     def holds(self, path: Column, text: Column) -> Column:
         return T.any_of([path.rlike(self.path)] * bool(self.path) + [text.rlike(T.word_pattern(list(self.words)))] * bool(self.words))
 
+    def holds_among(self, path: Column, words: Column) -> Column:
+        """The same for the words of a normalized text, which are looked up; phrases stand between spaces."""
+        single, phrases = [w for w in self.words if " " not in w], [w for w in self.words if " " in w]
+        met = [F.arrays_overlap(words, F.array(*map(F.lit, single)))] * bool(single)
+        met += [F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).contains(f" {w} ") for w in phrases]
+        return T.any_of([path.rlike(self.path)] * bool(self.path) + met)
+
 
 #: Folders and words that tell where a file is executed.
 SURFACES = (
@@ -56,23 +64,28 @@ LAYERS = (
 )
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), for which a row's value is made once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _labels(rules: tuple[Rule, ...], holds: list[Column], otherwise: str) -> Column:
     found = F.array_compact(F.array(*(F.when(h, r.label) for r, h in zip(rules, holds, strict=True))))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(otherwise)))
+    return _once(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(otherwise))))
 
 
 def execution_surfaces(path: Column, name: Column, content: Column) -> Column:
     """Where a chunk is executed, of eight surfaces, in their order; `shared` if nothing tells. Nulls count as empty."""
     path, name, content = (F.coalesce(x, F.lit("")) for x in (path, name, content))
-    text = normalized(F.concat_ws(" ", path, name, F.substr(content, F.lit(1), F.lit(SURFACE_CHARS))))
-    return _labels(SURFACES, [r.holds(F.lower(path), text) for r in SURFACES], "shared")
+    words = identifier_tokens(F.concat_ws(" ", path, name, F.substr(content, F.lit(1), F.lit(SURFACE_CHARS))))
+    return _once(words, lambda w: _labels(SURFACES, [r.holds_among(F.lower(path), w) for r in SURFACES], "shared"))
 
 
 def workflow_layers(path: Column, name: Column) -> Column:
     """Layers of a workflow that a file belongs to; `core` if nothing tells. Nulls count as empty."""
     path, name = F.coalesce(path, F.lit("")), F.coalesce(name, F.lit(""))
-    text = normalized(F.concat_ws(" ", path, name))
-    return _labels(LAYERS, [r.holds(F.lower(path), F.lower(name) if r.label == "state" else text) for r in LAYERS], "core")
+    words = identifier_tokens(F.concat_ws(" ", path, name))
+    return _once(words, lambda w: _labels(LAYERS, [r.holds(F.lower(path), F.lower(name)) if r.label == "state" else r.holds_among(F.lower(path), w) for r in LAYERS], "core"))
 
 
 _B, _E = "(^|[^a-z0-9_])", "($|[^a-z0-9_])"

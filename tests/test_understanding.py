@@ -25,6 +25,17 @@ def test_surfaces_by_path_and_words(spark):
     assert one(spark, U.workflow_layers(F.lit("src/api/x.ts"), F.lit("routeGuard"))) == ["routing", "backend"]
 
 
+def test_surfaces_look_words_up(spark):
+    """A text is parted into words once, and its words are looked up; rules give what their patterns give."""
+    texts = ["tool registration", "the tooling bridge.", "atool registration", "tool registrations", "toolRegistration", "pages", "page_x", "webpage", "HTTPServer", "stores", "x\nhook-y", "", "mcp", "éapi", "bearer"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in (*U.SURFACES, *(x for x in U.LAYERS if x.label != "state")):
+        both = rows.select(r.holds(F.lit("a"), U.normalized(F.col("text"))).alias("a"), r.holds_among(F.lit("a"), U.identifier_tokens(F.col("text"))).alias("b")).collect()
+        assert [x.a for x in both] == [x.b for x in both]
+    plan = rows.select(U.execution_surfaces(F.lit("a"), F.lit("b"), F.col("text")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
 def test_tags(spark):
     assert one(spark, U.auto_tags(F.lit("Passed SOC2; GDPR next"))) == ["security", "compliance", "audit", "privacy"]
     assert one(spark, U.auto_tags(F.lit("collinear precise"))) == []
