@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -118,10 +119,19 @@ TAGS = (
 )
 
 
+def _begins(pattern: str) -> list[str]:
+    """Letters that whatever a pattern of TAGS matches begins with: a text without any of them needn't be matched."""
+    return re.findall(r"(?:^|\|)\(?([a-z]+)", pattern.removeprefix(_B).replace(_E, ""))
+
+
 def auto_tags(text: Column) -> Column:
     """Tags that a memory's text gives, each once, in the rules' order; none for null."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_distinct(F.flatten(F.array_compact(F.array(*(F.when(low.rlike(p), F.split(F.lit(tags), " ")) for p, tags in TAGS)))))
+
+    def found(low: Column) -> Column:
+        hits = (T.any_of([low.contains(b) for b in _begins(p)]) & low.rlike(p) for p, _ in TAGS)
+        return F.array_distinct(F.flatten(F.array_compact(F.array(*(F.when(h, F.array(*map(F.lit, tags.split()))) for h, (_, tags) in zip(hits, TAGS, strict=True))))))
+
+    return _once(F.lower(F.coalesce(text, F.lit(""))), found)
 
 
 #: Words that a search in memories takes as well.

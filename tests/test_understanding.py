@@ -42,6 +42,21 @@ def test_tags(spark):
     assert one(spark, U.auto_tags(F.lit(None).cast("string"))) == []
 
 
+def test_tags_match_only_what_may_match(spark):
+    """A text is lowered once; rules are tried where their first letters stand, and give what their patterns give."""
+    texts = ["Passed SOC\n2", "CI", "the cd-drive", "pipeline", "PR", "pull request", "pull\nrequest", "a feature flag", "rate limit", "generate limit", "precise", "Encrypted", "reencrypt", "console.log", "console-log", "x_sql", "no-sql!", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for p, _ in U.TAGS:
+        begins = U._begins(p)
+        assert begins and not [r for r in rows.where(F.lower("text").rlike(p)).collect() if not any(b in r.text.lower() for b in begins)]
+    tags = {r.text: r.t for r in rows.select("text", U.auto_tags(F.col("text")).alias("t")).collect()}
+    for t in texts:
+        plain = rows.where(F.col("text") == t).select(*(F.lower("text").rlike(p) for p, _ in U.TAGS)).first()
+        assert tags[t] == list(dict.fromkeys(x for hit, (_, names) in zip(plain, U.TAGS, strict=True) if hit for x in names.split()))
+    plan = rows.select(U.auto_tags(F.col("text")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.lower().count("contains(") >= len(U.TAGS)
+
+
 def test_synonyms(spark):
     assert one(spark, U.synonyms(F.lit("what are the security audit rules"))) == ["compliance", "encryption", "vulnerability", "auth"]
     assert one(spark, U.synonyms(F.lit("a pr for me"))) == []  # two letters: too short to have synonyms
