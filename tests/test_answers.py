@@ -28,6 +28,19 @@ def test_alias_cap(spark):
     assert catalog.aliases(spark.createDataFrame([(1, name)], "id long, name string"), "id", "name", 0.9).count() == catalog.MOST_ALIASES
 
 
+def test_aliases_are_sorted_where_their_target_lies(spark, monkeypatch):
+    """More targets are more tasks; their aliases aren't moved."""
+    monkeypatch.setattr(catalog, "TASK_TARGETS", 10)
+    targets = spark.createDataFrame([(k, f"SessionParser{k % 7}") for k in range(200)], "id long, name string")
+    found = catalog.aliases(targets, "id", "name", 0.9).withColumn("part", F.spark_partition_id())
+    rows = found.collect()
+    per: dict[int, int] = {}
+    for r in rows:
+        per[r.part] = per.get(r.part, 0) + 1
+    assert {r.id for r in rows} == set(range(200)) and max(per.values()) < len(rows) / 5
+    assert found.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_phrases_and_evidence(spark):
     got = spark.range(1).select(assembly.phrases(F.array(*(F.lit(w) for w in "a b c".split()))).alias("p")).first().p
     assert got == ["a", "b", "c", "a b", "b c", "a b c"]
